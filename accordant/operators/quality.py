@@ -12,6 +12,7 @@ from accordant import rules as R
 from accordant.functions.text import any_of, has_any
 from accordant.operators.ingest import is_non_job_row
 from accordant.operators.snapshots import multiset_fingerprint
+from accordant.session import fact_join, number_rows
 
 
 def ratio(part: Column, whole: Column, digits: int = 6) -> Column:
@@ -155,14 +156,32 @@ def compare_labels(expected: DataFrame, actual: DataFrame, key: str, suite: str
     )
 
 
-def latency_stats(df: DataFrame, column: str, group: Sequence[str], digits: int = 4) -> DataFrame:
-    """Min, median, 95th percentile (interpolated) and max. Exact: counts per value, not samples."""
-    return df.groupBy(*group).agg(
-        F.count("*").alias("samples"),
-        F.round(F.min(column), digits).alias("min"),
-        F.round(F.percentile(column, 0.5), digits).alias("median"),
-        F.round(F.percentile(column, 0.95), digits).alias("p95"),
-        F.round(F.max(column), digits).alias("max"),
+def latency_stats(
+    df: DataFrame, column: str, group: str, points: Sequence[tuple[str, float]] = (("median", 0.5), ("p95", 0.95)),
+    digits: int = 4,
+) -> DataFrame:
+    """Min, max and exact interpolated percentiles per group.
+
+    Values are numbered in order across tasks and only the two neighbours of each percentile are
+    looked up, so a group of any size costs no more memory than a small one.
+    """
+    values = df.select(F.col(group), F.col(column).cast("double").alias("_v")).filter("_v is not null")
+    ranked = number_rows(values, [F.col("_v").asc()], name="_rank", group=group)
+    sizes = ranked.groupBy(group).agg(F.count("*").alias("samples"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    placed = fact_join(ranked, sizes, [group], "inner").withColumn("_at", F.col("_rank") - 1)
+    stats = []
+    for name, p in points:
+        spot = F.lit(p) * (F.col("samples") - 1)
+        low, high = F.floor(spot), F.ceil(spot)
+        lower = F.max(F.when(F.col("_at") == low, F.col("_v")))
+        upper = F.max(F.when(F.col("_at") == high, F.col("_v")))
+        share = F.max(spot - low)
+        stats.append(F.round(lower + (upper - lower) * share, digits).alias(name))
+    return placed.groupBy(group).agg(
+        F.max("samples").alias("samples"),
+        F.round(F.max("_lo"), digits).alias("min"),
+        *stats,
+        F.round(F.max("_hi"), digits).alias("max"),
     )
 
 
