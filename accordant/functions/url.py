@@ -95,7 +95,7 @@ def bare_host(url: Column) -> Column:
 
 def path_segments(url: Column) -> Column:
     path = F.regexp_extract(url, r"^(?i)[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return F.filter(F.transform(F.split(path, "/"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(path, "/"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def url_query(url: Column) -> Column:

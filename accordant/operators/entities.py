@@ -99,7 +99,10 @@ def entity_keys(entities: DataFrame, records: DataFrame) -> DataFrame:
     """
     held = F.struct("created_at", "entity_id", "org_id", "kind", "official_job_id").alias("e")
     blank = F.lit("")
-    base = entities.withColumn("title_key", title_key(F.col("title")))
+    base = entities.select(
+        "entity_id", "org_id", "kind", "official_job_id", "canonical_key", "created_at",
+        title_key(F.col("title")).alias("title_key"),
+    )
     common = (F.col("kind"), F.col("org_id"), F.col("official_job_id"))
     by_id = base.select(
         held,

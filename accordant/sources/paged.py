@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accordant.functions.text import let
+
 PAGE_SCHEMA = (
     "code int, data struct<items: array<struct<record_id: string, id: string, fields: string>>, "
     "has_more: boolean, page_token: string>"
@@ -16,28 +18,48 @@ RECORD_ID_HEADER = "记录ID"
 MAX_PAGES = 10000
 
 
-def flatten_cell(value: Column, depth: int = 4) -> Column:
-    """Display text of one nested cell held as a VARIANT."""
-    shape = F.schema_of_variant(value)
-    plain = F.try_variant_get(value, "$", "string")
-    if depth == 0:
-        return F.coalesce(plain, F.to_json(value), F.lit(""))
-    members = F.try_variant_get(value, "$", "array<variant>")
-    parts = F.transform(members, lambda item: flatten_cell(item, depth - 1))
-    best = F.coalesce(
-        *[
-            F.nullif(flatten_cell(F.try_variant_get(value, f"$.{key}", "variant"), depth - 1), F.lit(""))
-            for key in CELL_KEYS
-        ],
-        F.to_json(value),
-    ) if depth > 1 else F.to_json(value)
-    return (
-        F.when(value.isNull() | F.is_variant_null(value), "")
-        .when(shape == "BOOLEAN", F.when(plain == "true", TRUE_TEXT).otherwise(FALSE_TEXT))
-        .when(shape.startswith("ARRAY"), F.array_join(F.filter(parts, lambda p: p != ""), " / "))
-        .when(shape.startswith("OBJECT"), best)
-        .otherwise(plain)
+def flatten_cell(value: Column, depth: int = 3) -> Column:
+    """Display text of one nested cell held as a VARIANT; below `depth` levels its JSON.
+
+    Lists join their non-empty members, objects show the first of the usual text keys.
+    """
+
+    def shown(cell: Column) -> Column:
+        shape, plain, inner = cell["shape"], cell["plain"], cell["value"]
+        rest = F.coalesce(F.to_json(inner), F.lit(""))
+        if depth > 0:
+            members = F.try_variant_get(inner, "$", "array<variant>")
+            texts = F.transform(members, lambda item: flatten_cell(item, depth - 1))
+            joined = F.array_join(F.filter(texts, lambda x: x != ""), " / ")
+            best = F.coalesce(*[_filled(inner, key) for key in CELL_KEYS])
+            chosen = let(best, lambda b: F.when(b.isNull(), rest).otherwise(flatten_cell(b, depth - 1)))
+        else:
+            joined = chosen = rest
+        return (
+            F.when(shape.isNull() | (shape == "VOID"), "")
+            .when(shape == "BOOLEAN", F.when(plain == "true", TRUE_TEXT).otherwise(FALSE_TEXT))
+            .when(shape.startswith("ARRAY"), joined)
+            .when(shape.startswith("OBJECT"), chosen)
+            .otherwise(plain)
+        )
+
+    facts = F.struct(
+        value.alias("value"),
+        F.schema_of_variant(value).alias("shape"),
+        F.try_variant_get(value, "$", "string").alias("plain"),
     )
+    return let(facts, shown)
+
+
+def _filled(value: Column, key: str) -> Column:
+    """The member under the key unless it is absent, null or an empty text."""
+
+    def keep(member: Column) -> Column:
+        text = F.try_variant_get(member, "$", "string")
+        empty = F.coalesce(F.is_variant_null(member), F.lit(True)) | F.coalesce(text == "", F.lit(False))
+        return F.when(~empty, member)
+
+    return let(F.try_variant_get(value, f"$.{key}", "variant"), keep)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
