@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from accordant.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+_SQL: dict[str, tuple[str, tuple[str, ...]]] = {}
 _SHARED: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -56,7 +56,12 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
         run.__doc__ = build.__doc__
         QUERIES[name] = run
         if sql is not None:
-            SQL[name] = with_shared(sql, *needs)
+            _SQL[name] = (sql, needs)
         return build
 
     return register
+
+
+def sql_texts() -> dict[str, str]:
+    """The complete SQL of every query that has one; shared steps may come from any module."""
+    return {name: with_shared(body, *needs) for name, (body, needs) in _SQL.items()}
