@@ -62,11 +62,14 @@ def _filled(value: Column, key: str) -> Column:
     return let(F.try_variant_get(value, f"$.{key}", "variant"), keep)
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One line per landed page; the page number is the last number in the file name."""
+def read_pages(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One line per landed page; the page number is the last number in the file name.
+
+    Files with one page per line (`multi_line=False`) are read in splits.
+    """
     return (
         spark.read.schema(PAGE_SCHEMA)
-        .option("multiLine", "true")
+        .option("multiLine", str(multi_line).lower())
         .json(path)
         .select(
             F.col("_metadata.file_path").alias("file"),
@@ -109,9 +112,9 @@ def paged_header(rows: DataFrame, id_field: str = RECORD_ID_HEADER) -> list[str]
 
 
 def read_paged_json(
-    spark: SparkSession, path: str, id_field: str = RECORD_ID_HEADER
+    spark: SparkSession, path: str, id_field: str = RECORD_ID_HEADER, multi_line: bool = True
 ) -> tuple[DataFrame, list[str]]:
-    rows = flatten_records(page_records(read_pages(spark, path)), id_field)
+    rows = flatten_records(page_records(read_pages(spark, path, multi_line)), id_field)
     return rows, paged_header(rows, id_field)
 
 
