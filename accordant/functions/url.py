@@ -172,8 +172,10 @@ def extract_record_id(*columns: Column, rules: R.IdRules = R.IdRules()) -> Colum
     return F.coalesce(*[let(clean_text(c), from_text) for c in columns])
 
 
-def id_matches_url(url: Column, record_id: Column, rules: R.IdRules = R.IdRules()) -> Column:
-    """True if the URL names exactly this id in a posting position."""
+def id_matches_url(
+    url: Column, record_id: Column, rules: R.IdRules = R.IdRules(), normalized: bool = False
+) -> Column:
+    """True if the URL names exactly this id in a posting position; `normalized` skips that step."""
 
     def test(parts: Column) -> Column:
         segments, pairs, wanted = parts["s"], parts["q"], parts["id"]
@@ -206,10 +208,12 @@ def id_matches_url(url: Column, record_id: Column, rules: R.IdRules = R.IdRules(
             (norm != "") & is_plausible_id(record_id, rules) & let(parts, test), F.lit(False)
         )
 
-    return let(normalize_url(url), with_norm)
+    return with_norm(url) if normalized else let(normalize_url(url), with_norm)
 
 
-def is_direct_url(url: Column, record_id: Column, rules: R.IdRules = R.IdRules()) -> Column:
+def is_direct_url(
+    url: Column, record_id: Column, rules: R.IdRules = R.IdRules(), normalized: bool = False
+) -> Column:
     """True if the URL points at one posting, by id if known, else by its path shape."""
 
     def shaped(norm: Column) -> Column:
@@ -224,8 +228,8 @@ def is_direct_url(url: Column, record_id: Column, rules: R.IdRules = R.IdRules()
         )
 
     return F.when(
-        F.coalesce(record_id, F.lit("")) != "", id_matches_url(url, record_id, rules)
-    ).otherwise(let(normalize_url(url), shaped))
+        F.coalesce(record_id, F.lit("")) != "", id_matches_url(url, record_id, rules, normalized)
+    ).otherwise(shaped(url) if normalized else let(normalize_url(url), shaped))
 
 
 def _under(host: Column, domains: Sequence[str]) -> Column:

@@ -60,16 +60,17 @@ def diff_counts(diff: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def multiset_fingerprint(df: DataFrame, group: Sequence[str], hash_col: Column | str) -> DataFrame:
     """Order-insensitive fingerprint of a multiset of texts per group.
 
-    Each member contributes the eight 32-bit words of its SHA-256; words are summed, so the state
+    Each member contributes the four 64-bit words of its SHA-256; words are summed, so the state
     is constant, combines before the shuffle and never gathers a group. Repeats count.
     """
     digest = F.sha2(F.col(hash_col) if isinstance(hash_col, str) else hash_col, 256)
-    words = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(8)]
-    # Decimal sums cannot overflow; the remainder keeps the text short.
-    totals = [F.sum(w.cast("decimal(20,0)")).alias(f"_w{i}") for i, w in enumerate(words)]
-    text = F.concat_ws(":", F.col("row_count").cast("string"), *[F.col(f"_w{i}").cast("string") for i in range(8)])
+    # Decimal sums have room for 10^18 members.
+    words = [F.conv(F.substring("_digest", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    totals = [F.sum(w).alias(f"_w{i}") for i, w in enumerate(words)]
+    text = F.concat_ws(":", F.col("row_count").cast("string"), *[F.col(f"_w{i}").cast("string") for i in range(4)])
     return (
-        df.groupBy(*group)
+        df.select(*group, digest.alias("_digest"))
+        .groupBy(*group)
         .agg(F.count("*").alias("row_count"), *totals)
         .select(*group, "row_count", F.sha2(text, 256).alias("fingerprint"))
     )

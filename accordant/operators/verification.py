@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from accordant import rules as R
 from accordant.functions.classify import CAMPAIGN, POSTING
-from accordant.functions.text import list_key, strip_text
+from accordant.functions.text import let, list_key, strip_text
 from accordant.functions.times import moment
 from accordant.functions.url import (
     bare_host, id_matches_url, is_aggregator, is_direct_url, normalize_url, scope_matches,
@@ -46,7 +46,7 @@ def _evidence_error(url: Column, scope_rules: R.ScopeRules, id_rules: R.IdRules)
         .when(~scope_matches(url, F.col("_domain"), F.col("_path"), scope_rules), "outside_scope")
         .when(conclusive & (excerpt < R.MIN_EXCERPT_CHARS), "excerpt_too_short")
         .when(posting & (F.col("_job") == ""), "posting_id_missing")
-        .when(posting & ~is_direct_url(url, F.col("_job"), id_rules), "url_does_not_match_id")
+        .when(posting & ~is_direct_url(url, F.col("_job"), id_rules, normalized=True), "url_does_not_match_id")
     )
 
 
@@ -63,11 +63,15 @@ def validate_evidence(
     (map of name to list; a text is a list of one).
     """
     url = normalize_url(F.coalesce(F.nullif("final_url", F.lit("")), "url"))
-    judged = with_anchor(attempts, entities, orgs).withColumn("canonical_url", url)
-    judged = judged.withColumn("error", _evidence_error(F.col("canonical_url"), scope_rules, id_rules))
-    return judged.filter("error is null").drop("error"), judged.filter("error is not null").select(
-        "verification_id", "entity_id", "error"
+    # One expression holds both, so that a filter on the error does not repeat the normalisation.
+    verdict = let(
+        url,
+        lambda u: F.struct(u.alias("canonical_url"), _evidence_error(u, scope_rules, id_rules).alias("error")),
     )
+    judged = with_anchor(attempts, entities, orgs).withColumn("_v", verdict)
+    ok = judged.filter("_v.error is null").withColumn("canonical_url", F.col("_v.canonical_url")).drop("_v")
+    rejected = judged.filter("_v.error is not null").select("verification_id", "entity_id", F.col("_v.error").alias("error"))
+    return ok, rejected
 
 
 def sanitize_fields(
@@ -216,13 +220,18 @@ def validate_identity_url(
     id_rules: R.IdRules = R.IdRules(),
 ) -> DataFrame:
     """Commands (entity_id, url, official_job_id) with `canonical_url` and `error`."""
-    judged = with_anchor(commands, entities, orgs).withColumn("canonical_url", normalize_url(F.col("url")))
-    url = F.col("canonical_url")
-    return judged.withColumn(
-        "error",
-        F.when(F.col("_kind").isNull(), "not_found")
-        .when(is_aggregator(bare_host(url), scope_rules), "aggregator")
-        .when(F.col("_domain") == "", "domain_unknown")
-        .when(~scope_matches(url, F.col("_domain"), F.col("_path"), scope_rules), "outside_scope")
-        .when(~id_matches_url(url, F.col("official_job_id"), id_rules), "url_does_not_match_id"),
-    )
+
+    def judge(url: Column) -> Column:
+        error = (
+            F.when(F.col("_kind").isNull(), "not_found")
+            .when(is_aggregator(bare_host(url), scope_rules), "aggregator")
+            .when(F.col("_domain") == "", "domain_unknown")
+            .when(~scope_matches(url, F.col("_domain"), F.col("_path"), scope_rules), "outside_scope")
+            .when(
+                ~id_matches_url(url, F.col("official_job_id"), id_rules, normalized=True), "url_does_not_match_id"
+            )
+        )
+        return F.struct(url.alias("canonical_url"), error.alias("error"))
+
+    judged = with_anchor(commands, entities, orgs).withColumn("_v", let(normalize_url(F.col("url")), judge))
+    return judged.select("*", "_v.canonical_url", "_v.error").drop("_v")

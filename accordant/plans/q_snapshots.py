@@ -99,7 +99,7 @@ def row_text(t: Tables) -> DataFrame:
 FINGERPRINT = (
     "sha256(count(*) || "
     + " || ".join(
-        f"':' || sum(CAST('0x' || substr(sha256({{0}}), {8 * i + 1}, 8) AS BIGINT))" for i in range(8)
+        f"':' || sum(CAST(CAST('0x' || substr(sha256({{0}}), {16 * i + 1}, 16) AS UBIGINT) AS HUGEINT))" for i in range(4)
     )
     + ")"
 )

@@ -62,6 +62,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small input that arrives as one or two splits.
+
+    Inputs above 1 GiB come in enough splits of their own and are left alone.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(str(plan.stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def fact_join(
     rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left"
 ) -> DataFrame:
