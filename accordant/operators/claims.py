@@ -1,15 +1,15 @@
 """Field claims: unpivot, scope, and resolution by authority and recency.
 
-A field of one entity may hold any share of all claims, so nothing here gathers or sorts a whole
-group: winners and conflicts are maxima and minima that combine before the shuffle, and labels are
-joined back with `fact_join`.
+A field of one entity may hold any share of all claims. Winners and conflicts are therefore maxima
+and minima that combine before the shuffle; only labelling looks at whole groups, and there groups
+above a size are labelled by joins instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant import rules as R
@@ -22,6 +22,8 @@ from accordant.session import fact_join
 GROUP = ["entity_id", "field"]
 SOURCE_GROUP = [*GROUP, "source_key"]
 RECENCY = ["observed_at", "created_at", "claim_id"]
+# Claims of one entity and field that one task may sort.
+HOT_ROWS = 1_000_000
 CLAIM_FIELDS = (
     "company", "title", "cities", "graduation_years", "education", "recruitment_type", "industry",
     "employer_type", "written_test", "published_at", "deadline", "status", "announcement_url", "apply_url",
@@ -196,8 +198,52 @@ def _verdicts(latest: DataFrame) -> DataFrame:
     )
 
 
-def resolve_claims(claims: DataFrame) -> DataFrame:
-    """Every claim with `selected` and a `reason` code; inactive claims keep theirs."""
+def resolve_claims(claims: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every claim with `selected` and a `reason` code; inactive claims keep theirs.
+
+    Groups of ordinary size are labelled in windows after one shuffle. Groups above `hot_rows`
+    claims take the way of aggregates and joins, which never puts a group into one task. There can
+    be no more of those than all claims divided by `hot_rows`, which bounds the broadcast list.
+    """
+    sizes = claims.groupBy(*GROUP).agg(F.count("*").alias("_n"))
+    hot = F.broadcast(sizes.filter(F.col("_n") > hot_rows).select(*GROUP))
+    ordinary = _label_in_windows(claims.join(hot, GROUP, "left_anti"))
+    return ordinary.unionByName(_label_by_joins(claims.join(hot, GROUP, "left_semi")))
+
+
+def _label_in_windows(claims: DataFrame) -> DataFrame:
+    voice = Window.partitionBy(*SOURCE_GROUP)
+    group = Window.partitionBy(*GROUP)
+    kept = F.lit(True)
+    for name in ("active", "applicable"):
+        if name in claims.columns:
+            kept = kept & F.col(name)
+    full = kept & ~is_missing(F.col("value_key"))
+    order = [F.col("_full").desc(), *[F.col(c).desc() for c in RECENCY]]
+    newest = claims.withColumn("_full", full).withColumn(
+        "_newest", F.col("_full") & (F.row_number().over(voice.orderBy(*order)) == 1)
+    )
+    topped = newest.withColumn("top_authority", F.max(F.when(F.col("_newest"), F.col("authority"))).over(group))
+    at_top = F.col("_newest") & (F.col("authority") == F.col("top_authority"))
+    judged = topped.withColumns(
+        {
+            "_low": F.min(F.when(at_top, F.col("value_key"))).over(group),
+            "_best": F.max(F.when(at_top, F.struct(*RECENCY, "value_key"))).over(group),
+            "_high": F.max(F.when(at_top, F.col("value_key"))).over(group),
+        }
+    ).withColumns(
+        {
+            "state": F.when(F.col("top_authority").isNull(), "missing")
+            .when(F.col("_low") != F.col("_high"), "conflict")
+            .otherwise("selected"),
+            "selected_id": F.col("_best.claim_id"),
+            "selected_key": F.col("_best.value_key"),
+        }
+    )
+    return _with_reason(judged, claims.columns)
+
+
+def _label_by_joins(claims: DataFrame) -> DataFrame:
     latest = latest_per_source(claims)
     facts = fact_join(
         latest.select(*SOURCE_GROUP, F.col("latest.claim_id").alias("_latest")),
@@ -205,12 +251,16 @@ def resolve_claims(claims: DataFrame) -> DataFrame:
         GROUP,
     )
     joined = fact_join(claims, facts, SOURCE_GROUP)
-    full = ~is_missing(F.col("value_key"))
-    newest = F.col("claim_id") == F.col("_latest")
+    newest = F.coalesce(F.col("claim_id") == F.col("_latest"), F.lit(False))
+    return _with_reason(joined.withColumn("_newest", newest), claims.columns)
+
+
+def _with_reason(judged: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Labels from `_newest`, `state`, `top_authority`, `selected_id` and `selected_key`."""
     reason = (
         F.when(F.col("state") == "missing", ALL_MISSING)
-        .when(~full, "")
-        .when(~F.coalesce(newest, F.lit(False)), SUPERSEDED)
+        .when(is_missing(F.col("value_key")), "")
+        .when(~F.col("_newest"), SUPERSEDED)
         .when(
             F.col("state") == "conflict",
             F.when(F.col("authority") == F.col("top_authority"), CONFLICT).otherwise(UNRESOLVED_ABOVE),
@@ -220,15 +270,14 @@ def resolve_claims(claims: DataFrame) -> DataFrame:
         .when(F.col("authority") < F.col("top_authority"), OVERRIDDEN)
         .otherwise("")
     )
-    if "applicable" in claims.columns:
+    if "applicable" in columns:
         reason = F.when(~F.col("applicable"), HISTORICAL).otherwise(reason)
-    if "active" in claims.columns:
-        kept = F.col("reason") if "reason" in claims.columns else F.lit("")
+    if "active" in columns:
+        kept = F.col("reason") if "reason" in columns else F.lit("")
         reason = F.when(~F.col("active"), kept).otherwise(reason)
-    out = joined.withColumn("_reason", reason)
-    columns = [c for c in claims.columns if c not in ("selected", "reason")]
+    out = judged.withColumn("_reason", reason)
     return out.select(
-        *columns,
+        *[c for c in columns if c not in ("selected", "reason")],
         (F.col("_reason") == SELECTED).alias("selected"),
         F.col("_reason").alias("reason"),
     )
@@ -284,15 +333,12 @@ def pivot_values(values: DataFrame, fields: Sequence[str], value: str = "value_k
     )
 
 
-def display_values(claims: DataFrame, raw_fields: Sequence[str] = ("company", "title")) -> DataFrame:
-    """Shown value per entity and field, with conflict and difference flags.
-
-    Without a selected claim the top authority's newest value is shown unless it disagrees.
-    """
+def field_facts(claims: DataFrame, raw_fields: Sequence[str] = ("company", "title")) -> DataFrame:
+    """All a view needs per entity and field: shown value, conflicts, differences, selection."""
     kept = _usable(claims)
     shown = F.when(F.col("field").isin(*raw_fields), F.col("raw_value")).otherwise(F.col("value_key"))
     full = F.col("_full")
-    entry = F.struct("authority", *RECENCY, shown.alias("shown"))
+    entry = F.struct("authority", *RECENCY, shown.alias("shown"), "value_key", "raw_value")
     key = F.when(full, F.col("value_key"))
     facts = kept.groupBy(*GROUP).agg(
         F.max(F.when(F.col("selected"), entry)).alias("chosen"),
@@ -301,6 +347,7 @@ def display_values(claims: DataFrame, raw_fields: Sequence[str] = ("company", "t
         F.max(key).alias("most"),
         F.max(F.when(full, F.struct("authority", "value_key"))).alias("hi"),
         F.min(F.when(full, F.struct((-F.col("authority")).alias("a"), "value_key"))).alias("lo"),
+        F.max(F.col("reason") == CONFLICT).alias("in_conflict"),
     )
     split = F.col("chosen").isNull() & F.coalesce(F.col("hi.value_key") != F.col("lo.value_key"), F.lit(False))
     return facts.select(
@@ -308,9 +355,20 @@ def display_values(claims: DataFrame, raw_fields: Sequence[str] = ("company", "t
         F.when(~split, F.coalesce("chosen.shown", "top.shown")).alias("value"),
         split.alias("conflict"),
         F.coalesce(F.col("least") != F.col("most"), F.lit(False)).alias("differs"),
+        F.col("chosen.value_key").alias("selected_key"),
+        F.col("chosen.raw_value").alias("selected_raw"),
+        "in_conflict",
     )
 
 
+def display_values(claims: DataFrame, raw_fields: Sequence[str] = ("company", "title")) -> DataFrame:
+    """Shown value per entity and field, with conflict and difference flags.
+
+    Without a selected claim the top authority's newest value is shown unless it disagrees.
+    """
+    return field_facts(claims, raw_fields).select(*GROUP, "value", "conflict", "differs")
+
+
 def display_counts(display: DataFrame) -> DataFrame:
     return display.groupBy("entity_id").agg(
         F.count_if("conflict").alias("conflict_count"),

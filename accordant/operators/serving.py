@@ -11,7 +11,7 @@ from accordant import rules as R
 from accordant.functions.classify import CAMPAIGN, POSTING, present_title
 from accordant.functions.text import clean_text, has_any, strip_text
 from accordant.functions.times import deadline_within, strict_date, within
-from accordant.operators.claims import CONFLICT, display_counts, display_values
+from accordant.operators.claims import field_facts
 from accordant.operators.decisions import current_decisions
 from accordant.session import fact_join, first_per_group
 
@@ -26,17 +26,23 @@ VIEW_FIELDS = (
 )
 
 
+SELECTED_FIELDS = (
+    "company", "title", "cities", "graduation_years", "recruitment_type", "employer_type", "written_test", "deadline",
+)
+
+
+def _picked() -> list[Column]:
+    """Aggregates over field_facts: selected values and whether the entity has conflicts."""
+    return [
+        *[F.max(F.when(F.col("field") == f, F.col("selected_key"))).alias(f"sel_{f}") for f in SELECTED_FIELDS],
+        *[F.max(F.when(F.col("field") == f, F.col("selected_raw"))).alias(f"raw_{f}") for f in ("company", "title")],
+        F.max("in_conflict").alias("has_conflict"),
+    ]
+
+
 def selected_values(claims: DataFrame) -> DataFrame:
     """Per entity the selected, applicable values the filters look at, and whether it has conflicts."""
-    chosen = F.col("selected")
-    if "applicable" in claims.columns:
-        claims = claims.filter("applicable")
-    fields = ["company", "title", "cities", "graduation_years", "recruitment_type", "employer_type", "written_test", "deadline"]
-    return claims.groupBy("entity_id").agg(
-        *[F.max(F.when(chosen & (F.col("field") == f), F.col("value_key"))).alias(f"sel_{f}") for f in fields],
-        *[F.max(F.when(chosen & (F.col("field") == f), F.col("raw_value"))).alias(f"raw_{f}") for f in ("company", "title")],
-        F.max(F.col("reason") == CONFLICT).alias("has_conflict"),
-    )
+    return field_facts(claims).groupBy("entity_id").agg(*_picked())
 
 
 def filter_entities(
@@ -139,12 +145,14 @@ def entity_view(
     claims: resolved, with `applicable`. counts: lineage_counts. decisions: history with `valid`
     (see still_current). Every side is aggregated to one line per entity first.
     """
-    display = display_values(claims)
-    values = display.groupBy("entity_id").agg(
+    values = field_facts(claims).groupBy("entity_id").agg(
         *[
             F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"_{f}")
             for f in ("company", "title", *VIEW_FIELDS)
-        ]
+        ],
+        F.count_if("conflict").alias("conflict_count"),
+        F.count_if("differs").alias("historical_difference_count"),
+        *_picked(),
     )
     held = current_decisions(decisions).filter("valid")
     verdict = held.select("entity_id", "eligibility", "evidence_fit", "trust", "manual", F.lit(True).alias("decision_current"))
@@ -157,7 +165,7 @@ def entity_view(
         "org_id",
         "left",
     )
-    for side in (values, display_counts(display), counts, check, verdict, past, selected_values(claims)):
+    for side in (values, counts, check, verdict, past):
         base = base.join(side, "entity_id", "left")
     own = F.coalesce("_title", F.when(F.col("observation_count").isNull(), F.col("title")), F.lit(""))
     shown = present_title(own, F.col("kind"), F.coalesce("_industry", F.lit("")), title_rules)
@@ -196,7 +204,7 @@ def entity_view(
         F.coalesce("_past", F.lit(False)).alias("has_history"),
         F.coalesce("manual", F.lit("UNDECIDED")).alias("manual"),
         F.coalesce("has_conflict", F.lit(False)).alias("has_conflict"),
-        *[f"sel_{f}" for f in ("company", "title", "cities", "graduation_years", "recruitment_type", "employer_type", "written_test", "deadline")],
+        *[f"sel_{f}" for f in SELECTED_FIELDS],
         "raw_company", "raw_title",
     )
 
