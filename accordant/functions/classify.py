@@ -38,13 +38,17 @@ def classify_record(
     record_id: Column,
     rules: R.KindRules = R.KindRules(),
     id_rules: R.IdRules = R.IdRules(),
+    normalized: bool = False,
 ) -> Column:
-    """struct<kind, confidence, reasons, needs_review>; reasons are stable codes."""
+    """struct<kind, confidence, reasons, needs_review>; reasons are stable codes.
+
+    `normalized` says that the links went through normalize_url already.
+    """
     link = F.coalesce(F.nullif(apply_url, F.lit("")), announcement_url)
     facts = F.struct(
         clean_text(title).alias("title"),
         role_counts(clean_text(title), rules).alias("n"),
-        is_direct_url(link, record_id, id_rules).alias("direct"),
+        is_direct_url(link, record_id, id_rules, normalized).alias("direct"),
         F.coalesce(is_plausible_id(record_id, id_rules), F.lit(False)).alias("has_id"),
         F.array_compact(
             F.array(

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from accordant import rules as R
 from accordant.functions.classify import POSTING
-from accordant.functions.text import clean_text, is_missing, list_key, normalize_claim, normalize_claim_list
+from accordant.functions.text import clean_text, is_missing, list_key, normalize_claim_list, normalize_company, title_key
 from accordant.functions.times import within
-from accordant.functions.url import normalize_url
 from accordant.session import fact_join
 
 GROUP = ["entity_id", "field"]
@@ -81,11 +80,15 @@ def to_claims(rows: DataFrame) -> DataFrame:
             return F.lit("UNKNOWN"), F.lit("UNKNOWN")
         if name in R.LIST_FIELDS:
             return list_key(rec[name]), normalize_claim_list(rec[name])
-        return rec[name], normalize_claim(F.lit(name), rec[name])
+        # The field is known here, and canonical records hold normalised links already.
+        comparable = {"company": normalize_company, "title": title_key}.get(name)
+        if comparable is None:
+            comparable = (lambda c: c) if name in R.URL_FIELDS else clean_text
+        return rec[name], comparable(rec[name])
 
     fields = {name: pair(name) for name in CLAIM_FIELDS}
     fields["official_job_id"] = (rec["official_job_id"], F.lower(rec["official_job_id"]))
-    link = normalize_url(F.coalesce(F.nullif(rec["apply_url"], F.lit("")), rec["announcement_url"]))
+    link = F.coalesce(F.nullif(rec["apply_url"], F.lit("")), rec["announcement_url"])
     keep = [
         "entity_id",
         "raw_id",

@@ -49,8 +49,11 @@ def materialize(state: State, parsed: DataFrame, batch: DataFrame, source: DataF
     """
     registry = batch.join(source.withColumnsRenamed({"name": "source_name", "kind": "source_kind"}), "source_id")
     rows = parsed.withColumn("raw_id", raw_id(F.col("batch_id"), F.col("row_number")))
-    raw_line = rows.select(
-        "raw_id", "batch_id", "row_number", "kind", "needs_review", "identity", "parse_status", "rec", "has_explicit_id"
+    # Parsing is by far the widest projection; it runs once.
+    raw_line = checkpoint(
+        rows.select(
+            "raw_id", "batch_id", "row_number", "kind", "needs_review", "identity", "parse_status", "rec", "has_explicit_id"
+        )
     )
     known_raw = state.get("raw")
     raw = raw_line if known_raw is None else known_raw.unionByName(raw_line.join(known_raw.select("raw_id"), "raw_id", "left_anti"))
@@ -69,7 +72,7 @@ def materialize(state: State, parsed: DataFrame, batch: DataFrame, source: DataF
         }
     )
     fresh = checkpoint(fresh)
-    resolved = resolve_orgs(fresh, state["orgs"])
+    resolved = checkpoint(resolve_orgs(fresh, state["orgs"]))
     named = fact_join(fresh, resolved.select("normalized_name", "org_id"), ["normalized_name"], "inner").withColumn(
         "canonical_key", canonical_key(rec, F.col("kind"), F.col("needs_review"), F.col("source_id"), F.col("normalized_name"))
     )
@@ -88,9 +91,9 @@ def materialize(state: State, parsed: DataFrame, batch: DataFrame, source: DataF
     records = fact_join(stable, all_batches.select("batch_id", "source_id"), ["batch_id"], "inner").select(
         "entity_id", "source_id", F.col("rec.source_record_id").alias("source_record_id")
     )
-    matched, grouped = match_entities(named, entity_keys(state["entities"], records))
+    matched, grouped = match_entities(named, checkpoint(entity_keys(state["entities"], records)))
     matched, grouped = checkpoint(matched), checkpoint(grouped)
-    created = create_entities(grouped, named.drop("entity_id") if "entity_id" in named.columns else named, F.col("imported_at"))
+    created = create_entities(grouped, named, F.col("imported_at"))
     adopted = (
         matched.filter("adopted_id is not null")
         .groupBy("entity_id")
@@ -102,9 +105,10 @@ def materialize(state: State, parsed: DataFrame, batch: DataFrame, source: DataF
             "canonical_key": F.coalesce("a.adopted_key", "canonical_key"),
         }
     ).drop("a")
-    entities = kept.unionByName(created.select(*kept.columns))
+    entities = checkpoint(kept.unionByName(created.select(*kept.columns)))
     pairs = matched.select("entity_id", "raw_id").unionByName(grouped.select("entity_id", "raw_id"))
     origins = link_origins(pairs, state["origins"])
+    origins, orgs = checkpoint(origins), checkpoint(orgs)
     anchor = entities.join(orgs.select("org_id", "domain_verified"), "org_id", "left").select(
         "entity_id", F.col("kind").alias("entity_kind"), "domain_verified"
     )
@@ -119,7 +123,7 @@ def materialize(state: State, parsed: DataFrame, batch: DataFrame, source: DataF
         marked.filter("_touched is null").select(*columns).unionByName(resolve_claims(scoped).select(*columns))
     )
     moved = {
-        **state, "raw": raw, "orgs": checkpoint(orgs), "entities": checkpoint(entities), "origins": checkpoint(origins), "claims": claims,
+        **state, "raw": raw, "orgs": orgs, "entities": entities, "origins": origins, "claims": claims,
         "batches": all_batches.select("batch_id", "source_id"),
         "decisions": invalidate(state["decisions"], matched),
     }

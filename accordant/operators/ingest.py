@@ -155,9 +155,10 @@ def compound_identity(
     )
 
 
-def identity_hint(rec: Column) -> Column:
+def identity_hint(rec: Column, normalized: bool = False) -> Column:
     """struct<value, strength, stable, evidence>: the strongest identity a record offers."""
-    link = normalize_url(F.coalesce(F.nullif(rec["apply_url"], F.lit("")), rec["announcement_url"]))
+    link = F.coalesce(F.nullif(rec["apply_url"], F.lit("")), rec["announcement_url"])
+    link = link if normalized else normalize_url(link)
     compound = compound_identity(
         rec["company"], rec["title"], rec["cities"], rec["recruitment_type"], rec["graduation_years"]
     )
@@ -200,13 +201,13 @@ def parse_rows(
     status, errors = parse_status(rec["company"], rec["title"])
     kind = classify_record(
         rec["title"], rec["cities"], rec["apply_url"], rec["announcement_url"], rec["official_job_id"],
-        kind_rules, id_rules,
+        kind_rules, id_rules, normalized=True,
     )
     return (
         records.withColumns(
             {
                 "row_hash": row_hash(F.col("raw")),
-                "identity": identity_hint(rec),
+                "identity": identity_hint(rec, normalized=True),
                 "_kind": kind,
                 "parse_status": status,
                 "parse_errors": errors,
