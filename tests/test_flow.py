@@ -215,3 +215,25 @@ def test_merge_keeps_evidence(spark, flow):
     # Both rows come from one source, so the later one supersedes the earlier.
     reasons = merged["claims"].filter((F.col("entity_id") == left) & (F.col("field") == "title")).select("reason")
     assert sorted(r["reason"] for r in reasons.collect()) == ["selected", "superseded"]
+
+
+def test_sync_of_landed_batches(spark, tmp_path):
+    from accordant.streaming.landing import sync_landed
+
+    schema = "batch_id string, source_id string, row_hash string, landed_at timestamp"
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "root")
+
+    def land(batch, hashes):
+        rows = spark.createDataFrame([(batch, "s", h) for h in hashes], "batch_id string, source_id string, row_hash string")
+        rows.withColumn("landed_at", F.lit("2026-08-01").cast("timestamp")).write.mode("append").parquet(landed)
+
+    def run():
+        sync_landed(spark, landed, schema, root, str(tmp_path / "progress"), {"title": "岗位"})
+        return spark.read.parquet(f"{root}/raw").count()
+
+    land("b1", ["x", "y"])
+    assert run() == 2
+    land("b2", ["y", "x"])
+    land("b3", ["z"])
+    assert run() == 3
+    assert run() == 3
