@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from accordant import rules as R
 from accordant.functions.text import any_of, has_any
 from accordant.operators.ingest import is_non_job_row
+from accordant.operators.serving import side_by_side
 from accordant.operators.snapshots import multiset_fingerprint
 from accordant.session import fact_join, number_rows
 
@@ -62,9 +63,8 @@ def uniqueness_violations(df: DataFrame, keys: Sequence[str], where: str) -> Dat
 
 def verification_counts(scoped: DataFrame, orgs: DataFrame) -> DataFrame:
     """Verified domains and attempts still in scope (see in_scope_attempts)."""
-    one = F.lit(1).alias("_one")
-    domains = orgs.agg(F.count_if("domain_verified").alias("verified_domains")).select("*", one)
-    return domains.join(scoped.agg(F.count("*").alias("in_scope_attempts")).select("*", one), "_one").drop("_one")
+    domains = orgs.agg(F.count_if("domain_verified").alias("verified_domains"))
+    return side_by_side(domains, scoped.agg(F.count("*").alias("in_scope_attempts")))
 
 
 def supplier_audit(rows: DataFrame, rules: R.AuditRules = R.AuditRules()) -> DataFrame:

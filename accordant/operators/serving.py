@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +124,12 @@ def sort_keys(sort: str = "updated") -> list[Column]:
     return [F.col("updated_at").desc(), F.col("entity_id").asc()]
 
 
+def side_by_side(*lines: DataFrame) -> DataFrame:
+    """One line with the columns of several one-line results, without joining them."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lines)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def paginate(df: DataFrame, sort: Sequence[Column], page: int, size: int) -> tuple[DataFrame, DataFrame]:
     """(one page, one-line total). Only the rows up to the page's end leave the tasks."""
     return (
@@ -334,11 +341,7 @@ def dashboard(
     )
     imported = batches.agg(F.max("imported_at").alias("latest_import_at"))
     groups = sources.agg(F.countDistinct("independence_group").alias("independent_source_count"))
-    # Three one-line results side by side.
-    one = F.lit(1).alias("_one")
-    return (
-        totals.select("*", one).join(imported.select("*", one), "_one").join(groups.select("*", one), "_one").drop("_one")
-    )
+    return side_by_side(totals, imported, groups)
 
 
 def top_pairs(pairs: DataFrame, entities: DataFrame, decision: str = "REVIEW", k: int = 50) -> DataFrame:

@@ -147,9 +147,9 @@ def a5(t: Tables) -> DataFrame:
     record = F.when(value < 1, "").otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string")))
     fields = F.when((F.col("event_type") == "view") & (value > 100), "[1]").otherwise(F.col("props"))
     item = F.struct(record.alias("record_id"), F.lit(None).cast("string").alias("id"), fields.alias("fields"))
-    pages = t.events.join(last, F.col("event_id") <= F.col("_last")).select(
+    pages = t.events.join(last, F.col("event_id") == F.col("_last"), "left").select(
         F.col("event_id").alias("page_no"), F.lit(0).alias("code"), F.array(item).alias("items"),
-        (F.col("event_id") < F.col("_last")).alias("has_more"),
+        F.col("_last").isNull().alias("has_more"),
         F.when(value.between(2, 3), "").otherwise(F.concat(F.col("user_id").cast("string"), "event_type")).alias("page_token"),
     )
     return paged.check_paged_load(pages, paged.page_records(pages), previous_count=1, max_pages=5000)
