@@ -210,7 +210,7 @@ def i7(t: Tables) -> DataFrame:
 
 
 def flags(t: Tables) -> DataFrame:
-    conflicts = C.resolve_claims(W.line_claims(t)).filter(F.col("reason") == C.CONFLICT).select("entity_id")
+    conflicts = C.verdicts(W.line_claims(t)).filter("state = 'conflict'").select("entity_id")
     return S.queue_flags(W.entities(t), conflicts, W.decisions(t), fresh(t))
 
 
