@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accordant.llm import decontaminate, packing, simhash, substrings, token_files
+from accordant.llm import decontaminate, packing, quality_rules, secret_scan, simhash, substrings, token_files
 from accordant.session import scratch_path, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,12 +48,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(table(spark, sf_dir, "documents"))
 
 
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
 @query("op5_simhash_groups")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+@query("op6_quality_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and whether the fixed and the learned rules keep it."""
+    return quality_rules.rule_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op7_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
