@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accordant.llm import decontaminate, packing, quality_rules, secret_scan, simhash, substrings, token_files
+from accordant.llm import decontaminate, packing, quality_model, quality_rules, secret_scan, simhash, substrings, token_files
 from accordant.session import scratch_path, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder, with_ids=False)
 
 
+@query("op2_quality_model")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    return quality_model.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op3_substring_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in runs of 35 that occur elsewhere too, removed from every document."""
