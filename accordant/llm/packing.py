@@ -220,18 +220,18 @@ def encode_pieces(
     ids are little-endian unsigned 32-bit integers. nth counts the pieces of one length in a part.
     """
     spark = small_batches(docs.sparkSession)
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         encode = encoder(tokenizer, drops_space).encode
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                rows = batch.slice(first, 256)
+            for first in range(0, batch.num_rows, 1000):
+                rows = batch.slice(first, 1000)
                 out: list[tuple] = []
-                for doc, ids in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist())):
-                    ids += end
+                for doc, found in zip(rows.column(0).to_pylist(), encode(rows.column(1))):
+                    ids = found.astype("<u4").tobytes() + end
                     n = len(ids) // 4
                     start, stop = 0, n % capacity or min(n, capacity)
                     piece = 0

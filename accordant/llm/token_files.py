@@ -42,7 +42,9 @@ LINE = "part long, bin string, idx string, n_docs long, n_tokens long, has_null
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}")
+    if uri.startswith("file:"):
+        uri = "/" + uri.removeprefix("file:").lstrip("/")
+    return (fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), os.path.abspath(uri)))
 
 
 def put(system: fs.FileSystem, folder: str, name: str, chunks: list[bytes]) -> None:

@@ -1,30 +1,66 @@
-"""Token ids of whole texts through the tokenizers library, each distinct word encoded once.
+"""Token ids of whole texts through the tokenizers library, each distinct unit encoded once.
 
-Both tokenizer families split a text at white space before they merge bytes, so the ids of a text
-are those of its units one after another. A task keeps the ids of the units it has met (a bounded
-table) and encodes only new ones. tests/llm compares with the library on whole texts.
+Both tokenizer families split a text into pieces before they merge bytes, so a text may be cut
+into units at places where such a piece surely ends, and its ids are those of its units in turn:
+
+* at ASCII white space. The byte tokenizer takes one blank into the word after it; the rest of a
+  gap is a unit, its last character one of its own unless it is that blank. The word tokenizer
+  drops white space;
+* between an ASCII letter and an ASCII mark after it.
+
+Units are found and hashed (64 bits) as arrays; a worker keeps the ids of the units it has met, in
+a table of bounded size, and gives only new ones to the library. A text with other white space goes
+to the byte tokenizer whole. tests/llm compares with the library on whole texts.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+
+from accordant.llm.words import LOWER, NOT_SPACE, blocks, span_hashes
+
+CACHE_UNITS = 1_000_000
+
+#: White space of the Unicode standard outside ASCII.
+WIDE_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+LETTER = np.zeros(256, bool)
+LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
+MARK = np.zeros(256, bool)
+MARK[0x21:0x30] = MARK[0x3A:0x41] = MARK[0x5B:0x61] = MARK[0x7B:0x7F] = True
 
-CACHE_UNITS = 300_000
 
-#: White space of the Unicode standard, which is what the tokenizers' patterns mean by \\s.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: A text as a row of units: words with the blank before them, and the white space between.
-BYTE_UNITS = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]")
-#: The word tokenizer drops white space, so any place next to some may be cut.
-WORD_UNITS = re.compile("[^ \\t-\\r]+")
+def unit_spans(data: np.ndarray, offsets: np.ndarray, drops_space: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the units of a block of texts, in order. Empty texts have none."""
+    n = len(data)
+    inside = NOT_SPACE[data]
+    begins = np.zeros(n + 1, bool)  # a unit begins here
+    begins[offsets[:-1]] = True
+    if n:
+        begins[1:n] |= inside[1:] != inside[:-1]  # words and gaps
+        begins[1:n] |= LETTER[data[:-1]] & MARK[data[1:]]
+        if not drops_space:
+            # Where a word begins in a text, what was the last character of the gap before it
+            # parts from the gap; a blank moves over to the word.
+            first = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+            first = first[~np.isin(first, offsets)]
+            begins[first - 1] = True
+            begins[first[data[first - 1] == 0x20]] = False
+    start = np.flatnonzero(begins[:n])
+    end = np.append(start[1:], n)
+    if drops_space:
+        word = inside[start]
+        return start[word], end[word]
+    return start, end
 
 
 class Encoder:
-    """ids(text) as bytes of little-endian unsigned 32-bit integers."""
+    """Token ids of texts, with a table of the units met so far."""
 
     def __init__(self, path: str, drops_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -32,21 +68,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.units = WORD_UNITS if drops_space else BYTE_UNITS
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        rows = [self.units.findall(t) if t else [] for t in texts]
-        new: set[str] = set()
-        for row in rows:
-            new.update(row)
-        if len(self.known) > CACHE_UNITS:
-            self.known = {}
-        new = sorted(new.difference(self.known))
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[x] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, row)) for row in rows]
+        self.drops_space = drops_space
+        self.forget()
+
+    def forget(self) -> None:
+        self.row: dict[int, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.first = np.zeros(1 << 14, np.int64)
+        self.size = np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def learn(self, hashes: list[int], units: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        sizes = np.array([len(x) for x in found], np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        have, rows = len(self.row), len(self.row) + len(units)
+        while rows > len(self.first):
+            self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.size[have:rows] = sizes
+        self.first[have:rows] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(flat)
+        self.row.update(zip(hashes, range(have, rows)))
+
+    def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a block of texts, one after another, and the place where each text's begin."""
+        if self.drops_space:
+            data = LOWER[data]  # as the tokenizer does first
+        start, end = unit_spans(data, offsets, self.drops_space)
+        hashes, place, unit = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        if len(self.row) > CACHE_UNITS:
+            self.forget()
+        known = hashes.tolist()
+        new = [k for k, h in enumerate(known) if h not in self.row]
+        if new:
+            raw = data.tobytes()
+            at = place[new]
+            self.learn([known[k] for k in new], [raw[s:e].decode() for s, e in zip(start[at].tolist(), end[at].tolist())])
+        row = np.fromiter(map(self.row.__getitem__, known), np.int64, len(known))[unit]
+        sizes = self.size[row]
+        stop = np.cumsum(sizes)
+        total = int(stop[-1]) if len(stop) else 0
+        ids = self.ids[np.repeat(self.first[row] - (stop - sizes), sizes) + np.arange(total)]
+        return ids, np.append(0, stop)[np.searchsorted(start, offsets)]
+
+    def encode(self, texts: pa.Array | Sequence[str | None]) -> list[np.ndarray]:
+        """The ids of each text; null counts as empty."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        out: list[np.ndarray] = []
+        for _, data, offsets in blocks(column):
+            ids, at = self.block(data, offsets)
+            rows = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            if not self.drops_space:
+                wide = (data >= 0xC2) & (data <= 0xE3)  # where the characters of WIDE_SPACE begin
+                for d in np.unique(np.searchsorted(offsets, np.flatnonzero(wide), "right") - 1).tolist():
+                    text = data[offsets[d] : offsets[d + 1]].tobytes().decode()
+                    if WIDE_SPACE.search(text):
+                        rows[d] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            out += rows
+        return out
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

@@ -91,6 +91,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BYTE_BASE))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from each start to its end; equal bytes have equal hashes."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_VALUES[data] * powers(BYTE_BASE, len(data)), out=sums[1:])
+    return mix((sums[end] - sums[start]) * powers(_inverse(BYTE_BASE), len(data) + 1)[start])
+
+
 class Words:
     """The words of a block of texts.
 
@@ -122,9 +129,7 @@ class Words:
     @functools.cached_property
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[self.data] * powers(BYTE_BASE, len(self.data)), out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * powers(_inverse(BYTE_BASE), len(self.data))[self.start])
+        return span_hashes(self.data, self.start, self.end)
 
     @functools.cached_property
     def sums(self) -> np.ndarray:
