@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accordant.llm import decontaminate, packing, quality_model, quality_rules, secret_scan, simhash, substrings, token_files
+from accordant.llm import decontaminate, packing, quality_model, quality_rules, recurrent_lm, secret_scan, simhash, substrings, token_files
 from accordant.session import scratch_path, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_report(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+@query("op8_recurrent_lm")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and recurrent log probability of every document."""
+    return recurrent_lm.score_report(table(spark, sf_dir, "documents"))
+
+
 @query("op9_decontamination")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test n-grams found in every document."""
