@@ -4,8 +4,8 @@
    hash buckets, and every bucket has a fixed sparse vector of a few +1 and -1. A bucket's word
    vector is the sum of the sparse vectors of the words next to it, over all texts: tasks add up
    whole numbers, Spark adds up the tasks', and the result has BUCKETS rows at any corpus size.
-2. Pooling. A document is the mean and the spread of the word vectors of all its words, and the logarithm
-   of their number.
+2. Pooling. A document is the mean and the spread of the word vectors of all its words, the logarithms
+   of the numbers of words and of different words, and the share of words equal to one of the two before.
 3. A network with one hidden layer is trained with numpy on at most `max_train` labelled documents,
    those with the smallest hash of their id. Nothing but the text is an input.
 4. Temperature. On a fifth of them, not trained on, one divisor of the network's output is chosen
@@ -34,6 +34,7 @@ from accordant.llm.words import NOT_SPACE, blocks, mix, small_batches, span_hash
 
 BUCKETS = 1 << 13
 SIZE = 64
+INPUTS = 2 * SIZE + 3
 NONZERO = 4
 NEIGHBOURS = 2
 FOLDS = 5
@@ -106,18 +107,23 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def pool(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of the word vectors of each text, and the logarithm of the number of words."""
+    """Mean and spread of the word vectors of each text, and how many and how varied its words are."""
     bucket, text = word_buckets(data, offsets)
     n = np.bincount(text, minlength=len(offsets) - 1)
     first = np.append(0, np.cumsum(n))
-    out = np.zeros((len(n), 2 * SIZE + 1), np.float32)
+    out = np.zeros((len(n), INPUTS), np.float32)
+    equal = np.zeros(len(bucket), bool)
+    for lag in (1, 2):  # a mark may stand between
+        equal[lag:] |= (bucket[lag:] == bucket[:-lag]) & (text[lag:] == text[:-lag])
+    out[:, -3] = np.bincount(text, equal, len(n)) / np.maximum(n, 1)
+    out[:, -1] = np.log1p(n)
     for d in np.flatnonzero(n).tolist():
         own, times = np.unique(bucket[first[d] : first[d + 1]], return_counts=True)
         share = (times / n[d]).astype(np.float32)
         mean = share @ vectors[own]
         out[d, :SIZE] = mean
         out[d, SIZE : 2 * SIZE] = np.sqrt(np.maximum(share @ vectors[own] ** 2 - mean**2, 0))
-    out[:, -1] = np.log1p(n)
+        out[d, -2] = np.log1p(len(own))
     return out
 
 
@@ -205,7 +211,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, id_
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     joined = own.join(F.broadcast(marks), "id").select("id", "label", "text")  # at most `max_train` ids
     found = joined.mapInArrow(run, "id long, label int, x binary").dropDuplicates(["id"]).toPandas().sort_values("id")
-    x = np.frombuffer(b"".join(found["x"]), "<f4").reshape(-1, 2 * SIZE + 1)
+    x = np.frombuffer(b"".join(found["x"]), "<f4").reshape(-1, INPUTS)
     ids = found["id"].to_numpy(np.int64).view(np.uint64)
     return x, found["label"].to_numpy(), mix(ids) % np.uint64(5) == 0
 
