@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accordant.llm import decontaminate, packing, quality_model, quality_rules, recurrent_lm, secret_scan, simhash, substrings, token_files
+from accordant.llm import decontaminate, packing, page_text, quality_model, quality_rules, recurrent_lm, secret_scan, simhash, substrings, token_files
 from accordant.session import scratch_path, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test n-grams found in every document."""
     return decontaminate.hit_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_page_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article text of every page."""
+    return page_text.extract_text(table(spark, sf_dir, "pages"))

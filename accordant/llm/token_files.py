@@ -70,7 +70,7 @@ def write_tokens(
     """Encode `docs` into token files under `folder` (a URI all executors reach); returns the manifest."""
     spark = small_batches(docs.sparkSession)
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    end = np.array([] if end_id is None else [end_id], kind).tobytes()
     system, at = open_folder(folder)
     system.create_dir(at, recursive=True)
 
@@ -84,14 +84,13 @@ def write_tokens(
         for batch in batches:
             if out is None:
                 out = system.open_output_stream(attempt)
-            for start in range(0, len(batch), 256):
-                rows = batch.iloc[start : start + 256]
-                for doc, null, row in zip(rows["id"].tolist(), rows["no_id"].tolist(), encode(rows["text"].tolist())):
-                    tokens = np.frombuffer(row + end, "<u4").astype(kind)
-                    out.write(tokens.tobytes())
-                    ids.append(doc)
-                    nulls.append(null)
-                    sizes.append(len(tokens))
+            for start in range(0, len(batch), 1000):
+                rows = batch.iloc[start : start + 1000]
+                found = encode(rows["text"].tolist())
+                out.write(b"".join(x.astype(kind).tobytes() + end for x in found))
+                ids += rows["id"].tolist()
+                nulls += rows["no_id"].tolist()
+                sizes += [len(x) + (end_id is not None) for x in found]
         if out is None:
             return
         out.close()
