@@ -134,16 +134,26 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             P + "distinct_share": share("distinct", "words"),
             P + "words_per_line": share("words", "n_lines"),
             P + "letterless_share": share("letterless", "words"),
+            P + "row": F.monotonically_increasing_id(),
         }
     )
 
 
+def passes_limits() -> Column:
+    """What the fixed limits keep.
+
+    The row number keeps Spark from moving a filter below the statistics, which would put their
+    whole definitions, nested, in its place.
+    """
+    return ~F.col(P + "base_failed") & (F.col(P + "row") >= 0)
+
+
 def labelled_statistics(stats: DataFrame, labels: DataFrame, id_col: str, label_id: str, label_col: str) -> DataFrame:
     """Statistics of the labelled documents that the fixed limits keep: FEATURES, bad, prune; written once."""
     marks = labels.filter(F.col(label_id).isNotNull() & F.col(label_col).isNotNull()).groupBy(
         F.col(label_id).alias(P + "id")
     ).agg((F.min(label_col) == 0).alias("bad"))
-    rows = stats.filter(~F.col(P + "base_failed")).select(
+    rows = stats.filter(passes_limits()).select(
         F.col(id_col).alias(P + "id"), *(F.col(P + f).cast("double").alias(f) for f in FEATURES)
     )
     path = scratch_path(stats.sparkSession, "labelled")
@@ -251,7 +261,7 @@ def verdict(rules: list[Rule]) -> Column:
 
 def rule_report(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """doc_id, the statistics of the fixed limits, base_failed, kept, and the rule that rejects."""
-    names = ["words", "word_chars", "symbols", "dup_lines", "repeat_words", "base_failed"]
+    names = ["words", "word_chars", "symbols", "dup_lines", "repeat_words", "base_failed", "row"]
     path = scratch_path(docs.sparkSession, "statistics")
     with_statistics(docs.select(id_col, text_col), text_col).select(
         id_col, *(P + n for n in dict.fromkeys([*names, *FEATURES]))
@@ -280,5 +290,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     """
     stats = with_statistics(docs.select(id_col, text_col), text_col)
     rules = learn_rules(labelled_statistics(stats, labels, id_col, label_id, label_col))
-    kept = ~F.col(P + "base_failed") & verdict(rules).isNull()
+    kept = passes_limits() & verdict(rules).isNull()
     return with_statistics(docs, text_col).filter(kept).select(*(F.col(f"`{c}`") for c in docs.columns))
