@@ -42,7 +42,7 @@ FEATURES = (
     "words", "word_length", "symbol_share", "upper_share", "digit_share", "mark_share",
     "repeat_share", "dup_line_share", "distinct_share", "words_per_line", "letterless_share",
 )
-QUANTILES = (0.001, 0.01, 0.02, 0.05, *(k / 16 for k in range(1, 16)), 0.95, 0.98, 0.99, 0.999)
+QUANTILES = (0.001, 0.01, 0.02, 0.05, *(k / 32 for k in range(2, 31)), 0.95, 0.98, 0.99, 0.999)
 
 
 @dataclasses.dataclass(frozen=True)

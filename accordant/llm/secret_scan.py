@@ -51,7 +51,7 @@ ENCODINGS = (
     ("base64", r"", DIGITS + CAPITALS + SMALL + "+/", (10, 26, 26, 2)),
 )
 MIN_BITS = 96
-LEVEL = 0.2
+LEVEL = 0.05
 BINS_PER_DECADE, LAST_BIN = 20, 400
 LENGTHS = (24, 32, 48, 64)
 MASK = "[SECRET]"
@@ -103,46 +103,93 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def randomness(token: Column, alphabet: str, classes: tuple[int, ...]) -> Column:
-    """The combined p-value that a token is random over its alphabet."""
-    k = len(alphabet)
-    value = F.regexp_replace(F.translate(token, "-_", "+/"), "=", "")
-    if SMALL not in alphabet and CAPITALS[:6] in alphabet:
-        value = F.upper(value)
-    chars = F.split(value, "(?!^)", -1)
-    n = F.length(value).cast("double")
-    squares = total(F.transform(F.array_distinct(chars), lambda c: F.pow(F.size(F.filter(chars, lambda x: x == c)).cast("double"), F.lit(2.0))))
-    chi = squares * k / n - n
-    uniform = upper_tail((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n)))
-
-    kinds = F.split(F.translate(value, DIGITS + CAPITALS + SMALL + "+/", "d" * 10 + "u" * 26 + "l" * 26 + "mm"), "(?!^)", -1)
-    share = [c / k for c in classes]
-    q = 1 - sum(p * p for p in share)
-    both = sum(p * (1 - p) ** 2 for p in share)
-    pairs = F.zip_with(F.slice(kinds, 1, F.size(kinds) - 1), F.slice(kinds, 2, F.size(kinds) - 1), lambda a, b: (a != b).cast("double"))
-    spread = (n - 1) * (q * (1 - q)) + (n - 2) * (2 * (both - q * q))
-    runs = two_sided((total(pairs) - (n - 1) * q) / F.sqrt(spread))
-
-    places = F.transform(chars, lambda c: F.instr(F.lit(alphabet), c).cast("double") - (k + 1) / 2)
-    steps = F.zip_with(F.slice(places, 1, F.size(places) - 1), F.slice(places, 2, F.size(places) - 1), lambda a, b: a * b)
-    serial = two_sided(total(steps) / ((k * k - 1) / 12) / F.sqrt(n - 1))
-
-    half = -(F.log(uniform) + F.log(runs) + F.log(serial))
-    return F.greatest(F.exp(-half) * (1 + half + half * half / 2), F.lit(1e-250))
-
-
-def judged(token: Column) -> Column:
-    """Encoding, stratum and p-value of a token, as a struct; null p if it is too short to tell."""
-    p, name = F.lit(None).cast("double"), F.lit(None).cast("string")
-    for encoding, pattern, alphabet, classes in reversed(ENCODINGS):
-        fits = token.rlike(pattern)
-        long_enough = F.length(token) * math.log2(len(alphabet)) >= MIN_BITS
-        name = F.when(fits, F.lit(encoding)).otherwise(name)
-        p = F.when(fits, F.when(long_enough, randomness(token, alphabet, classes))).otherwise(p)
-    bucket = F.lit(0)
-    for length in LENGTHS:
-        bucket = bucket + F.when(F.length(token) >= length, 1).otherwise(0)
-    return F.struct(F.concat_ws(":", name, bucket).alias("stratum"), p.alias("p"))
+def by_encoding(number: Column, values: list) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), number + 1)
+
+
+def with_fields(rows: Column, step: Callable[[Column], dict[str, Column]], keep: list[str]) -> Column:
+    return F.transform(rows, lambda x: F.struct(*(x[c].alias(c) for c in keep), *(v.alias(c) for c, v in step(x).items())))
+
+
+def judged(tokens: Column) -> Column:
+    """An array of tokens (start, kind, end, match) with stratum and p-value for their matches.
+
+    One step holds what the next ones use more than once, so no expression is worked out twice.
+    """
+    alphabets = [a for _, _, a, _ in ENCODINGS]
+    shares = [[c / len(a) for c in classes] for _, _, a, classes in ENCODINGS]
+    change = [1 - sum(p * p for p in x) for x in shares]
+    twice = [sum(p * (1 - p) ** 2 for p in x) for x in shares]
+    classes = "d" * 10 + "u" * 26 + "l" * 26 + "mm"
+
+    def encoding(x: Column) -> dict[str, Column]:
+        number = F.lit(len(ENCODINGS) - 1)
+        for k in range(len(ENCODINGS) - 2, -1, -1):
+            number = F.when(x["match"].rlike(ENCODINGS[k][1]), F.lit(k)).otherwise(number)
+        return {"encoding": number, "clean": F.regexp_replace(F.translate(x["match"], "-_", "+/"), "=", "")}
+
+    def spelled(x: Column) -> dict[str, Column]:
+        caseless = by_encoding(x["encoding"], [a.startswith(DIGITS) and SMALL not in a for a in alphabets])
+        return {
+            "n": F.length(x["clean"]).cast("double"),
+            "k": by_encoding(x["encoding"], [float(len(a)) for a in alphabets]),
+            "chars": F.split(F.when(caseless, F.upper(x["clean"])).otherwise(x["clean"]), "(?!^)", -1),
+            "kinds": F.split(F.translate(x["clean"], DIGITS + CAPITALS + SMALL + "+/", classes), "(?!^)", -1),
+        }
+
+    def placed(x: Column) -> dict[str, Column]:
+        alphabet = by_encoding(x["encoding"], alphabets)
+        return {"places": F.transform(x["chars"], lambda c: F.instr(alphabet, c).cast("double") - (x["k"] + 1) / 2)}
+
+    def neighbours(values: Column, f: Callable[[Column, Column], Column]) -> Column:
+        return total(F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), f))
+
+    def counted(x: Column) -> dict[str, Column]:
+        times = lambda c: F.size(F.filter(x["chars"], lambda y: y == c)).cast("double")
+        return {
+            "squares": total(F.transform(F.array_distinct(x["chars"]), lambda c: F.pow(times(c), F.lit(2.0)))),
+            "changes": neighbours(x["kinds"], lambda a, b: (a != b).cast("double")),
+            "steps": neighbours(x["places"], lambda a, b: a * b),
+        }
+
+    def tested(x: Column) -> dict[str, Column]:
+        n, k = x["n"], x["k"]
+        q = by_encoding(x["encoding"], change)
+        spread = (n - 1) * (q * (1 - q)) + (n - 2) * (2 * (by_encoding(x["encoding"], twice) - q * q))
+        return {
+            "uniform": (x["squares"] * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n)),
+            "runs": (x["changes"] - (n - 1) * q) / F.sqrt(spread),
+            "serial": x["steps"] / ((k * k - 1) / 12) / F.sqrt(n - 1),
+        }
+
+    def halved(x: Column) -> dict[str, Column]:
+        return {"half": -(F.log(upper_tail(x["uniform"])) + F.log(two_sided(x["runs"])) + F.log(two_sided(x["serial"])))}
+
+    def combined(x: Column) -> dict[str, Column]:
+        bucket = F.lit(0)
+        for length in LENGTHS:
+            bucket = bucket + F.when(x["n"] >= length, 1).otherwise(0)
+        half = x["half"]
+        p = F.greatest(F.exp(-half) * (1 + half + half * half / 2), F.lit(1e-250))
+        return {"stratum": F.concat_ws(":", by_encoding(x["encoding"], [e[0] for e in ENCODINGS]), bucket), "p": p}
+
+    span = ["start", "kind", "end"]
+    steps = [
+        (encoding, [*span, "match"]),
+        (spelled, [*span, "encoding"]),
+        (placed, [*span, "encoding", "n", "k", "chars", "kinds"]),
+        (counted, [*span, "encoding", "n", "k"]),
+        (tested, [*span, "encoding", "n"]),
+        (halved, [*span, "encoding", "n"]),
+        (combined, span),
+    ]
+    out = tokens
+    bits = [math.log2(len(a)) for a in alphabets]
+    for step, keep in steps:
+        out = with_fields(out, step, keep)
+        if step is encoding:
+            out = F.filter(out, lambda x: F.length(x["clean"]) * by_encoding(x["encoding"], bits) >= MIN_BITS)
+    return out
 
 
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -159,10 +206,7 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     based = found.withColumn("__s_base", F.array_sort(F.concat("__s_assign", "__s_access", "__s_hex")))
     free = F.filter("__s_all", lambda x: ~F.exists("__s_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    tokens = F.transform(free, lambda x: F.struct(x["start"], x["kind"], x["end"], judged(x["match"]).alias("judged")))
-    return based.withColumn("__s_tokens", F.filter(tokens, lambda x: x["judged"]["p"].isNotNull())).drop(
-        "__s_assign", "__s_access", "__s_hex", "__s_all"
-    )
+    return based.withColumn("__s_tokens", judged(free)).drop("__s_assign", "__s_access", "__s_hex", "__s_all")
 
 
 def bin_of(p: Column) -> Column:
@@ -175,7 +219,7 @@ def failing_bins(found: DataFrame, level: float = LEVEL) -> dict[str, int]:
     Benjamini-Hochberg with p rounded up to its bin. The counts are at most a row for each stratum
     and bin, whatever the corpus.
     """
-    tokens = found.select(F.explode("__s_tokens.judged").alias("x"))
+    tokens = found.select(F.explode("__s_tokens").alias("x"))
     counts: dict[str, dict[int, int]] = {}
     for r in tokens.groupBy("x.stratum", bin_of(F.col("x.p")).alias("bin")).count().collect():
         counts.setdefault(r["stratum"], {})[r["bin"]] = r["count"]
@@ -196,8 +240,8 @@ def random_spans(failing: dict[str, int]) -> Column:
     def random(x: Column) -> Column:
         first = F.lit(LAST_BIN + 1)
         for stratum, b in failing.items():
-            first = F.when(x["judged"]["stratum"] == stratum, F.lit(b)).otherwise(first)
-        return bin_of(x["judged"]["p"]) < first
+            first = F.when(x["stratum"] == stratum, F.lit(b)).otherwise(first)
+        return bin_of(x["p"]) < first
 
     return F.transform(F.filter("__s_tokens", random), lambda x: F.struct(x["start"], x["kind"], x["end"]))
 
