@@ -1,15 +1,14 @@
 """Field claims: unpivot, scope, and resolution by authority and recency.
 
 A field of one entity may hold any share of all claims. Winners and conflicts are therefore maxima
-and minima that combine before the shuffle; only labelling looks at whole groups, and there groups
-above a size are labelled by joins instead.
+and minima that combine before the shuffle, and claims meet them in joins that Spark may split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordant import rules as R
@@ -21,8 +20,6 @@ from accordant.session import fact_join
 GROUP = ["entity_id", "field"]
 SOURCE_GROUP = [*GROUP, "source_key"]
 RECENCY = ["observed_at", "created_at", "claim_id"]
-# Claims of one entity and field that one task may sort.
-HOT_ROWS = 1_000_000
 CLAIM_FIELDS = (
     "company", "title", "cities", "graduation_years", "education", "recruitment_type", "industry",
     "employer_type", "written_test", "published_at", "deadline", "status", "announcement_url", "apply_url",
@@ -201,52 +198,13 @@ def _verdicts(latest: DataFrame) -> DataFrame:
     )
 
 
-def resolve_claims(claims: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def resolve_claims(claims: DataFrame) -> DataFrame:
     """Every claim with `selected` and a `reason` code; inactive claims keep theirs.
 
-    Groups of ordinary size are labelled in windows after one shuffle. Groups above `hot_rows`
-    claims take the way of aggregates and joins, which never puts a group into one task. There can
-    be no more of those than all claims divided by `hot_rows`, which bounds the broadcast list.
+    The newest claim of each source and the verdict over them are aggregates, and claims meet them
+    in one join, so a group of any size costs a line per source and never fills a task. Both uses
+    of the newest claims share one exchange: the input is read twice.
     """
-    sizes = claims.groupBy(*GROUP).agg(F.count("*").alias("_n"))
-    hot = F.broadcast(sizes.filter(F.col("_n") > hot_rows).select(*GROUP))
-    ordinary = _label_in_windows(claims.join(hot, GROUP, "left_anti"))
-    return ordinary.unionByName(_label_by_joins(claims.join(hot, GROUP, "left_semi")))
-
-
-def _label_in_windows(claims: DataFrame) -> DataFrame:
-    voice = Window.partitionBy(*SOURCE_GROUP)
-    group = Window.partitionBy(*GROUP)
-    kept = F.lit(True)
-    for name in ("active", "applicable"):
-        if name in claims.columns:
-            kept = kept & F.col(name)
-    full = kept & ~is_missing(F.col("value_key"))
-    order = [F.col("_full").desc(), *[F.col(c).desc() for c in RECENCY]]
-    newest = claims.withColumn("_full", full).withColumn(
-        "_newest", F.col("_full") & (F.row_number().over(voice.orderBy(*order)) == 1)
-    )
-    topped = newest.withColumn("top_authority", F.max(F.when(F.col("_newest"), F.col("authority"))).over(group))
-    at_top = F.col("_newest") & (F.col("authority") == F.col("top_authority"))
-    judged = topped.withColumns(
-        {
-            "_low": F.min(F.when(at_top, F.col("value_key"))).over(group),
-            "_best": F.max(F.when(at_top, F.struct(*RECENCY, "value_key"))).over(group),
-            "_high": F.max(F.when(at_top, F.col("value_key"))).over(group),
-        }
-    ).withColumns(
-        {
-            "state": F.when(F.col("top_authority").isNull(), "missing")
-            .when(F.col("_low") != F.col("_high"), "conflict")
-            .otherwise("selected"),
-            "selected_id": F.col("_best.claim_id"),
-            "selected_key": F.col("_best.value_key"),
-        }
-    )
-    return _with_reason(judged, claims.columns)
-
-
-def _label_by_joins(claims: DataFrame) -> DataFrame:
     latest = latest_per_source(claims)
     facts = fact_join(
         latest.select(*SOURCE_GROUP, F.col("latest.claim_id").alias("_latest")),

@@ -288,7 +288,14 @@ def apply_merges(state: State, merges: DataFrame) -> tuple[State, DataFrame]:
     decisions = _remap(state["decisions"], plan)
     decisions = decisions.withColumn("is_current", F.col("is_current") & ~F.col("_moved")).drop("_moved")
     links = _remap(_remap(state["links"], plan, "campaign_id").drop("_moved"), plan, "posting_id").drop("_moved")
-    links = links.dropDuplicates(["campaign_id", "posting_id"])
+    # Of the links that now join one pair the surest stays.
+    rest = sorted((c for c in links.columns if c not in ("campaign_id", "posting_id")), key=lambda c: c != "confidence")
+    if rest:
+        links = links.groupBy("campaign_id", "posting_id").agg(F.max(F.struct(*rest)).alias("l")).select(
+            *[F.col(c) if c in ("campaign_id", "posting_id") else F.col(f"l.{c}") for c in links.columns]
+        )
+    else:
+        links = links.distinct()
     # The kept entry comes first; the note list is at most one line per merged shell.
     entries = _remap(state["shortlist"], plan)
     order = F.struct("_moved", "added_at")

@@ -364,18 +364,22 @@ def decide(
 NEWEST = ("created_at", "decision_id")
 
 
+def decision_key(*tables: DataFrame) -> list[str]:
+    """What a decision is about: an entity, and a profile where all tables know it."""
+    return [c for c in ("entity_id", "profile_id") if all(c in t.columns for t in tables)]
+
+
 def store_decisions(history: DataFrame, new: DataFrame) -> DataFrame:
     """History with the new lines current; manual verdicts carry over from the newest old line."""
-    last = history.groupBy("entity_id").agg(
-        F.max(F.struct(*NEWEST, "manual", "override_reason")).alias("_last")
-    )
-    touched = new.select("entity_id").distinct().withColumn("_new", F.lit(True))
-    old = fact_join(history, touched, ["entity_id"]).withColumn(
+    key = decision_key(history, new)
+    last = history.groupBy(*key).agg(F.max(F.struct(*NEWEST, "manual", "override_reason")).alias("_last"))
+    touched = new.select(*key).distinct().withColumn("_new", F.lit(True))
+    old = fact_join(history, touched, key).withColumn(
         "is_current", F.col("is_current") & F.col("_new").isNull()
     ).select(*history.columns)
-    added = new.join(last, "entity_id", "left").withColumns(
+    added = new.join(last, key, "left").withColumns(
         {
-            "decision_id": F.concat_ws(":", F.col("entity_id").cast("string"), F.col("created_at").cast("string")),
+            "decision_id": F.concat_ws(":", *[F.col(c).cast("string") for c in key], F.col("created_at").cast("string")),
             "is_current": F.lit(True),
             "manual": F.coalesce("_last.manual", F.lit("UNDECIDED")),
             "override_reason": F.coalesce("_last.override_reason", F.lit("")),
@@ -392,19 +396,19 @@ def invalidate(history: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Nothing is current any more: everywhere (None) or for the given entities only."""
     if keys is None:
         return history.withColumn("is_current", F.lit(False))
-    hit = keys.select("entity_id").distinct().withColumn("_hit", F.lit(True))
-    return fact_join(history, hit, ["entity_id"]).withColumn(
+    key = decision_key(history, keys)
+    hit = keys.select(*key).distinct().withColumn("_hit", F.lit(True))
+    return fact_join(history, hit, key).withColumn(
         "is_current", F.col("is_current") & F.col("_hit").isNull()
     ).select(*history.columns)
 
 
 def still_current(history: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Add `valid`: current, and a recomputation gives the same trust and fingerprint."""
-    now = recomputed.select(
-        "entity_id", F.col("trust").alias("_trust"), F.col("fingerprint").alias("_fingerprint")
-    )
+    key = decision_key(history, recomputed)
+    now = recomputed.select(*key, F.col("trust").alias("_trust"), F.col("fingerprint").alias("_fingerprint"))
     same = (F.col("trust") == F.col("_trust")) & (F.col("fingerprint") == F.col("_fingerprint"))
-    return fact_join(history, now, ["entity_id"]).withColumn(
+    return fact_join(history, now, key).withColumn(
         "valid", F.col("is_current") & F.coalesce(same, F.lit(False))
     ).select(*history.columns, "valid")
 
@@ -429,15 +433,26 @@ def recompute(
     return store_decisions(history, decide(live, profiles, as_of, rules))
 
 
-def override_decisions(history: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+def override_decisions(
+    history: DataFrame, commands: DataFrame, recomputed: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(history, rejected). commands: entity_id, manual, reason, at; several are applied by time.
 
     A verdict needs a reason unless it is UNDECIDED, and a current decision to attach to. Every
-    override is a new line; the last one is current.
+    override is a new line; the last one (by time, verdict and reason) is current. Given
+    `recomputed` (as decide() makes it), a decision that no longer holds is replaced by the new
+    one first, so that no verdict attaches to a stale line.
     """
+    key = decision_key(history, commands)
+    if recomputed is not None:
+        stale = still_current(history, recomputed).filter("is_current and not valid").select(*decision_key(history, recomputed))
+        asked = commands.select(*key).distinct()
+        fresh = recomputed.join(stale.distinct(), stale.columns, "left_semi").join(asked, key, "left_semi")
+        history = store_decisions(history, fresh)
     current = current_decisions(history)
-    held = current.select("entity_id", F.struct(*history.columns).alias("_d"))
-    judged = fact_join(commands.select("entity_id", F.col("manual").alias("_manual"), F.col("reason").alias("_why"), "at"), held, ["entity_id"])
+    held = current.select(*key, F.struct(*history.columns).alias("_d"))
+    asked = commands.select(*key, F.col("manual").alias("_manual"), F.col("reason").alias("_why"), "at").distinct()
+    judged = fact_join(asked, held, key)
     judged = judged.withColumn(
         "error",
         F.when((F.col("_manual") != "UNDECIDED") & (F.trim("_why") == ""), "reason_missing").when(
@@ -445,16 +460,20 @@ def override_decisions(history: DataFrame, commands: DataFrame) -> tuple[DataFra
         ),
     )
     good = judged.filter("error is null")
-    last = good.groupBy("entity_id").agg(F.max("at").alias("_last"))
+    order = F.struct("at", "_manual", "_why")
+    last = good.groupBy(*key).agg(F.max(order).alias("_last"))
     replaced = {
-        "decision_id": F.concat_ws(":", F.col("entity_id").cast("string"), F.lit("manual"), F.col("at").cast("string")),
+        "decision_id": F.concat_ws(
+            ":", *[F.col(c).cast("string") for c in key], F.lit("manual"), F.col("at").cast("string"), "_manual",
+            F.substring(F.sha2("_why", 256), 1, 8),
+        ),
         "manual": F.col("_manual"),
         "override_reason": F.col("_why"),
         "created_at": F.col("at"),
-        "is_current": F.col("at") == F.col("_last"),
-        "entity_id": F.col("entity_id"),
+        "is_current": order == F.col("_last"),
+        **{c: F.col(c) for c in key},
     }
-    added = fact_join(good, last, ["entity_id"], "inner").select(
+    added = fact_join(good, last, key, "inner").select(
         *[replaced.get(c, F.col(f"_d.{c}")).alias(c) for c in history.columns]
     )
     out = invalidate(history, last).unionByName(added)
@@ -462,15 +481,17 @@ def override_decisions(history: DataFrame, commands: DataFrame) -> tuple[DataFra
 
 
 def current_decisions(history: DataFrame) -> DataFrame:
-    """The newest current line per entity."""
-    line = F.struct(*NEWEST, *[c for c in history.columns if c not in (*NEWEST, "entity_id")])
-    flat = history.filter("is_current").groupBy("entity_id").agg(F.max_by(line, F.struct(*NEWEST)).alias("d"))
-    return flat.select(*[F.col("entity_id") if c == "entity_id" else F.col(f"d.{c}") for c in history.columns])
+    """The newest current line per entity (and profile)."""
+    key = decision_key(history)
+    line = F.struct(*NEWEST, *[c for c in history.columns if c not in (*NEWEST, *key)])
+    flat = history.filter("is_current").groupBy(*key).agg(F.max_by(line, F.struct(*NEWEST)).alias("d"))
+    return flat.select(*[F.col(c) if c in key else F.col(f"d.{c}") for c in history.columns])
 
 
 def keep_newest_current(history: DataFrame) -> DataFrame:
     """Repair: older lines that are also marked current lose the mark."""
-    newest = history.filter("is_current").groupBy("entity_id").agg(F.max(F.struct(*NEWEST)).alias("_top"))
-    return fact_join(history, newest, ["entity_id"]).withColumn(
+    key = decision_key(history)
+    newest = history.filter("is_current").groupBy(*key).agg(F.max(F.struct(*NEWEST)).alias("_top"))
+    return fact_join(history, newest, key).withColumn(
         "is_current", F.col("is_current") & (F.struct(*NEWEST) == F.col("_top"))
     ).select(*history.columns)

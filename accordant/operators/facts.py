@@ -63,11 +63,11 @@ def fact_id(source: Column, start: Column, end: Column, kind: Column, value: Col
 
 
 def fact_ids(facts: DataFrame, source: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Facts with ids. Repeats of kind, value and span collapse; they can only arise inside one line."""
+    """Facts with ids. Repeats of kind, value and span collapse; the id is only a label."""
     named = facts.withColumn(
         "fact_id", fact_id(F.col(source), F.col("start"), F.col("end"), F.col("kind"), F.col("value"))
     )
-    return named.dropDuplicates([*keys, "fact_id"]) if keys else named
+    return named.dropDuplicates([*keys, source, "kind", "value", "start", "end"]) if keys else named
 
 
 def profile_facts(docs: DataFrame, rules: R.FactRules = R.FactRules()) -> DataFrame:

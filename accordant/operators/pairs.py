@@ -109,24 +109,40 @@ def _tokens(text: Column) -> Column:
 def similar_titles(groups: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
     """Pairs of different titles in a block that can reach the floor, with their similarity.
 
-    A common subsequence is no longer than the shared characters, so two titles above the floor
-    share a character among the rarest of each: with lengths m and n they share at least
-    floor*(m+n)/2, and n is at least floor/(2-floor)*m. Titles are joined on such characters of
-    their block, and a pair is kept at its first shared character only. The floor is lower for
-    titles that meet in one batch, so those are searched separately.
+    A pair of different contents qualifies only with a shared city, or a shared year within one
+    batch, so titles are searched within each city and each batch and year, not within the whole
+    block. There, a common subsequence is no longer than the shared characters: with lengths m and
+    n two titles above the floor share at least floor*(m+n)/2 of them, and n is at least
+    floor/(2-floor)*m, so they share two characters among the rarest of each. Titles are joined on
+    such pairs of characters; lengths and the number of shared characters are tested before any
+    subsequence is worked out. The floor is lower inside a batch, so that is searched separately.
     """
-    apart = _similar_titles(
-        groups.groupBy(*BLOCK, "title_key").agg(F.max("has_new").alias("title_new")),
-        BLOCK,
-        title_floor(rules, False) - 1e-9,
+    cities, years = city_tokens(), year_tokens()
+    apart = _title_candidates(
+        groups.select(*BLOCK, "title_key", "has_new", F.explode(cities).alias("token")), title_floor(rules, False) - 1e-9
     )
-    together = _similar_titles(
-        groups.filter("batch <> ''").groupBy(*BLOCK, "batch", "title_key").agg(F.max("has_new").alias("title_new")),
-        [*BLOCK, "batch"],
+    inside = groups.filter("batch <> ''").select(
+        *BLOCK, "title_key", "has_new", F.explode(F.concat(cities, years)).alias("t"), "batch"
+    )
+    together = _title_candidates(
+        inside.select(*BLOCK, "title_key", "has_new", F.concat_ws("\u0001", "batch", "t").alias("token")),
         title_floor(rules, True) - 1e-9,
     )
-    both = apart.unionByName(together)
-    return both.groupBy(*BLOCK, "left_title", "right_title").agg(F.max("title_similarity").alias("title_similarity"))
+    both = apart.unionByName(together).groupBy(*BLOCK, "left_title", "right_title").agg(F.min("floor").alias("floor"))
+    scored = both.withColumn("title_similarity", indel_ratio(F.col("left_title"), F.col("right_title")))
+    return scored.filter("title_similarity >= floor").drop("floor")
+
+
+def city_tokens() -> Column:
+    listed = F.when(F.size("cities") > 0, F.col("cities")).otherwise(F.array(F.lit("")))
+    return F.transform(listed, lambda x: F.concat(F.lit("c:"), x))
+
+
+def year_tokens() -> Column:
+    """Batch and year together; none without a batch."""
+    listed = F.when(F.size("years") > 0, F.col("years")).otherwise(F.array(F.lit("")))
+    marked = F.transform(listed, lambda x: F.concat(F.lit("y:"), F.col("batch"), F.lit(":"), x))
+    return F.when(F.col("batch") != "", marked).otherwise(F.array().cast("array<string>"))
 
 
 def content_pairs(groups: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
@@ -168,15 +184,7 @@ def content_pairs(groups: DataFrame, rules: PairRules = PairRules()) -> DataFram
         .filter("ln or rn")
         .select(*BLOCK, "a", "b", "title_similarity")
     )
-    city = F.transform(F.when(F.size("cities") > 0, F.col("cities")).otherwise(F.array(F.lit(""))), lambda x: F.concat(F.lit("c:"), x))
-    year = F.when(
-        F.col("batch") != "",
-        F.transform(
-            F.when(F.size("years") > 0, F.col("years")).otherwise(F.array(F.lit(""))),
-            lambda x: F.concat(F.lit("y:"), F.col("batch"), F.lit(":"), x),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    marked = groups.withColumn("tokens", F.concat(city, year)).select(
+    marked = groups.withColumn("tokens", F.concat(city_tokens(), year_tokens())).select(
         *BLOCK, "title_key", "years", "batch", content.alias("c"), "tokens", F.explode("tokens").alias("token")
     )
 
@@ -208,46 +216,52 @@ def content_pairs(groups: DataFrame, rules: PairRules = PairRules()) -> DataFram
     return linked.unionByName(loose).withColumnsRenamed({"a": "left_content", "b": "right_content"})
 
 
-def _similar_titles(titles: DataFrame, scope: list[str], floor: float) -> DataFrame:
+def _title_candidates(titles: DataFrame, floor: float) -> DataFrame:
+    """Pairs of different titles that meet in a token and share enough characters for the floor.
+
+    titles: BLOCK, title_key, has_new, token.
+    """
+    if floor <= 0.5:
+        raise ValueError("the rules must ask for a title similarity above one half")
     ratio = floor / (2 - floor)
-    listed = titles.filter("title_key <> ''").withColumn("tokens", _tokens(F.col("title_key")))
-    spread = listed.select(*scope, "title_key", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    scope = [*BLOCK, "token"]
+    listed = titles.filter("title_key <> ''").groupBy(*scope, "title_key").agg(F.max("has_new").alias("title_new"))
+    chars = listed.select(*BLOCK, "title_key").distinct().withColumn("chars", _tokens(F.col("title_key")))
     # How common a character is depends on its block; one line per block and character.
-    frequency = spread.groupBy(*scope, "token").agg(F.count("*").alias("df"))
-    ranked = fact_join(spread, frequency, [*scope, "token"], "inner")
-    ordered = ranked.groupBy(*scope, "title_key").agg(
-        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ordered")
+    spread = chars.select(*BLOCK, "title_key", F.explode("chars").alias("char"))
+    frequency = spread.groupBy(*BLOCK, "char").agg(F.count("*").alias("df"))
+    ordered = fact_join(spread, frequency, [*BLOCK, "char"], "inner").groupBy(*BLOCK, "title_key").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("df", "char"))), lambda x: x["char"]).alias("chars")
     )
-    size = F.size("ordered")
-    prefix = (size - F.ceil(F.lit(ratio) * size) + 1).cast("int")
-    probes = (
-        ordered.join(titles, [*scope, "title_key"])
-        .withColumn("probe", F.transform(F.slice("ordered", F.lit(1), prefix), lambda x: x["token"]))
-        .select(*scope, "title_key", "title_new", "probe", F.explode("probe").alias("token"))
+    size = F.size("chars")
+    # One more than what is sure to hold a shared character holds two of them.
+    prefix = (size - F.ceil(F.lit(ratio) * size) + 2).cast("int")
+    probe = F.slice("chars", F.lit(1), prefix)
+    pairs = F.flatten(
+        F.transform(
+            F.col("probe"), lambda a, i: F.transform(F.slice(F.col("probe"), i + 2, F.size("probe")), lambda b: F.concat(a, F.lit(" "), b))
+        )
     )
+    # Titles of one character have no pair; they are close to titles of two at most.
+    single = F.when(size <= 2, F.transform(F.col("chars"), lambda a: F.concat(a, F.lit(" ")))).otherwise(F.array().cast("array<string>"))
+    keyed = ordered.withColumn("probe", probe).select(*BLOCK, "title_key", "chars", F.concat(pairs, single).alias("keys"))
+    probes = fact_join(listed, keyed, [*BLOCK, "title_key"], "inner").withColumn("key", F.explode("keys"))
 
     def side(name: str) -> DataFrame:
         return probes.select(
-            *scope,
-            "token",
-            F.col("title_key").alias(f"{name}_title"),
-            F.col("title_new").alias(f"{name}_new"),
-            F.col("probe").alias(f"{name}_probe"),
+            *scope, "key",
+            F.col("title_key").alias(f"{name}_title"), F.col("title_new").alias(f"{name}_new"), F.col("chars").alias(f"{name}_chars"),
         )
 
-    m, n = F.length("left_title"), F.length("right_title")
-    candidates = (
+    m, n = F.size("left_chars"), F.size("right_chars")
+    met = (
         side("left")
-        .join(side("right"), [*scope, "token"])
+        .join(side("right"), [*scope, "key"])
         .filter("left_title < right_title and (left_new or right_new)")
         .filter((m >= F.lit(ratio) * n) & (n >= F.lit(ratio) * m))
-        # Every pair meets once: at the first character the two prefixes share.
-        .filter(F.get(F.array_intersect("left_probe", "right_probe"), F.lit(0)) == F.col("token"))
-    )
-    scored = candidates.withColumn("title_similarity", indel_ratio(F.col("left_title"), F.col("right_title")))
-    return scored.filter(F.col("title_similarity") >= floor).select(
-        *BLOCK, "left_title", "right_title", "title_similarity"
+        .filter(2 * F.size(F.array_intersect("left_chars", "right_chars")) >= F.lit(floor) * (m + n))
     )
+    return met.select(*BLOCK, "left_title", "right_title").distinct().withColumn("floor", F.lit(floor))
 
 
 def score_pairs(pairs: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
@@ -314,7 +328,7 @@ def candidate_pairs(entities: DataFrame, rules: PairRules = PairRules()) -> Data
         fact_join(close, side("left"), ["left_content"], "inner"), side("right"), ["right_content"], "inner"
     ).withColumn("same_hint", F.lit(False))
     scored = score_pairs(joined, rules)
-    kept = scored.filter("in_hub").unionByName(prune_pairs(scored.filter("not in_hub"), rules))
+    kept = scored.filter("in_hub and not id_conflict").unionByName(prune_pairs(scored.filter("not in_hub or id_conflict"), rules))
     across = kept.select(
         *BLOCK,
         F.least("left_id", "right_id").alias("left_id"),

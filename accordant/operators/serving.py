@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant import rules as R
@@ -433,46 +433,56 @@ def update_shortlist(
 
     commands: entity_id, action (ADD, REMOVE, STAGE), priority, note, stage, next_action,
     next_action_at, at. Adding passes the readiness gate and asks for a PREPARE_APPLY verdict;
-    applied_at is set once. Per entity the newest accepted ADD or REMOVE decides membership, and
-    the newest STAGE after it the progress.
+    applied_at is set once. Commands act in the order of their time (then of their action). A
+    removal ends an entry with all its progress; an entry added again begins anew, and only
+    progress reported on it counts. Progress of an entity that is not listed then is refused.
     """
     gate = ready.select("entity_id", "is_ready", F.lit(True).alias("_known"))
     held = shortlist.withColumnsRenamed({c: f"_old_{c}" for c in shortlist.columns if c != "entity_id"}).withColumn("_held", F.lit(True))
     joined = fact_join(fact_join(commands, gate, ["entity_id"]), held.select("entity_id", "_held"), ["entity_id"])
-    adds = F.max(F.col("action") == "ADD").alias("_adds")
-    adding = commands.groupBy("entity_id").agg(adds)
-    judged = fact_join(joined, adding, ["entity_id"]).withColumn(
+    gated = joined.withColumn(
         "error",
         F.when((F.col("action") == "ADD") & F.col("_known").isNull(), "not_found")
         .when((F.col("action") == "ADD") & ~F.coalesce("is_ready", F.lit(False)), "not_ready")
-        .when((F.col("action") == "STAGE") & ~F.col("stage").isin(*R.STAGES), "bad_stage")
-        .when(
-            (F.col("action") == "STAGE") & F.col("_held").isNull()
-            & ~(F.col("_adds") & F.coalesce("is_ready", F.lit(False))),
-            "not_listed",
-        ),
+        .when((F.col("action") == "STAGE") & ~F.col("stage").isin(*R.STAGES), "bad_stage"),
     )
+    in_time = Window.partitionBy("entity_id").orderBy("at", "action").rowsBetween(Window.unboundedPreceding, 0)
+    before = in_time.rowsBetween(Window.unboundedPreceding, -1)
+    moves = F.when(F.col("error").isNull() & F.col("action").isin("ADD", "REMOVE"), F.col("action"))
+    judged = gated.withColumns(
+        {
+            "_period": F.count_if(F.col("action") == "REMOVE").over(in_time),
+            "_listed": F.coalesce(F.last(moves, ignorenulls=True).over(before) == "ADD", F.col("_held"), F.lit(False)),
+        }
+    ).withColumn("error", F.coalesce("error", F.when((F.col("action") == "STAGE") & ~F.col("_listed"), F.lit("not_listed"))))
     good = judged.filter("error is null")
+    add, stage = F.col("action") == "ADD", F.col("action") == "STAGE"
     newest = good.groupBy("entity_id").agg(
-        F.max(F.when(F.col("action").isin("ADD", "REMOVE"), F.struct("at", "action", "priority", "note"))).alias("m"),
-        F.max(F.when(F.col("action") == "STAGE", F.struct("at", "stage", "next_action", "next_action_at"))).alias("s"),
-        F.min(F.when((F.col("action") == "STAGE") & (F.col("stage") == "APPLIED"), F.col("at"))).alias("a"),
+        F.max("_period").alias("p"),
+        F.max(F.when(add, F.struct("_period", "at", "priority", "note"))).alias("m"),
+        F.min(F.when(add, F.struct((-F.col("_period")).alias("q"), "at"))).alias("first"),
+        F.max(F.when(stage, F.struct("_period", "at", "stage", "next_action", "next_action_at"))).alias("s"),
+        F.min(F.when(stage & (F.col("stage") == "APPLIED"), F.struct((-F.col("_period")).alias("q"), "at"))).alias("a"),
     )
-    both = held.join(newest, "entity_id", "full_outer").filter(
-        (F.col("_held").isNotNull() | F.col("m").isNotNull()) & (F.coalesce("m.action", F.lit("KEEP")) != "REMOVE")
-    )
-    added = F.col("m").isNotNull()
+    kept = F.col("_held").isNotNull() & (F.coalesce("p", F.lit(0)) == 0)
+    added = F.coalesce(F.col("m._period") == F.col("p"), F.lit(False))
+    staged = F.coalesce(F.col("s._period") == F.col("p"), F.lit(False))
+    both = held.join(newest, "entity_id", "full_outer").filter(kept | added)
+
+    def old(name: str) -> Column:
+        return F.when(kept, F.col(f"_old_{name}"))
+
     values = {
-        "priority": F.when(added, F.col("m.priority")).otherwise(F.col("_old_priority")),
-        "note": F.when(added, F.col("m.note")).otherwise(F.col("_old_note")),
-        "stage": F.coalesce("s.stage", "_old_stage", F.lit("TO_APPLY")),
-        "next_action": F.coalesce(F.trim("s.next_action"), "_old_next_action", F.lit("")),
-        "next_action_at": F.when(F.col("s").isNotNull(), F.col("s.next_action_at")).otherwise(F.col("_old_next_action_at")),
-        "applied_at": F.coalesce("_old_applied_at", "a"),
-        "added_at": F.coalesce("_old_added_at", "m.at"),
+        "priority": F.when(added, F.col("m.priority")).otherwise(old("priority")),
+        "note": F.when(added, F.col("m.note")).otherwise(old("note")),
+        "stage": F.coalesce(F.when(staged, F.col("s.stage")), old("stage"), F.lit("TO_APPLY")),
+        "next_action": F.coalesce(F.when(staged, F.trim("s.next_action")), old("next_action"), F.lit("")),
+        "next_action_at": F.when(staged, F.col("s.next_action_at")).otherwise(old("next_action_at")),
+        "applied_at": F.coalesce(old("applied_at"), F.when(-F.col("a.q") == F.col("p"), F.col("a.at"))),
+        "added_at": F.coalesce(old("added_at"), F.col("first.at")),
     }
     out = both.select(*[("entity_id" if c == "entity_id" else values[c].alias(c)) for c in shortlist.columns])
-    verdicts = newest.filter("m.action = 'ADD'").select(
+    verdicts = newest.filter("m._period = p").select(
         "entity_id", F.lit("PREPARE_APPLY").alias("manual"), F.lit("added_to_shortlist").alias("reason"), F.col("m.at").alias("at")
     )
     return out, verdicts, judged.filter("error is not null").select("entity_id", "action", "error")

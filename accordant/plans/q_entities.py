@@ -397,7 +397,7 @@ shared(
        UNION ALL SELECT left_id, right_id, title_similarity, city_similarity, score, decision FROM (
          SELECT *, coalesce(clash, FALSE) AS c, CASE WHEN coalesce(clash, FALSE) THEN 0.0 ELSE title_similarity * 0.55 + city_similarity * 0.2 + 0.15 + CASE WHEN batch_equal THEN 0.1 ELSE 0.0 END END AS score,
            CASE WHEN coalesce(clash, FALSE) THEN 'SEPARATE' ELSE 'REVIEW' END AS decision FROM linked_pairs)
-       WHERE in_hub OR (c AND round(title_similarity, 4) >= 0.92 AND city_similarity >= 0.5) OR (NOT c AND score >= 0.78)""",
+       WHERE (in_hub AND NOT c) OR (c AND round(title_similarity, 4) >= 0.92 AND city_similarity >= 0.5) OR (NOT c AND score >= 0.78)""",
     "stars", "linked_pairs",
 )
 

@@ -363,19 +363,38 @@ def shortlist_gate(t: Tables) -> DataFrame:
 
 shared(
     "moves_of",
-    """SELECT c.user_id AS entity_id, arg_max(event_type, struct_pack(t := ts)) FILTER (WHERE event_type = 'error' OR (event_type = 'purchase' AND p_size > 20)) AS member,
-       min(ts) FILTER (WHERE event_type = 'click' AND value < 40) AS applied,
-       arg_max(CASE WHEN value < 40 THEN 'APPLIED' ELSE 'OFFER' END, struct_pack(t := ts)) FILTER (WHERE event_type = 'click') AS stage
-       FROM events c JOIN part ON p_partkey = c.user_id WHERE event_type IN ('purchase', 'error', 'click') GROUP BY 1""",
+    """SELECT entity_id, action, ts, value, s.entity_id IS NOT NULL AS held,
+         count(*) FILTER (WHERE action = 'REMOVE') OVER (PARTITION BY entity_id ORDER BY ts, action ROWS UNBOUNDED PRECEDING) AS period,
+         last_value(CASE WHEN action = 'REMOVE' OR (action = 'ADD' AND ready) THEN action END IGNORE NULLS)
+           OVER (PARTITION BY entity_id ORDER BY ts, action ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, ready
+       FROM (SELECT user_id AS entity_id, CASE event_type WHEN 'purchase' THEN 'ADD' WHEN 'error' THEN 'REMOVE' ELSE 'STAGE' END AS action, ts, value,
+               coalesce(p_size > 20, FALSE) AS ready
+             FROM events LEFT JOIN part ON p_partkey = user_id WHERE event_type IN ('purchase', 'error', 'click')) c
+       LEFT JOIN shortlist s USING (entity_id)""",
+    "shortlist",
+)
+shared(
+    "progress_of",
+    """SELECT entity_id, max(period) AS period, max(CASE WHEN action = 'ADD' THEN period END) AS added,
+         max(CASE WHEN action = 'STAGE' THEN period END) AS staged,
+         arg_max(CASE WHEN value < 40 THEN 'APPLIED' ELSE 'OFFER' END, struct_pack(p := period, t := ts)) FILTER (WHERE action = 'STAGE') AS stage,
+         arg_max(period, period) FILTER (WHERE action = 'STAGE' AND value < 40) AS applied_period,
+         arg_max(ts, struct_pack(p := period, t := -epoch_us(ts))) FILTER (WHERE action = 'STAGE' AND value < 40) AS applied
+       FROM moves_of WHERE (action = 'ADD' AND ready) OR action = 'REMOVE' OR (action = 'STAGE' AND (before = 'ADD' OR (before IS NULL AND held)))
+       GROUP BY 1""",
+    "moves_of",
 )
 
 
 @query(
     "i16_update_shortlist",
-    """SELECT s.entity_id, CASE WHEN m.member = 'purchase' THEN 7 ELSE s.priority END AS priority, CASE WHEN m.member = 'purchase' THEN 'again' ELSE s.note END AS note,
-       coalesce(m.stage, s.stage) AS stage, CASE WHEN m.stage IS NOT NULL THEN 'call' ELSE '' END AS next_action, m.applied AS applied_at
-       FROM shortlist s LEFT JOIN moves_of m ON m.entity_id = s.entity_id WHERE coalesce(m.member, '') <> 'error'""",
-    ("shortlist", "moves_of"),
+    """SELECT entity_id, CASE WHEN m.added = m.period THEN 7 ELSE s.priority END AS priority, CASE WHEN m.added = m.period THEN 'again' ELSE s.note END AS note,
+         CASE WHEN m.staged = m.period THEN m.stage WHEN kept THEN s.stage ELSE 'TO_APPLY' END AS stage,
+         CASE WHEN m.staged = m.period THEN 'call' ELSE '' END AS next_action, CASE WHEN m.applied_period = m.period THEN m.applied END AS applied_at
+       FROM (SELECT entity_id, s.stage, s.priority, s.note, s.entity_id IS NOT NULL AND coalesce(m.period, 0) = 0 AS kept
+             FROM shortlist s FULL JOIN progress_of m USING (entity_id)) s LEFT JOIN progress_of m USING (entity_id)
+       WHERE kept OR coalesce(m.added = m.period, FALSE)""",
+    ("shortlist", "progress_of"),
 )
 def i16(t: Tables) -> DataFrame:
     """The shortlist after additions through the gate, removals and progress."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -14,11 +15,16 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.legacy.javaCharsets": "true",  # profile texts may be in GB18030
     # A skewed join is split even when a later step would have liked its partitioning.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
+# Checkpoints nobody refers to any more are removed.
+STATIC_CONF = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators rely on to an existing session."""
     for key, value in RUNTIME_CONF.items():
@@ -30,7 +36,7 @@ def get_session(app: str = "accordant", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **STATIC_CONF, **conf}.items():
         builder = builder.config(key, value)
     return tune(builder.getOrCreate())
 
@@ -38,13 +44,13 @@ def get_session(app: str = "accordant", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the session names in spark.checkpoint.dir.
 
-    A folder of our own is used only on a local master where none is set.
+    A folder of our own is used only where none is set and driver and executors are one process.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            if not context.master.startswith("local"):
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
                 raise RuntimeError("spark.checkpoint.dir must name a shared folder")
             folder = tempfile.mkdtemp(prefix="accordant-checkpoint-")
         context.setCheckpointDir(folder)
@@ -62,20 +68,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SPREAD_BYTES = 1 << 30
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small input that arrives as one or two splits.
-
-    Inputs above 1 GiB come in enough splits of their own and are left alone.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if int(str(plan.stats().sizeInBytes())) > SPREAD_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def fact_join(
     rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left"
 ) -> DataFrame:

@@ -15,9 +15,9 @@ CANDIDATES = ",\t;"
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
-    """Guess the separator from the first characters of one file."""
+    """Guess the separator from the first characters of one file; all files of a load share it."""
     first = spark.read.text(path).inputFiles()[:1]
-    lines = spark.read.text(first).select(F.substring("value", 1, SAMPLE_CHARS)).take(64) if first else []
+    lines = spark.read.text(first).select(F.substring("value", 1, SAMPLE_CHARS)).take(SAMPLE_CHARS) if first else []
     sample = "\n".join(row[0] for row in lines)[:SAMPLE_CHARS].lstrip("﻿")
     try:
         return csv.Sniffer().sniff(sample, delimiters=CANDIDATES).delimiter
@@ -28,7 +28,7 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
 def read_delimited(
     spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows and quarantine of one or many files with the same header.
+    """Rows and quarantine of one or many files with the same header; another header is an error.
 
     Rows carry `file` and a 1-based `row_number` per file. Quoted line breaks need `multi_line`,
     which reads a file in one task; switch it off for files too large for that.
@@ -36,7 +36,7 @@ def read_delimited(
     sep = sep or sniff_separator(spark, path)
     options = {
         "header": "true", "sep": sep, "quote": '"', "escape": '"', "encoding": "UTF-8",
-        "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE",
+        "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE", "enforceSchema": "false",
         "nullValue": "\u0001", "emptyValue": "", "columnNameOfCorruptRecord": "_corrupt",
     }
     names = spark.read.options(**options).csv(path).columns

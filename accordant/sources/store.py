@@ -21,23 +21,31 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def admit_batches(batches: DataFrame, existing: DataFrame | None) -> DataFrame:
-    """Add `status`: imported, already_imported, or mapping_changed for a known file."""
-    if existing is None:
-        return batches.withColumn("status", F.lit("imported"))
-    known = (
-        existing.groupBy("source_id", "file_hash")
-        .agg(F.min(F.struct("imported_at", "batch_id", F.to_json("mapping").alias("mapping"))).alias("k"))
-    )
+    """Add `status`: imported, already_imported, or mapping_changed for a known file.
+
+    A file may come twice in one load: its first batch (by import time and id) is imported, the
+    others count as known.
+    """
+
+    def first(df: DataFrame, name: str) -> DataFrame:
+        line = F.struct("imported_at", "batch_id", F.to_json("mapping").alias("mapping"))
+        return df.groupBy("source_id", "file_hash").agg(F.min(line).alias(name))
+
+    files = first(batches, "own")
+    if existing is not None:
+        files = files.join(first(existing, "old"), ["source_id", "file_hash"], "left")
+    else:
+        files = files.withColumn("old", F.lit(None).cast(files.schema["own"].dataType))
     return (
-        batches.join(known, ["source_id", "file_hash"], "left")
+        batches.join(files.withColumn("k", F.coalesce("old", "own")), ["source_id", "file_hash"])
         .withColumn(
             "status",
-            F.when(F.col("k").isNull(), "imported")
+            F.when(F.col("old").isNull() & (F.col("batch_id") == F.col("own.batch_id")), "imported")
             .when(F.to_json("mapping") == F.col("k.mapping"), "already_imported")
             .otherwise("mapping_changed"),
         )
-        .withColumn("batch_id", F.coalesce("k.batch_id", "batch_id"))
-        .drop("k")
+        .withColumn("batch_id", F.col("k.batch_id"))
+        .drop("k", "own", "old")
     )
 
 

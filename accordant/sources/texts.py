@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accordant.session import tune
+
 
 def read_text_docs(spark: SparkSession, path: str) -> DataFrame:
     """One line per file: doc_id (path), name, text. Anything undecodable fails the read."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    tune(spark)
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.when(valid, F.decode("content", "UTF-8")).otherwise(F.decode("content", "GB18030"))
     return (
