@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordant import rules as R
 from accordant.functions.text import any_of, clean_text, let
+from accordant.session import fact_join
 
 _URL = r"^(?i)(https?):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 FIND_URL = r"(?iU)https?://[^\s<>]+"
@@ -243,10 +244,21 @@ def is_aggregator(host: Column, rules: R.ScopeRules = R.ScopeRules()) -> Column:
     return _under(host, rules.aggregators)
 
 
-def official_scope(c: Column, rules: R.ScopeRules = R.ScopeRules()) -> Column:
+def scope_host(c: Column) -> Column:
+    """The host that official_scope() judges."""
+    return bare_host(_with_scheme(c))
+
+
+def _with_scheme(c: Column) -> Column:
+    return let(F.trim(c), lambda text: F.when(text.contains("://"), text).otherwise(F.concat(F.lit("https://"), text)))
+
+
+def official_scope(c: Column, rules: R.ScopeRules = R.ScopeRules(), registrable: Column | None = None) -> Column:
     """Trust anchor of a host or URL: struct<domain, scope_path, error>, error null when usable.
 
-    A registrable host needs at least one label in front of the longest listed public suffix.
+    A registrable host needs at least one label in front of its public suffix. `registrable` says
+    so where a table of suffixes was joined (mark_registrable); else the suffixes of the rules
+    are all there are.
     """
 
     def build(url: Column) -> Column:
@@ -256,13 +268,17 @@ def official_scope(c: Column, rules: R.ScopeRules = R.ScopeRules()) -> Column:
         )
 
     def judge(host: Column, segments: Column) -> Column:
-        suffixed = F.lit(False)
-        for suffix in rules.public_suffixes:
-            suffixed = suffixed | host.endswith("." + suffix)
+        if registrable is None:
+            suffixed = F.lit(False)
+            for suffix in rules.public_suffixes:
+                suffixed = suffixed | host.endswith("." + suffix)
+            suffixed = suffixed & ~host.isin(*rules.public_suffixes)
+        else:
+            suffixed = F.coalesce(registrable, F.lit(False))
         error = (
             F.when(~host.rlike("^[a-z0-9.-]+$") | (F.length(host) > 253), "bad_host")
             .when(host.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), "ip_address")
-            .when(host.isin(*rules.public_suffixes) | ~suffixed, "public_suffix")
+            .when(~suffixed, "public_suffix")
             .when(is_aggregator(host, rules), "aggregator")
             .when(
                 host.isin(*rules.shared_parents) | host.rlike(rules.infrastructure_pattern),
@@ -283,8 +299,42 @@ def official_scope(c: Column, rules: R.ScopeRules = R.ScopeRules()) -> Column:
             ),
         )
 
-    text = F.trim(c)
-    return let(F.when(text.contains("://"), text).otherwise(F.concat(F.lit("https://"), text)), build)
+    return let(_with_scheme(c), build)
+
+
+def mark_registrable(df: DataFrame, host: Column, suffixes: DataFrame, name: str) -> DataFrame:
+    """`df` with a boolean column: does the host have a label in front of its public suffix?
+
+    suffixes: rules of a public suffix list in the column `suffix`, one to a line: plain suffixes, wildcards
+    (*.ck) and exceptions (!www.ck). An exception beats all, then the longest rule; a host that no
+    rule covers has its last label for a suffix. Hosts meet the rules through the tails of their
+    labels, one row for each label of a different host.
+    """
+    hosts = df.select(host.alias("_host")).filter("_host IS NOT NULL").distinct()
+    labels = F.split("_host", r"\.")
+    size = F.size(labels)
+
+    def tail(k: Column) -> Column:
+        return F.array_join(F.slice(labels, size - k + 1, k), ".")
+
+    wild = lambda k: F.concat(F.lit("*."), tail(k - 1))
+    offered = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), size),
+            lambda k: F.array(
+                F.struct(tail(k).alias("suffix"), k.alias("n"), F.lit(0).alias("exception")),
+                F.struct(F.when(k > 1, wild(k)).alias("suffix"), k.alias("n"), F.lit(0).alias("exception")),
+                F.struct(F.concat(F.lit("!"), tail(k)).alias("suffix"), (k - 1).alias("n"), F.lit(1).alias("exception")),
+            ),
+        )
+    )
+    rules = suffixes.select(F.lower(F.trim("suffix")).alias("suffix")).distinct()
+    found = (
+        hosts.select("_host", F.explode(offered).alias("o")).select("_host", "o.*").join(rules, "suffix")
+        .groupBy("_host").agg(F.max(F.struct("exception", "n")).alias("_rule"))
+    )
+    judged = hosts.join(found, "_host", "left").select("_host", (size > F.coalesce("_rule.n", F.lit(1))).alias(name))
+    return fact_join(df.withColumn("_host", host), judged, ["_host"]).drop("_host")
 
 
 def scope_matches(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from accordant import rules as R
 from accordant.functions.classify import CAMPAIGN, POSTING
-from accordant.functions.url import official_scope
+from accordant.functions.url import mark_registrable, official_scope, scope_host
 from accordant.operators.claims import applicable_claims, resolve_claims, retire_claims
 from accordant.operators.decisions import invalidate
 from accordant.operators.graph import connect
@@ -45,13 +45,20 @@ def refresh_entities(state: State, keys: DataFrame) -> State:
 
 
 def confirm_domains(
-    state: State, commands: DataFrame, scope_rules: R.ScopeRules = R.ScopeRules()
+    state: State, commands: DataFrame, scope_rules: R.ScopeRules = R.ScopeRules(), suffixes: DataFrame | None = None
 ) -> tuple[State, DataFrame]:
-    """Anchor organizations. commands: entity_id, domain_text, at."""
+    """Anchor organizations. commands: entity_id, domain_text, at.
+
+    suffixes: a public suffix list (see mark_registrable); without it the suffixes of the rules are all.
+    """
     entities, orgs = state["entities"], state["orgs"]
+    registrable = None
+    if suffixes is not None:
+        commands = mark_registrable(commands, scope_host(F.col("domain_text")), suffixes, "_registrable")
+        registrable = F.col("_registrable")
     scoped = (
         commands.join(entities.select("entity_id", "org_id"), "entity_id", "left")
-        .withColumn("s", official_scope(F.col("domain_text"), scope_rules))
+        .withColumn("s", official_scope(F.col("domain_text"), scope_rules, registrable))
         .withColumns({"new_domain": F.col("s.domain"), "new_path": F.col("s.scope_path")})
     )
     names = orgs.select("org_id", "normalized_name")

@@ -238,6 +238,21 @@ def c12(t: Tables) -> DataFrame:
     return scoped.select("page_id", "s.domain", "s.scope_path", "s.error")
 
 
+SUFFIX_LIST = ("com", "example.org", "*.example.net", "!tionsh.example.net")
+
+
+@query(
+    "c12_registrable_hosts",
+    """SELECT page_id, len(string_split(host, '.')) > CASE WHEN host = 'tionsh.example.net' OR host LIKE '%.tionsh.example.net' THEN 2
+         WHEN host LIKE '%.example.net' THEN 3 WHEN host = 'example.org' OR host LIKE '%.example.org' THEN 2 ELSE 1 END AS registrable FROM parts""",
+    ("parts",),
+)
+def c12_hosts(t: Tables) -> DataFrame:
+    """Which hosts have a label in front of their public suffix, with wildcards, exceptions and unlisted ends."""
+    rules = t.spark.createDataFrame([(s,) for s in SUFFIX_LIST], "suffix string")
+    return url.mark_registrable(t.pages, url.scope_host(F.col("url")), rules, "registrable").select("page_id", "registrable")
+
+
 @query(
     "c13_scope_matches",
     """SELECT page_id, host = 'example.org' OR host LIKE '%.example.org' AS under_org,

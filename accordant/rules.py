@@ -156,7 +156,7 @@ class ScopeRules:
         "smartrecruiters.com", "workable.com",
     )
     infrastructure_pattern: str = r"^wd[0-9]+\.(?:myworkdayjobs|myworkdaysite)\.com$"
-    # Public suffixes are an input; this short default covers the documented examples only.
+    # Without a suffix table these are all the suffixes there are; pass a table for real hosts.
     public_suffixes: tuple[str, ...] = (
         "com", "net", "org", "cn", "com.cn", "net.cn", "org.cn", "io", "co", "app", "dev",
         "site", "example",
