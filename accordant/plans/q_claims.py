@@ -252,7 +252,7 @@ def e12(t: Tables) -> DataFrame:
 
 def mixed_claims(t: Tables) -> DataFrame:
     """Imported, verified and manual claims together."""
-    lines = W.line_claims(t).filter("field = 'linestatus'")
+    lines = W.line_claims(t)
     checks = W.attempts(t).select(
         "entity_id", F.lit(None).cast("string").alias("raw_id"), "verification_id", F.lit(30).alias("authority"),
         F.col("checked_at").alias("observed_at"), "created_at",
@@ -273,13 +273,13 @@ def mixed_claims(t: Tables) -> DataFrame:
 
 shared(
     "applicable",
-    """SELECT c.claim_id, c.entity_id, c.field, c.value_key, c.authority, c.observed_at, c.source_key, coalesce(r.kind = e.kind, FALSE) AS applicable
-       FROM claims c JOIN raw r ON r.raw_id = c.raw_id LEFT JOIN entities e ON e.entity_id = c.entity_id WHERE c.field = 'linestatus'
+    """SELECT c.claim_id, c.entity_id, c.field, c.value_key, c.authority, c.observed_at, c.source_key, coalesce(r.kind = e.kind, FALSE) AS applicable, TRUE AS active
+       FROM claims c JOIN raw r ON r.raw_id = c.raw_id LEFT JOIN entities e ON e.entity_id = c.entity_id
        UNION ALL SELECT 'v:' || a.verification_id, a.entity_id, 'linestatus', a.result, 30, a.checked_at, 'verification:' || a.scope || ':' || a.domain,
-         coalesce(a.scope = e.kind AND a.domain = CASE WHEN o.domain_verified THEN o.official_domain ELSE '' END, FALSE)
+         coalesce(a.scope = e.kind AND a.domain = CASE WHEN o.domain_verified THEN o.official_domain ELSE '' END, FALSE), TRUE
        FROM attempts a LEFT JOIN entities e ON e.entity_id = a.entity_id LEFT JOIN orgs o ON o.org_id = e.org_id
        UNION ALL SELECT 'm:' || v.event_id, v.user_id, 'official_job_id', 'x', 40, v.ts, 'manual:view',
-         coalesce(v.value > 5 AND e.kind = 'POSTING', FALSE)
+         coalesce(v.value > 5 AND e.kind = 'POSTING', FALSE), v.value > 5
        FROM events v LEFT JOIN entities e ON e.entity_id = v.user_id WHERE v.event_type = 'view'""",
     "claims", "raw", "entities", "orgs", "attempts",
 )
@@ -297,16 +297,15 @@ def d15(t: Tables) -> DataFrame:
 
 @query(
     "e7_historical_labels",
-    """SELECT a.field, a.applicable, count(*) AS claims FROM applicable a GROUP BY ALL""",
+    """SELECT a.field, a.applicable, NOT a.applicable AND a.active AS historical, 0 AS selected_out_of_scope, count(*) AS claims FROM applicable a GROUP BY ALL""",
     ("applicable",),
 )
 def e7_historical(t: Tables) -> DataFrame:
     """Claims out of scope are labelled as history and never selected."""
     resolved = C.resolve_claims(scoped_claims(t))
-    kept = resolved.filter(
-        F.when(F.col("applicable"), F.lit(True)).otherwise(~F.col("selected") & (~F.col("active") | (F.col("reason") == C.HISTORICAL)))
+    return resolved.groupBy("field", "applicable", (F.col("reason") == C.HISTORICAL).alias("historical")).agg(
+        F.count_if(F.col("selected") & ~F.col("applicable")).alias("selected_out_of_scope"), F.count("*").alias("claims")
     )
-    return kept.groupBy("field", "applicable").agg(F.count("*").alias("claims"))
 
 
 @query(
