@@ -106,8 +106,8 @@ def _tokens(text: Column) -> Column:
     )
 
 
-def similar_titles(groups: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
-    """Pairs of different titles in a block that can reach the floor, with their similarity.
+def title_pairs_met(groups: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
+    """Pairs of different titles that may reach the floor of a kept pair.
 
     A pair of different contents qualifies only with a shared city, or a shared year within one
     batch, so titles are searched within each city and each batch and year, not within the whole
@@ -128,8 +128,13 @@ def similar_titles(groups: DataFrame, rules: PairRules = PairRules()) -> DataFra
         inside.select(*BLOCK, "title_key", "has_new", F.concat_ws("\u0001", "batch", "t").alias("token")),
         title_floor(rules, True) - 1e-9,
     )
-    both = apart.unionByName(together).groupBy(*BLOCK, "left_title", "right_title").agg(F.min("floor").alias("floor"))
-    scored = both.withColumn("title_similarity", indel_ratio(F.col("left_title"), F.col("right_title")))
+    return apart.unionByName(together).groupBy(*BLOCK, "left_title", "right_title").agg(F.min("floor").alias("floor"))
+
+
+def similar_titles(groups: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
+    """Pairs of different titles that can reach the floor of a kept pair, with their similarity."""
+    met = title_pairs_met(groups, rules)
+    scored = met.withColumn("title_similarity", indel_ratio(F.col("left_title"), F.col("right_title")))
     return scored.filter("title_similarity >= floor").drop("floor")
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +195,33 @@ def test_decision_axes(spark):
         "edge": "VERIFIED", "late": "STALE", "blocked": "UNKNOWN", "torn": "VERIFIED_WITH_CONFLICT",
         "many": "CONSISTENT", "one": "UNKNOWN", "split": "CONFLICTED",
     }
+
+
+def test_few_candidates_among_many_titles(spark):
+    """1,200 different titles of one block: those that reach the floor are found among few candidates."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) for _ in range(300)]
+    rows = {}
+    while len(rows) < 1200:
+        title = "".join(rng.choices(words, k=rng.randint(3, 5)))
+        for variant in (title, title[:-1] + "x") if rng.random() < 0.3 else (title,):
+            rows[variant] = ([f"city{rng.randrange(40)}"], [str(rng.randrange(2024, 2027))], rng.choice(["", "spring", "autumn"]))
+    listed = [("o", "k", t, *v, True) for t, v in rows.items()]
+    groups = spark.createDataFrame(listed, "org_id string, kind string, title_key string, cities array<string>, years array<string>, batch string, has_new boolean")
+    rules = PairRules()
+    got = {(r["left_title"], r["right_title"]): r["title_similarity"] for r in P.similar_titles(groups, rules).collect()}
+    want = {}
+    for (a, (ca, ya, ba)), (b, (cb, yb, bb)) in itertools.combinations(sorted(rows.items()), 2):
+        floor = None
+        if ba and ba == bb and (ca == cb or ya == yb):
+            floor = P.title_floor(rules, True)
+        elif ca == cb:
+            floor = P.title_floor(rules, False)
+        if floor is not None and 2 * sum((Counter(a) & Counter(b)).values()) >= floor * (len(a) + len(b)):
+            ratio = 2 * lcs(a, b) / (len(a) + len(b))
+            if ratio >= floor - 1e-9:
+                want[a, b] = ratio
+    assert set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    met = P.title_pairs_met(groups, rules).count()
+    assert met < 0.05 * len(rows) * (len(rows) - 1) / 2
