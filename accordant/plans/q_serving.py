@@ -248,17 +248,19 @@ def i9(t: Tables) -> DataFrame:
 @query(
     "i10_dashboard",
     """SELECT count(*) AS opportunity_count, count(*) FILTER (WHERE kind = 'POSTING') AS posting_count, count(*) FILTER (WHERE kind = 'CAMPAIGN') AS campaign_count,
-       count(*) FILTER (WHERE listed) AS shortlist_total_count, count(*) FILTER (WHERE listed AND ready) AS shortlist_ready_count, count(*) FILTER (WHERE ready) AS ready_count,
+       count(*) FILTER (WHERE listed) AS shortlist_total_count, count(*) FILTER (WHERE listed AND gate) AS shortlist_ready_count, count(*) FILTER (WHERE ready) AS ready_count,
        count(*) FILTER (WHERE verify_first) AS verify_first_count, count(*) FILTER (WHERE has_conflict) AS unresolved_conflict_count,
        (SELECT max(imported_at) FROM batches) AS latest_import_at, (SELECT count(DISTINCT independence_group) FROM sources) AS independent_source_count
-       FROM (SELECT f.*, p.has_conflict, s.entity_id IS NOT NULL AS listed FROM flags f LEFT JOIN picked p ON p.entity_id = f.entity_id LEFT JOIN shortlist s ON s.entity_id = f.entity_id)""",
-    ("flags", "picked", "batches", "sources", "shortlist"),
+       FROM (SELECT f.*, p.has_conflict, s.entity_id IS NOT NULL AS listed, coalesce(b.blockers = '', FALSE) AS gate FROM flags f LEFT JOIN picked p ON p.entity_id = f.entity_id
+         LEFT JOIN shortlist s ON s.entity_id = f.entity_id LEFT JOIN blockers b ON b.entity_id = f.entity_id)""",
+    ("flags", "picked", "batches", "sources", "shortlist", "blockers"),
 )
 def i10(t: Tables) -> DataFrame:
-    """Ten counters in one line."""
+    """Ten counters in one line; a listed entry is ready if nothing blocks it."""
     flagged = flags(t)
     picked = S.selected_values(C.resolve_claims(view_claims(t))).select("entity_id", "has_conflict")
-    ready = flagged.select("entity_id", F.col("ready").alias("ready_now"), F.col("ready").alias("shortlist_ready"))
+    gate = S.readiness(view(t), W.EVENTS_AS_OF, AGE).select("entity_id", F.col("is_ready").alias("shortlist_ready"))
+    ready = flagged.select("entity_id", F.col("ready").alias("ready_now")).join(gate, "entity_id", "left")
     return S.dashboard(flagged, ready.join(picked, "entity_id", "left"), W.shortlist(t), W.batches(t), W.sources(t))
 
 
