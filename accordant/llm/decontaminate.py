@@ -16,7 +16,7 @@ through unread, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,20 +100,17 @@ def scan(known: TestSet, tables: dict, data: np.ndarray, offsets: np.ndarray) ->
         yield hit[words.first[d] : words.first[d + 1]], sorted(x for x in items.get(d, ()) if x is not None)
 
 
-def mark_hits(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    *,
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    ngram: int = NGRAM,
-    max_windows: int = MAX_WINDOWS,
-    keep_text: bool = True,
+Finish = Callable[[list[pa.Array], list[dict]], pa.RecordBatch]
+
+
+def scan_all(
+    docs: DataFrame, benchmark: DataFrame, finish: Finish, schema: T.StructType, *,
+    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ngram: int = NGRAM, max_windows: int = MAX_WINDOWS,
 ) -> DataFrame:
-    """`docs` with a struct column STATE: n_words, hit (a bit for each word), items (found item ids).
+    """What `finish` makes of each batch's columns and of a dict for each text: hit (by word), items (ids).
 
-    With keep_text=False the text stays behind in the tasks that read it.
+    The last block of test items is looked up and finished in one pass; before it, a column STATE
+    carries what was found from block to block.
     """
     spark = small_batches(docs.sparkSession)
     base = docs.drop(STATE)
@@ -126,62 +123,59 @@ def mark_hits(
         ]
     )
     arrow_state = pa.struct([("n_words", pa.int64()), ("hit", pa.binary()), ("items", pa.list_(to_arrow_type(item_type)))])
-    at = base.columns.index(text_col)
+    at, names = base.columns.index(text_col), [*base.columns, STATE]
     done = base
     sets = test_sets(benchmark, ngram, max_windows, item_col, item_text_col)
     found = next(sets, TestSet())
     number = 0
     while found is not None:
         following = next(sets, None)
-        stay = [f for i, f in enumerate(base.schema.fields) if i != at or keep_text or following is not None]
-        names = [f.name for f in stay]
         shared = spark.sparkContext.broadcast((found, found.tables()))
 
-        def run(batches, shared=shared, again=number > 0, all_columns=len(stay) == len(base.columns), names=names):
+        def run(batches, shared=shared, again=number > 0, last=following is None):
             known, tables = shared.value
             for batch in batches:
                 old = batch.column(batch.num_columns - 1).to_pylist() if again else None
+                columns = batch.columns[: len(names) - 1]
                 out = []
                 for rows, data, offsets in blocks(batch.column(at)):
                     for row, (hit, items) in enumerate(scan(known, tables, data, offsets), rows.start):
                         if old:
                             hit = hit | np.unpackbits(np.frombuffer(old[row]["hit"], np.uint8), count=len(hit)).astype(bool)
                             items = sorted({*items, *old[row]["items"]})
-                        out.append({"n_words": len(hit), "hit": np.packbits(hit).tobytes(), "items": items})
-                columns = [c for i, c in enumerate(batch.columns[: len(batch.columns) - again]) if all_columns or i != at]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(out, arrow_state)], names=[*names, STATE])
+                        out.append({"hit": hit, "items": items})
+                if last:
+                    yield finish(columns, out)
+                else:
+                    packed = [{"n_words": len(x["hit"]), "hit": np.packbits(x["hit"]).tobytes(), "items": x["items"]} for x in out]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, arrow_state)], names=names)
 
         if number:
             done = checkpoint(done)
-        done = done.mapInArrow(run, T.StructType([*stay, T.StructField(STATE, state)]))
+        done = done.mapInArrow(run, schema if following is None else T.StructType([*base.schema.fields, T.StructField(STATE, state)]))
         found, number = following, number + 1
     return done
 
 
-def hit_report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def hit_report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each document."""
-    text_col = options.pop("text_col", "text")
-    marked = mark_hits(docs.select(id_col, text_col), benchmark, text_col=text_col, keep_text=False, **options)
-    id_type = docs.schema[id_col].dataType
-
-    def digest(batches):
-        for batch in batches:
-            state = batch.column(1).to_pylist()
-            hits = [int(np.unpackbits(np.frombuffer(s["hit"], np.uint8), count=s["n_words"]).sum()) for s in state]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column(0),
-                    "n_words": pa.array([s["n_words"] for s in state], pa.int64()),
-                    "n_hit": pa.array(hits, pa.int64()),
-                    "n_items": pa.array([len(s["items"]) for s in state], pa.int64()),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(sorted(map(str, s["items"]))).encode()).hexdigest() for s in state]),
-                    "contaminated": pa.array([h > 0 for h in hits], pa.bool_()),
-                }
-            )
+
+    def digest(columns: list[pa.Array], found: list[dict]) -> pa.RecordBatch:
+        hits = [int(x["hit"].sum()) for x in found]
+        return pa.RecordBatch.from_pydict(
+            {
+                "doc_id": columns[0],
+                "n_words": pa.array([len(x["hit"]) for x in found], pa.int64()),
+                "n_hit": pa.array(hits, pa.int64()),
+                "n_items": pa.array([len(x["items"]) for x in found], pa.int64()),
+                "items_sha256": pa.array([hashlib.sha256(",".join(sorted(map(str, x["items"]))).encode()).hexdigest() for x in found], pa.string()),
+                "contaminated": pa.array([h > 0 for h in hits], pa.bool_()),
+            }
+        )
 
     schema = T.StructType(
         [
-            T.StructField("doc_id", id_type),
+            T.StructField("doc_id", docs.schema[id_col].dataType),
             T.StructField("n_words", T.LongType()),
             T.StructField("n_hit", T.LongType()),
             T.StructField("n_items", T.LongType()),
@@ -189,7 +183,7 @@ def hit_report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
             T.StructField("contaminated", T.BooleanType()),
         ]
     )
-    return marked.mapInArrow(digest, schema)
+    return scan_all(docs.select(id_col, text_col), benchmark, digest, schema, text_col=text_col, **options)
 
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, *, whole_documents: bool = True, text_col: str = "text", **options) -> DataFrame:
@@ -197,27 +191,22 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, *, whole_documents: bool
 
     Cutting words keeps everything else of the text, white space around them included.
     """
-    marked = mark_hits(docs, benchmark, text_col=text_col, **options)
-    at = marked.columns.index(text_col)
-    schema = T.StructType(marked.schema.fields[:-1])
-
-    def run(batches):
-        for batch in batches:
-            state = batch.column(batch.num_columns - 1).to_pylist()
-            hit = [np.unpackbits(np.frombuffer(s["hit"], np.uint8), count=s["n_words"]).astype(bool) for s in state]
-            rest = pa.RecordBatch.from_arrays(batch.columns[:-1], names=schema.names)
-            if whole_documents:
-                yield rest.filter(pa.array([not h.any() for h in hit], pa.bool_()))
-                continue
-            texts = rest.column(at).to_pylist()
-            for row, h in enumerate(hit):
-                if h.any():
-                    raw = np.frombuffer(texts[row].encode(), np.uint8)
-                    words = Words(LOWER[raw], np.array([0, len(raw)]), ALNUM)
-                    change = np.zeros(len(raw) + 1, np.int64)
-                    change[words.start[h]] += 1
-                    change[words.end[h]] -= 1
-                    texts[row] = raw[np.cumsum(change[:-1]) == 0].tobytes().decode()
-            yield pa.RecordBatch.from_arrays([*rest.columns[:at], pa.array(texts, rest.schema.field(at).type), *rest.columns[at + 1 :]], names=schema.names)
-
-    return marked.mapInArrow(run, schema)
+    base = docs.drop(STATE)
+    at, names = base.columns.index(text_col), base.columns
+
+    def cut(columns: list[pa.Array], found: list[dict]) -> pa.RecordBatch:
+        if whole_documents:
+            batch = pa.RecordBatch.from_arrays(columns, names=names)
+            return batch.filter(pa.array([not x["hit"].any() for x in found], pa.bool_()))
+        texts = columns[at].to_pylist()
+        for row, x in enumerate(found):
+            if x["hit"].any():
+                raw = np.frombuffer(texts[row].encode(), np.uint8)
+                words = Words(LOWER[raw], np.array([0, len(raw)]), ALNUM)
+                change = np.zeros(len(raw) + 1, np.int64)
+                change[words.start[x["hit"]]] += 1
+                change[words.end[x["hit"]]] -= 1
+                texts[row] = raw[np.cumsum(change[:-1]) == 0].tobytes().decode()
+        return pa.RecordBatch.from_arrays([*columns[:at], pa.array(texts, columns[at].type), *columns[at + 1 :]], names=names)
+
+    return scan_all(base, benchmark, cut, base.schema, text_col=text_col, **options)

@@ -25,7 +25,8 @@ import pyarrow as pa
 
 from accordant.llm.words import LOWER, NOT_SPACE, blocks, span_hashes
 
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 800_000
+UNITS_AT_ONCE = 4096
 
 #: White space of the Unicode standard outside ASCII.
 WIDE_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
@@ -72,16 +73,21 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.row: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)  # hashes of the units met, in order
+        self.row = np.zeros(0, np.int64)  # and their rows in the tables below
         self.ids = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def learn(self, hashes: list[int], units: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
+    def learn(self, hashes: np.ndarray, units: list[str]) -> None:
+        """Add new units; their hashes are in order."""
+        sizes, parts = np.zeros(len(units), np.int64), []
+        for k in range(0, len(units), UNITS_AT_ONCE):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(units[k : k + UNITS_AT_ONCE], add_special_tokens=False)]
+            sizes[k : k + len(found)] = own = [len(x) for x in found]
+            parts.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32, sum(own)))
+        flat = np.concatenate(parts)
         have, rows = len(self.row), len(self.row) + len(units)
         while rows > len(self.first):
             self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
@@ -91,7 +97,9 @@ class Encoder:
         self.size[have:rows] = sizes
         self.first[have:rows] = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
-        self.row.update(zip(hashes, range(have, rows)))
+        place = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, place, hashes)
+        self.row = np.insert(self.row, place, np.arange(have, rows))
 
     def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a block of texts, one after another, and the place where each text's begin."""
@@ -99,15 +107,17 @@ class Encoder:
             data = LOWER[data]  # as the tokenizer does first
         start, end = unit_spans(data, offsets, self.drops_space)
         hashes, place, unit = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        if len(self.row) > CACHE_UNITS:
+        if len(self.known) > CACHE_UNITS:
             self.forget()
-        known = hashes.tolist()
-        new = [k for k, h in enumerate(known) if h not in self.row]
-        if new:
-            raw = data.tobytes()
-            at = place[new]
-            self.learn([known[k] for k in new], [raw[s:e].decode() for s, e in zip(start[at].tolist(), end[at].tolist())])
-        row = np.fromiter(map(self.row.__getitem__, known), np.int64, len(known))[unit]
+        at = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != hashes[inside]
+        if new.any():
+            raw, first = data.tobytes(), place[new]
+            self.learn(hashes[new], [raw[s:e].decode() for s, e in zip(start[first].tolist(), end[first].tolist())])
+            at = np.searchsorted(self.known, hashes)
+        row = self.row[at][unit]
         sizes = self.size[row]
         stop = np.cumsum(sizes)
         total = int(stop[-1]) if len(stop) else 0

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from accordant.session import shared_folder
 
-BLOCK_BYTES = 1 << 21  # texts are worked on in blocks of about so many bytes; one longer text is its own block
+BLOCK_BYTES = 1 << 20  # texts are worked on in blocks of about so many bytes; one longer text is its own block
 ROWS_PER_BATCH = 2000
 
 # Multipliers are 5 modulo 8, so that powers differ in all but the lowest bits.
@@ -69,16 +69,16 @@ def _inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base & (2**64 - 1), np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    return _powers(base, 1 << max(12, (max(n, 1) - 1).bit_length()))[:n]
+    """base^0 .. base^(n-1) modulo 2^64; the longest list asked for is kept for each base."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(1 << max(12, (n - 1).bit_length()), base & (2**64 - 1), np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n] if n else np.zeros(0, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
