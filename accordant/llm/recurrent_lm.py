@@ -46,13 +46,14 @@ PER_CLASS = 32
 KNOWN = 1 << 18
 STATE = 24
 EMBEDDING = 16
-SHARE = 16
+SHARE = 24
 ROUNDS = 2
 WINDOW = 24
-LANES = 48
-FLUSH_TOKENS = 2_000_000
+LANES = 64
+FLUSH_TOKENS = 3_000_000
 END = np.uint64(0x2545F4914F6CDD1D)  # stands for the end of a text among the hashes of words
 SMOOTH = 0.1
+TOP = np.float32(80)  # logits end here, so that their exponentials don't overflow
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,7 +126,17 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int, int]:
     """The vocabulary, and the numbers of tokens and of different tokens."""
     end = int(END.view(np.int64))
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("hash") == end, F.col("n"))).alias("ends")).first()
-    top = counts.orderBy(F.col("n").desc(), "hash").limit(KNOWN).select("hash", "n").toPandas()  # at most KNOWN rows
+    # The words above the count that at most KNOWN words reach; counts are told apart by steps of
+    # 2^(1/16), of which there are at most 16 for each bit.
+    step = F.floor(F.log2("n") * 16).cast("int")
+    left, least = KNOWN, None
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.col("step").desc()).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    top = counts.filter(step >= least if least is not None else F.lit(False)).select("hash", "n").toPandas()  # at most KNOWN rows
+    top = top.sort_values(["n", "hash"], ascending=[False, True])
     hashes, n = top["hash"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
     words = np.flatnonzero(hashes != end)[:HEAD]
     head = list(zip(hashes[words].tolist(), n[words].tolist()))
@@ -170,6 +181,7 @@ class Model:
         padded[: v.heads] = v.counts
         smooth = np.where(padded < 0, 0, padded + SMOOTH).reshape(v.classes, PER_CLASS)
         w["bo"][:] = np.where(smooth > 0, np.log(np.maximum(smooth, 1e-30)), -1e4)
+        w["bo"] -= w["bo"].max(1, keepdims=True)
         w["bc"][:] = np.log(np.concatenate([smooth.sum(1), v.tail_n + SMOOTH * (v.tail_v + 1)]))
         w["bc"] -= w["bc"].max()
         w["wc"][:] = rng.normal(0, 0.05, w["wc"].shape)
@@ -182,8 +194,9 @@ class Model:
         """Natural log probability of each target symbol given its state, and the slope of their sum
         with respect to the states if `slopes` takes those of the weights."""
         w, kind = self.w, self.class_of(target)
-        logits = h @ w["wc"] + w["bc"]
-        logits -= logits.max(1, keepdims=True)
+        logits = h @ w["wc"]
+        logits += w["bc"]
+        np.minimum(logits, TOP, out=logits)  # the largest bias is 0 and states are within 1
         p = np.exp(logits)
         norm = p.sum(1)
         rows = np.arange(len(h))
@@ -202,8 +215,9 @@ class Model:
             if not len(own):
                 continue
             x = h[own]
-            inner = x @ w["wo"][c].T + w["bo"][c]
-            inner -= inner.max(1, keepdims=True)
+            inner = x @ w["wo"][c].T
+            inner += w["bo"][c]
+            np.minimum(inner, TOP, out=inner)
             q = np.exp(inner)
             norm = q.sum(1)
             word, rows = target[own] % PER_CLASS, np.arange(len(own))
@@ -220,16 +234,33 @@ class Model:
         """States after each step of a window, and what backpropagation needs."""
         w, trace = self.w, []
         states = np.empty((len(inputs), *h.shape), np.float32)
-        u = w["u"]
+        u, resets = w["u"], reset.any(1)
+        # `gates` holds what each symbol adds to the gates; without it, it is worked out from the weights.
+        added = gates[inputs] if gates is not None else w["embed"][inputs] @ w["wx"] + w["b"]
         for t in range(len(inputs)):
-            h = np.where(reset[t][:, None], np.float32(0), h)
-            a = gates[inputs[t]] if gates is not None else w["embed"][inputs[t]] @ w["wx"] + w["b"]
+            if resets[t]:
+                h = np.where(reset[t][:, None], np.float32(0), h)
+            a = added[t]
             uh = h @ u
+            if gates is not None:
+                zr, n = uh[:, : 2 * STATE], uh[:, 2 * STATE :]
+                zr += a[:, : 2 * STATE]
+                zr *= 0.5
+                np.tanh(zr, out=zr)
+                zr *= 0.5
+                zr += 0.5
+                n *= zr[:, STATE:]
+                n += a[:, 2 * STATE :]
+                np.tanh(n, out=n)
+                h = h - n
+                h *= zr[:, :STATE]
+                h += n
+                states[t] = h
+                continue
             zr = sigmoid(a[:, : 2 * STATE] + uh[:, : 2 * STATE])
             z, r = zr[:, :STATE], zr[:, STATE:]
             n = np.tanh(a[:, 2 * STATE :] + r * uh[:, 2 * STATE :])
-            if gates is None:
-                trace.append((h, z, r, n, uh[:, 2 * STATE :]))
+            trace.append((h, z, r, n, uh[:, 2 * STATE :]))
             h = n + z * (h - n)
             states[t] = h
         return states, trace
@@ -282,10 +313,10 @@ def table_of(symbols: np.ndarray, first: np.ndarray, width: int, start: int) ->
     text = np.repeat(np.arange(len(lengths)), lengths)
     nth = np.arange(len(symbols)) - first[text]
     row, lane = place[text, 0] + nth, place[text, 1]
-    targets = np.full((steps, width), -1, np.int64)
-    number = np.full((steps, width), -1, np.int64)
+    targets = np.full((steps, width), -1, np.int32)
+    number = np.full((steps, width), -1, np.int32)
     targets[row, lane], number[row, lane] = symbols, np.arange(len(symbols))
-    inputs = np.full((steps, width), start, np.int64)
+    inputs = np.full((steps, width), start, np.int32)
     follows = nth > 0
     inputs[row[follows], lane[follows]] = symbols[np.flatnonzero(follows) - 1]
     reset = np.zeros((steps, width), bool)
