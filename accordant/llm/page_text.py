@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordant.llm.words import small_batches
-from accordant.session import number_rows
+from accordant.session import number_rows, scratch_path
 
 COPY = 0.9  # a page that shares so much of its text with the nearest one is a copy
 
@@ -141,14 +141,17 @@ class Lines:
             self.prose = next((x[0] in PROSE for x in reversed(self.stack) if x[0] in BLOCK), False)
 
 
+def verdicts(lines: list[tuple[str, bool, int, bool]]) -> list[int]:
+    """What structure says of each line: 0 not of the text, 1 of the text, 2 left to differencing."""
+    level = max((x[2] for x in lines if not x[1]), default=0)
+    return [0 if skipped or at < level else 1 if at == 2 and prose else 2 for _, skipped, at, prose in lines]
+
+
 def main_text(page: str | None, shared: list[int] | None) -> str:
-    """The article text of a page, given the numbers of the lines that it shares with the nearest one."""
+    """The article text of a page, given the numbers of the lines that differencing deletes."""
     lines = Lines(page or "").lines
-    level = max((x[2] for x in lines if not x[1]), default=0)
     gone = set(shared or ())
-    return "\n".join(
-        text for k, (text, skipped, at, prose) in enumerate(lines) if not skipped and at == level and (k not in gone or at == 2 and prose)
-    )
+    return "\n".join(x[0] for k, (x, said) in enumerate(zip(lines, verdicts(lines))) if said == 1 or said == 2 and k not in gone)
 
 
 def place_of(url: str | None) -> tuple[str | None, str]:
@@ -214,7 +217,7 @@ def common_prefix(a: str, b: str) -> int:
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """(k1, k2, shared): the numbers of the lines that a page shares with the nearest one.
+    """(k1, k2, shared): the numbers of the lines that go, for pages on which differencing deletes any.
 
     pages: k1, k2, url, html.
     """
@@ -229,15 +232,13 @@ def shared_lines(pages: DataFrame) -> DataFrame:
                     "k2": batch.column(1),
                     "host": pa.array([p[0] for p in places], pa.string()),
                     "path": pa.array([p[1] for p in places], pa.string()),
-                    # The lowest bit tells whether structure already takes the line out.
-                    "lines": pa.array(
-                        [[(xxhash.xxh64_intdigest(x[0]) >> 2 << 1) | x[1] for x in page] for page in lines], pa.list_(pa.int64())
-                    ),
-                    "sizes": pa.array([[len(x[0]) for x in page] for page in lines], pa.list_(pa.int32())),
+                    "lines": pa.array([[xxhash.xxh64_intdigest(x[0]) >> 1 for x in page] for page in lines], pa.list_(pa.int64())),
+                    # Each line's length, and below it what structure says of it.
+                    "sizes": pa.array([[len(x[0]) << 2 | said for x, said in zip(page, verdicts(page))] for page in lines], pa.list_(pa.int64())),
                 }
             )
 
-    outlines = pages.mapInArrow(outline, "k1 long, k2 long, host string, path string, lines array<long>, sizes array<int>")
+    outlines = pages.mapInArrow(outline, "k1 long, k2 long, host string, path string, lines array<long>, sizes array<long>")
     numbered = number_rows(outlines.filter("host IS NOT NULL"), [F.col(c) for c in ("host", "path", "k1", "k2")], "nth")
 
     def beside(step: int, name: str) -> DataFrame:
@@ -254,17 +255,21 @@ def shared_lines(pages: DataFrame) -> DataFrame:
                     continue
                 other = max(near, key=lambda x: common_prefix(x["path"], row["path"]))
                 shared = common_lines(row["lines"], other["lines"])
-                open_text = sum(n for n, x in zip(row["sizes"], row["lines"]) if not x & 1)
-                open_shared = sum(row["sizes"][k] for k in shared if not row["lines"][k] & 1)
-                if shared and open_shared < COPY * open_text:
-                    for name, value in (("k1", row["k1"]), ("k2", row["k2"]), ("shared", shared)):
+                own = [n >> 2 if n & 3 else 0 for n in row["sizes"]]  # lengths of lines of the text
+                gone = [k for k in shared if row["sizes"][k] & 3 == 2]
+                if gone and sum(own[k] for k in shared) < COPY * sum(own):
+                    for name, value in (("k1", row["k1"]), ("k2", row["k2"]), ("shared", gone)):
                         out[name].append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out["k1"], pa.int64()), pa.array(out["k2"], pa.int64()), pa.array(out["shared"], pa.list_(pa.int32()))], names=list(out)
             )
 
     rows = both.select("k1", "k2", "host", "path", "lines", "sizes", "before", "after")
-    return rows.mapInArrow(compare, "k1 long, k2 long, shared array<int>").dropDuplicates(["k1", "k2"])
+    found = rows.mapInArrow(compare, "k1 long, k2 long, shared array<int>").dropDuplicates(["k1", "k2"])
+    # Written first, so that Spark knows its size and moves the pages only if it is large.
+    path = scratch_path(pages.sparkSession, "shared")
+    found.write.parquet(path)
+    return pages.sparkSession.read.parquet(path)
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
