@@ -9,10 +9,10 @@ Model. A gated recurrent unit reads the symbols of a text and predicts the next
 the same state. A tail word follows the smoothed counts within its tail, so every word has a
 probability, and the known and unknown words of a text add up as in the unigram base.
 
-Training. Each task runs truncated backpropagation in numpy over whole texts of a fixed share of the
-training documents (1 in `share`, by a hash), from common weights; the tasks' weights are averaged
-by their numbers of tokens, `rounds` times. Biases begin at the counts, so the model begins as a
-unigram model.
+Training. The training documents are dealt into `rounds` parts by a hash of id and text, and every one
+is trained on once. In the round of its part, each task runs truncated backpropagation in numpy over
+whole texts from common weights; then the tasks' weights are averaged by their numbers of tokens.
+Biases begin at the counts, so the model begins as a unigram model.
 
 Scoring. Every text is run from its first word to its end; the state is carried from window to
 window, so no context is cut. Texts run side by side in lanes. Counts of the KNOWN most frequent
@@ -46,7 +46,6 @@ PER_CLASS = 32
 KNOWN = 1 << 18
 STATE = 24
 EMBEDDING = 16
-SHARE = 24
 ROUNDS = 2
 WINDOW = 24
 LANES = 64
@@ -157,6 +156,7 @@ class Model:
     def __init__(self, vocabulary: Vocabulary, flat: np.ndarray | None = None):
         v = vocabulary
         self.v, self.first_tail = v, v.heads
+        self.trained_tokens = 0
         shapes = {
             "embed": (v.size + 1, EMBEDDING), "wx": (EMBEDDING, 3 * STATE), "b": (3 * STATE,), "u": (STATE, 3 * STATE),
             "wc": (STATE, v.classes + TAILS), "bc": (v.classes + TAILS,),
@@ -377,11 +377,11 @@ def _joined(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), first
 
 
-def trained(docs: DataFrame, found: Vocabulary, *, share: int = SHARE, rounds: int = ROUNDS) -> Model:
-    """The model, trained where the texts are."""
+def trained(docs: DataFrame, found: Vocabulary, *, rounds: int = ROUNDS) -> Model:
+    """The model, trained on all training texts where they are."""
     spark = docs.sparkSession
-    model = Model(found)
-    pick = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(share))
+    model, seen = Model(found), 0
+    pick = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(rounds))
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((found, model.flat))
         rate = 4e-3 / (k + 1)
@@ -403,16 +403,18 @@ def trained(docs: DataFrame, found: Vocabulary, *, share: int = SHARE, rounds: i
         )
         if total[0]:
             model = Model(found, (total[1] / total[0]).astype(np.float32))
+            seen += total[0]
+    model.trained_tokens = seen
     return model
 
 
-def score_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def score_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
     spark = small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), folds).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = count_tokens(rows)
     found, n, v = vocabulary(counts)
-    model = trained(rows, found, share=share, rounds=rounds)
+    model = trained(rows, found, rounds=rounds)
     shared = spark.sparkContext.broadcast((found, model.flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
