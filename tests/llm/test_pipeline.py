@@ -7,12 +7,13 @@ import corpus_pipeline
 from accordant.llm import quality_rules, secret_scan
 from pyspark.sql import functions as F
 from tests.llm import plain
+from tests.llm.test_near_copies import kept_by_all_pairs
 from tests.llm.test_tokens import check_packing
 
 
 def test_all_are_registered():
     names = list(entry.queries())
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality rules", "SimHash near-dedup", "benchmark decontamination", "secret scans", "best-fit packing",
@@ -28,11 +29,9 @@ def test_pipeline_against_a_plain_one(spark):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     assert all(not report[i] for i, t in rows if plain.statistics(t)[-1])
     rows = sorted((i, t) for i, t in rows if report[i])
-    first = {}
-    for (i, t), group in zip(rows, plain.components([plain.fingerprint(t, 5) for _, t in rows])):
-        first.setdefault(group, (i, t))
+    stays = set(kept_by_all_pairs(rows)[0])
     items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
-    rows = list(first.values())
+    rows = [r for r in rows if r[0] in stays]
     rows = [r for r, hit in zip(rows, plain.hits([t for _, t in rows], items)) if not hit[4]]
     assert len(rows) > 300
     clean = []
