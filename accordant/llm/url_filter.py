@@ -133,9 +133,8 @@ def alias_classes(edges: DataFrame) -> DataFrame:
     """(node, root): addresses that redirects and canonical links connect; addresses without an edge are left out."""
     ends = edges.select(address(F.col("from_url")).alias("a"), address(F.col("to_url")).alias("b")).filter("a <> b")
     # All that point at one address share its key, and so does the address itself.
-    members = ends.select(F.col("a").alias("node"), F.col("b").alias("key")).unionByName(
-        ends.select(F.col("b").alias("node"), F.col("b").alias("key"))
-    )
+    both = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("key")), F.struct(F.col("b").alias("node"), F.col("b").alias("key"))))
+    members = ends.select(both.alias("end")).select("end.node", "end.key")
     return connect(members)
 
 
