@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordant.functions.similarity import indel_ratio, jaccard_sets
-from accordant.functions.text import clean_set, clean_text, title_key
+from accordant.functions.text import clean_set, clean_text, let, title_key
 from accordant.rules import PairRules
-from accordant.session import fact_join
+from accordant.session import fact_join, stored
 
 BLOCK = ["org_id", "kind"]
+OCCURRENCES = 1 << 20  # a token is a code point times this, plus how often it came before
 
 
 def contents(entities: DataFrame) -> DataFrame:
@@ -97,38 +98,111 @@ def title_floor(rules: PairRules, batch_equal: bool) -> float:
     return min((rules.keep_score - rest) / rules.title, rules.conflict_title)
 
 
-def _tokens(text: Column) -> Column:
-    """Characters made distinct by their occurrence number: shared tokens = shared characters."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
+def title_tokens(title: Column) -> Column:
+    """Characters as numbers made distinct by their occurrence: shared tokens = shared characters."""
+    chars = F.filter(F.split(title, ""), lambda c: c != "")
     return F.transform(
         chars,
-        lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string")),
+        lambda c, i: F.ascii(c).cast("long") * OCCURRENCES + F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)),
     )
 
 
-def title_pairs_met(groups: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
-    """Pairs of different titles that may reach the floor of a kept pair.
-
-    A pair of different contents qualifies only with a shared city, or a shared year within one
-    batch, so titles are searched within each city and each batch and year, not within the whole
-    block. There, a common subsequence is no longer than the shared characters: with lengths m and
-    n two titles above the floor share at least floor*(m+n)/2 of them, and n is at least
-    floor/(2-floor)*m, so they share two characters among the rarest of each. Titles are joined on
-    such pairs of characters; lengths and the number of shared characters are tested before any
-    subsequence is worked out. The floor is lower inside a batch, so that is searched separately.
+def title_keys(prefix: Column, size: Column, single: Column) -> Column:
+    """Pairs (first, second, place of the second) among the first `prefix` tokens, in token order.
+
+    A title that may share a single token with its partner (`single`) lists its tokens alone too.
     """
-    cities, years = city_tokens(), year_tokens()
-    apart = _title_candidates(
-        groups.select(*BLOCK, "title_key", "has_new", F.explode(cities).alias("token")), title_floor(rules, False) - 1e-9
+    tokens = F.col("tokens")
+    places = F.when(F.least(prefix, size) >= 1, F.sequence(F.lit(1), F.least(prefix, size))).otherwise(F.array().cast("array<int>"))
+
+    def key(first: Column, second: Column, place: Column) -> Column:
+        return F.struct(first.alias("first"), second.alias("second"), place.cast("int").alias("place"))
+
+    pairs = F.flatten(
+        F.transform(
+            places,
+            lambda j: F.transform(F.slice(tokens, F.lit(1), j - 1), lambda first: key(first, F.element_at(tokens, j), j)),
+        )
     )
-    inside = groups.filter("batch <> ''").select(
-        *BLOCK, "title_key", "has_new", F.explode(F.concat(cities, years)).alias("t"), "batch"
+    alone = F.transform(F.slice(tokens, 1, 2), lambda t, i: key(t, F.lit(0).cast("long"), i + 1))
+    return F.concat(pairs, F.when(single, alone).otherwise(F.array().cast("array<struct<first:bigint,second:bigint,place:int>>")))
+
+
+def title_scopes(groups: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
+    """BLOCK, title_key, token, in_batch, floor, fresh: where a title may meet others, and the least similarity there."""
+    apart, inside = title_floor(rules, False), title_floor(rules, True)
+    if min(apart, inside) <= 0.5:
+        raise ValueError("the rules must ask for a title similarity above one half")
+
+    def scope(tokens: Column, in_batch: bool) -> Column:
+        return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(in_batch).alias("in_batch")))
+
+    batch = F.transform(city_tokens(), lambda c: F.concat(F.lit("b:"), F.col("batch"), F.lit(":"), c))
+    in_batch = F.when(F.col("batch") != "", F.concat(batch, year_tokens())).otherwise(F.array().cast("array<string>"))
+    return (
+        groups.filter("title_key <> ''")
+        .select(*BLOCK, "title_key", "has_new", F.inline(F.concat(scope(city_tokens(), False), scope(in_batch, True))))
+        .groupBy(*BLOCK, "title_key", "token", "in_batch")
+        .agg(F.max("has_new").alias("fresh"))
+        .withColumn("floor", F.when(F.col("in_batch"), inside - 1e-9).otherwise(apart - 1e-9))
     )
-    together = _title_candidates(
-        inside.select(*BLOCK, "title_key", "has_new", F.concat_ws("\u0001", "batch", "t").alias("token")),
-        title_floor(rules, True) - 1e-9,
+
+
+def ordered_titles(groups: DataFrame) -> DataFrame:
+    """BLOCK, title_key, tokens: the tokens of each title from the rarest in its block to the most common."""
+    titles = groups.filter("title_key <> ''").select(*BLOCK, "title_key").distinct()
+    spread = titles.select(*BLOCK, "title_key", F.explode(title_tokens(F.col("title_key"))).alias("code"))
+    # One line per block and token.
+    frequency = spread.groupBy(*BLOCK, "code").agg(F.count("*").alias("df"))
+    return fact_join(spread, frequency, [*BLOCK, "code"], "inner").groupBy(*BLOCK, "title_key").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("df", "code"))), lambda x: x["code"]).alias("tokens")
     )
-    return apart.unionByName(together).groupBy(*BLOCK, "left_title", "right_title").agg(F.min("floor").alias("floor"))
+
+
+def title_pairs_met(groups: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
+    """Pairs of different titles that share enough characters for a kept pair: BLOCK, left_title, right_title, floor.
+
+    A pair of different contents qualifies only with a shared city, or a shared year within one batch, so titles
+    meet within a city, and at a lower floor within a city or year of one batch. There, with s <= t characters,
+    a common subsequence of the floor f needs ceil(f (s + t) / 2) shared tokens. That is f s of the shorter title and
+    f / (2 - f) t of the longer one at least, so the first two shared tokens, rarest first, are among the
+    first s - ceil(f s) + 2 of the shorter title, which is indexed, and the first t - ceil(f / (2 - f) t) + 2 of the
+    longer one, which probes. Both list pairs of these tokens; a pair of titles is taken under its first two shared
+    tokens only. Lengths, places and the number of shared tokens are tested at once. Titles of one and two characters
+    may share a single token, which they list alone.
+    """
+    listed = fact_join(title_scopes(groups, rules), ordered_titles(groups), [*BLOCK, "title_key"], "inner")
+    # A title becomes many keys below, so titles are dealt out before that.
+    partitions = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = stored(listed.withColumn("size", F.size("tokens")).repartition(partitions), "titles")
+    size, floor = F.col("size"), F.col("floor")
+    ratio = floor / (2 - floor)
+
+    def side(name: str, kept: Column, single: Column, *carried: str) -> DataFrame:
+        prefix = (size - F.ceil(kept * size) + 2).cast("int")
+        return listed.select(
+            *BLOCK, "token", "in_batch", F.inline(title_keys(prefix, size, single)),
+            *[F.col(c).alias(f"{name}_{c}") for c in ("title_key", "fresh", "size", "tokens", *carried)],
+        ).withColumnsRenamed({"place": f"{name}_place", f"{name}_floor": "floor"})
+
+    # The key rows are far more than the stored titles let a planner guess, so no side is broadcast.
+    shorter, longer = side("x", floor, size == 1, "floor").hint("merge"), side("y", ratio, size <= 2)
+    s, t = F.col("x_size"), F.col("y_size")
+    needed = floor * (s + t) / 2
+    enough = let(
+        F.array_intersect("x_tokens", "y_tokens"),
+        lambda c: (F.size(c) >= needed) & (F.get(c, F.lit(0)) == F.col("first")) & (F.coalesce(F.get(c, F.lit(1)), F.lit(0)) == F.col("second")),
+    )
+    # Beyond the second shared token there are no more than the rest of the shorter rest.
+    left = F.when(F.col("second") == 0, 1).otherwise(2) + F.least(s - F.col("x_place"), t - F.col("y_place"))
+    met = (
+        shorter.join(longer, [*BLOCK, "token", "in_batch", "first", "second"])
+        .filter((s < t) | ((s == t) & (F.col("x_title_key") < F.col("y_title_key"))))
+        .filter((s >= ratio * t) & (left >= needed) & (F.col("x_fresh") | F.col("y_fresh")))
+        .filter(enough)
+    )
+    names = F.least("x_title_key", "y_title_key"), F.greatest("x_title_key", "y_title_key")
+    return met.groupBy(*BLOCK, names[0].alias("left_title"), names[1].alias("right_title")).agg(F.min("floor").alias("floor"))
 
 
 def similar_titles(groups: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
@@ -138,135 +212,81 @@ def similar_titles(groups: DataFrame, rules: PairRules = PairRules()) -> DataFra
     return scored.filter("title_similarity >= floor").drop("floor")
 
 
-def city_tokens() -> Column:
-    listed = F.when(F.size("cities") > 0, F.col("cities")).otherwise(F.array(F.lit("")))
+def city_tokens(of: str = "") -> Column:
+    cities = F.col(f"{of}cities")
+    listed = F.when(F.size(cities) > 0, cities).otherwise(F.array(F.lit("")))
     return F.transform(listed, lambda x: F.concat(F.lit("c:"), x))
 
 
-def year_tokens() -> Column:
+def year_tokens(of: str = "") -> Column:
     """Batch and year together; none without a batch."""
-    listed = F.when(F.size("years") > 0, F.col("years")).otherwise(F.array(F.lit("")))
-    marked = F.transform(listed, lambda x: F.concat(F.lit("y:"), F.col("batch"), F.lit(":"), x))
-    return F.when(F.col("batch") != "", marked).otherwise(F.array().cast("array<string>"))
+    years, batch = F.col(f"{of}years"), F.col(f"{of}batch")
+    listed = F.when(F.size(years) > 0, years).otherwise(F.array(F.lit("")))
+    marked = F.transform(listed, lambda x: F.concat(F.lit("y:"), batch, F.lit(":"), x))
+    return F.when(batch != "", marked).otherwise(F.array().cast("array<string>"))
+
+
+def represented(groups: DataFrame) -> DataFrame:
+    """Contents as one end of a pair: BLOCK, title_key, years, batch, and `end` with all that scoring reads."""
+    # Two contents are known to conflict only if each carries one id throughout.
+    job = F.when((F.col("with_id") == F.col("members")) & (F.col("min_id") == F.col("max_id")), F.col("min_id"))
+    end = F.struct("content_id", F.col("entity_id").alias("id"), "cities", "years", "batch", job.alias("job_id"), F.col("has_new").alias("fresh"))
+    return groups.select(*BLOCK, "title_key", "years", "batch", end.alias("end"))
+
+
+def hubs_of(contents: DataFrame) -> DataFrame:
+    """The first content of each title, years and batch; fresh if any of them is."""
+    first = F.min(F.struct("end.content_id", "end")).alias("m")
+    found = contents.filter("batch <> ''").groupBy(*BLOCK, "title_key", "years", "batch").agg(first, F.max("end.fresh").alias("fresh"))
+    return found.select(*BLOCK, "title_key", "years", "batch", F.col("m.end").withField("fresh", F.col("fresh")).alias("end"))
 
 
 def content_pairs(groups: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
-    """Pairs of different contents worth scoring, with their title similarity.
+    """Pairs of different contents worth a look, scored: BLOCK, in_hub, left_* and right_* and the scores.
 
-    Contents of one title with the same years and batch (a hub) qualify whatever their cities, so
-    they form a star, and two hubs of close titles meet once. All other pairs must share a city,
-    or a year together with the batch, and are joined on that.
+    Contents of one title with the same years and batch (a hub) qualify whatever their cities, so they form a star,
+    and two hubs of close titles meet once. All other pairs must share a city, or a year together
+    with the batch, and are joined on that. Both kinds of meeting are tokens of one join.
     """
     if rules.title + max(rules.year, rules.batch) >= rules.keep_score:
         raise ValueError("weights let a pair qualify without a shared city or year")
-    titles = similar_titles(groups, rules)
-    hub = [*BLOCK, "title_key", "years", "batch"]
-    content = F.struct("content_id", F.col("has_new").alias("fresh"))
-    hubs = groups.filter("batch <> ''").groupBy(*hub).agg(
-        F.min("content_id").alias("hub_content"), F.max("has_new").alias("hub_new")
-    )
+    contents = represented(groups)
+    hubs = stored(hubs_of(contents), "hubs")
+    same = groups.select(*BLOCK, F.col("title_key").alias("left_title"), F.col("title_key").alias("right_title")).distinct()
+    titles = stored(similar_titles(groups, rules).unionByName(same.withColumn("title_similarity", F.lit(1.0))), "similar-titles")
     inside = (
-        fact_join(groups.filter("batch <> ''"), hubs, hub, "inner")
-        .filter("content_id <> hub_content and hub_new")
-        .select(*BLOCK, F.col("hub_content").alias("a"), F.col("content_id").alias("b"), F.lit(1.0).alias("title_similarity"))
+        fact_join(contents.withColumnRenamed("end", "right"), hubs.withColumnRenamed("end", "left"), [*BLOCK, "title_key", "years", "batch"], "inner")
+        .filter("left.content_id <> right.content_id and left.fresh")
+        .select(*BLOCK, "left", "right", F.lit(1.0).alias("title_similarity"), F.lit(True).alias("in_hub"))
     )
-    near = titles.filter(
-        F.col("title_similarity") * rules.title + (rules.year + rules.batch) >= rules.keep_score
-    )
-
-    def ends(df: DataFrame, name: str, extra: list[Column]) -> DataFrame:
-        return df.select(*BLOCK, F.col("title_key").alias(f"{name}_title"), *extra)
-
-    between = (
-        near.join(
-            ends(hubs, "left", ["years", "batch", F.col("hub_content").alias("a"), F.col("hub_new").alias("ln")]),
-            [*BLOCK, "left_title"],
-        )
-        .join(
-            ends(hubs, "right", ["years", "batch", F.col("hub_content").alias("b"), F.col("hub_new").alias("rn")]),
-            [*BLOCK, "right_title", "years", "batch"],
-        )
-        .filter("ln or rn")
-        .select(*BLOCK, "a", "b", "title_similarity")
-    )
-    marked = groups.withColumn("tokens", F.concat(city_tokens(), year_tokens())).select(
-        *BLOCK, "title_key", "years", "batch", content.alias("c"), "tokens", F.explode("tokens").alias("token")
+    years = F.to_json(F.struct("years"))
+    marked = contents.select(*BLOCK, "title_key", "end", F.concat(city_tokens("end."), year_tokens("end.")).alias("tokens"))
+    entries = marked.select("*", F.explode("tokens").alias("token")).unionByName(
+        hubs.select(*BLOCK, "title_key", "end", F.array().cast("array<string>").alias("tokens"), F.concat(F.lit("h:"), "batch", F.lit(":"), years).alias("token"))
     )
 
     def side(name: str) -> DataFrame:
-        return marked.select(
-            *BLOCK, "token",
-            *[F.col(c).alias(f"{name}_{c}") for c in ("years", "batch", "c", "tokens")],
-            F.col("title_key").alias(f"{name}_title"),
-        )
+        return entries.select(*BLOCK, "token", F.col("title_key").alias(f"{name}_title"), F.col("end").alias(name), F.col("tokens").alias(f"{name}_tokens"))
 
-    same = F.col("left_years").eqNullSafe(F.col("right_years")) & (F.col("left_batch") == F.col("right_batch")) & (F.col("left_batch") != "")
+    at_hub = F.startswith("token", F.lit("h:"))
+    near = F.col("title_similarity") * rules.title + (rules.year + rules.batch) >= rules.keep_score
+    one_hub = F.col("left.years").eqNullSafe(F.col("right.years")) & (F.col("left.batch") == F.col("right.batch")) & (F.col("left.batch") != "")
+    same_title = F.col("left_title") == F.col("right_title")
     first = F.get(F.array_intersect("left_tokens", "right_tokens"), F.lit(0)) == F.col("token")
-    fresh = F.col("left_c.fresh") | F.col("right_c.fresh")
-    equal = (
-        side("left")
-        .join(side("right").withColumnRenamed("right_title", "left_title"), [*BLOCK, "left_title", "token"])
-        .filter((F.col("left_c.content_id") < F.col("right_c.content_id")) & ~same & first & fresh)
-        .select(*BLOCK, F.col("left_c.content_id").alias("a"), F.col("right_c.content_id").alias("b"), F.lit(1.0).alias("title_similarity"))
-    )
-    covered = same & (F.col("title_similarity") * rules.title + (rules.year + rules.batch) >= rules.keep_score)
-    unequal = (
+    between = ~same_title & near
+    # A pair whose hubs meet, or are one, follows from them.
+    loose = first & ~(one_hub & near) & (~same_title | (F.col("left.content_id") < F.col("right.content_id")))
+    met = (
         titles.join(side("left"), [*BLOCK, "left_title"])
         .join(side("right"), [*BLOCK, "right_title", "token"])
-        .filter(~covered & first & fresh)
-        .select(*BLOCK, F.col("left_c.content_id").alias("a"), F.col("right_c.content_id").alias("b"), "title_similarity")
-    )
-    linked = inside.unionByName(between).withColumn("in_hub", F.lit(True))
-    loose = equal.unionByName(unequal).withColumn("in_hub", F.lit(False))
-    return linked.unionByName(loose).withColumnsRenamed({"a": "left_content", "b": "right_content"})
-
-
-def _title_candidates(titles: DataFrame, floor: float) -> DataFrame:
-    """Pairs of different titles that meet in a token and share enough characters for the floor.
-
-    titles: BLOCK, title_key, has_new, token.
-    """
-    if floor <= 0.5:
-        raise ValueError("the rules must ask for a title similarity above one half")
-    ratio = floor / (2 - floor)
-    scope = [*BLOCK, "token"]
-    listed = titles.filter("title_key <> ''").groupBy(*scope, "title_key").agg(F.max("has_new").alias("title_new"))
-    chars = listed.select(*BLOCK, "title_key").distinct().withColumn("chars", _tokens(F.col("title_key")))
-    # How common a character is depends on its block; one line per block and character.
-    spread = chars.select(*BLOCK, "title_key", F.explode("chars").alias("char"))
-    frequency = spread.groupBy(*BLOCK, "char").agg(F.count("*").alias("df"))
-    ordered = fact_join(spread, frequency, [*BLOCK, "char"], "inner").groupBy(*BLOCK, "title_key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("df", "char"))), lambda x: x["char"]).alias("chars")
-    )
-    size = F.size("chars")
-    # One more than what is sure to hold a shared character holds two of them.
-    prefix = (size - F.ceil(F.lit(ratio) * size) + 2).cast("int")
-    probe = F.slice("chars", F.lit(1), prefix)
-    pairs = F.flatten(
-        F.transform(
-            F.col("probe"), lambda a, i: F.transform(F.slice(F.col("probe"), i + 2, F.size("probe")), lambda b: F.concat(a, F.lit(" "), b))
-        )
+        .filter((F.col("left.fresh") | F.col("right.fresh")) & F.when(at_hub, between).otherwise(loose))
+        .select(*BLOCK, "left", "right", "title_similarity", at_hub.alias("in_hub"))
     )
-    # Titles of one character have no pair; they are close to titles of two at most.
-    single = F.when(size <= 2, F.transform(F.col("chars"), lambda a: F.concat(a, F.lit(" ")))).otherwise(F.array().cast("array<string>"))
-    keyed = ordered.withColumn("probe", probe).select(*BLOCK, "title_key", "chars", F.concat(pairs, single).alias("keys"))
-    probes = fact_join(listed, keyed, [*BLOCK, "title_key"], "inner").withColumn("key", F.explode("keys"))
-
-    def side(name: str) -> DataFrame:
-        return probes.select(
-            *scope, "key",
-            F.col("title_key").alias(f"{name}_title"), F.col("title_new").alias(f"{name}_new"), F.col("chars").alias(f"{name}_chars"),
-        )
-
-    m, n = F.size("left_chars"), F.size("right_chars")
-    met = (
-        side("left")
-        .join(side("right"), [*scope, "key"])
-        .filter("left_title < right_title and (left_new or right_new)")
-        .filter((m >= F.lit(ratio) * n) & (n >= F.lit(ratio) * m))
-        .filter(2 * F.size(F.array_intersect("left_chars", "right_chars")) >= F.lit(floor) * (m + n))
-    )
-    return met.select(*BLOCK, "left_title", "right_title").distinct().withColumn("floor", F.lit(floor))
+    parts = ("content", "id", "cities", "years", "batch", "job_id")
+    ends = [F.col(f"{s}.{'content_id' if p == 'content' else p}").alias(f"{s}_{p}") for s in ("left", "right") for p in parts]
+    both = inside.unionByName(met).select(*BLOCK, "title_similarity", "in_hub", *ends, F.lit(False).alias("same_hint"))
+    scored = score_pairs(both, rules)
+    return scored.filter(worth_review(rules) | (F.col("in_hub") & ~F.col("id_conflict")))
 
 
 def score_pairs(pairs: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
@@ -302,39 +322,28 @@ def score_pairs(pairs: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
     )
 
 
-def prune_pairs(scored: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
-    """Keep likely pairs, and id conflicts a reviewer might otherwise merge."""
+def worth_review(rules: PairRules = PairRules()) -> Column:
+    """Whether a scored pair is likely, or an id conflict that a reviewer might otherwise merge."""
     alike = (F.round("title_similarity", 4) >= rules.conflict_title) & (
         F.round("city_similarity", 4) >= rules.conflict_city
     )
     likely = F.col("same_hint") | (F.col("score") >= rules.keep_score)
-    return scored.filter(F.when(F.col("id_conflict"), alike).otherwise(likely))
+    return F.when(F.col("id_conflict"), alike).otherwise(likely)
 
 
-def candidate_pairs(entities: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
-    """Scored, pruned candidates: stars inside contents and pairs of representatives across them."""
-    members = contents(entities)
-    groups = content_groups(members)
-    close = content_pairs(groups, rules)
+def prune_pairs(scored: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
+    """Keep likely pairs, and id conflicts a reviewer might otherwise merge."""
+    return scored.filter(worth_review(rules))
 
-    def side(name: str) -> DataFrame:
-        # Two contents are known to conflict only if each carries one id throughout.
-        job = F.when((F.col("with_id") == F.col("members")) & (F.col("min_id") == F.col("max_id")), F.col("min_id"))
-        return groups.select(
-            F.col("content_id").alias(f"{name}_content"),
-            F.col("entity_id").alias(f"{name}_id"),
-            F.col("cities").alias(f"{name}_cities"),
-            F.col("years").alias(f"{name}_years"),
-            F.col("batch").alias(f"{name}_batch"),
-            job.alias(f"{name}_job_id"),
-        )
 
-    joined = fact_join(
-        fact_join(close, side("left"), ["left_content"], "inner"), side("right"), ["right_content"], "inner"
-    ).withColumn("same_hint", F.lit(False))
-    scored = score_pairs(joined, rules)
-    kept = scored.filter("in_hub and not id_conflict").unionByName(prune_pairs(scored.filter("not in_hub or id_conflict"), rules))
-    across = kept.select(
+def candidate_pairs(entities: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
+    """Scored, pruned candidates: stars inside contents and pairs of representatives across them.
+
+    Members and contents are written once; every later step reads these tables, not the entities.
+    """
+    members = stored(contents(entities), "members")
+    groups = stored(content_groups(members), "contents")
+    across = content_pairs(groups, rules).select(
         *BLOCK,
         F.least("left_id", "right_id").alias("left_id"),
         F.greatest("left_id", "right_id").alias("right_id"),

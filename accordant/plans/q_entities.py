@@ -416,6 +416,62 @@ def d8(t: Tables) -> DataFrame:
     )
 
 
+def found_pairs(t: Tables) -> DataFrame:
+    """The duplicate candidates of every brand with their scores to six places."""
+    return P.candidate_pairs(pair_entities(t)).withColumn("score", F.round("score", 6))
+
+
+shared(
+    "upserted",
+    """SELECT left_id, right_id, CASE WHEN left_id % 6 = 0 THEN 0.1 ELSE round(CAST(score AS DOUBLE), 6) END AS score,
+       CASE WHEN left_id % 6 = 0 THEN 'SEPARATE' ELSE decision END AS decision, left_id % 6 = 0 AS reviewed FROM pairs""",
+    "pairs",
+)
+
+
+@query("d11_upsert_candidates", "SELECT left_id, right_id, CAST(score AS DOUBLE) AS score, decision, reviewed FROM upserted", ("upserted",))
+def d11_candidates(t: Tables) -> DataFrame:
+    """New candidates over assessments of an earlier load; what a reviewer has decided since stays."""
+    done = upserted_pairs(t)
+    return done.select("left_id", "right_id", "score", "decision", F.col("reviewed_at").isNotNull().alias("reviewed"))
+
+
+def upserted_pairs(t: Tables) -> DataFrame:
+    found = found_pairs(t)
+    earlier = found.filter("left_id % 3 = 0").select(
+        F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"), F.lit(0.1).alias("score"), F.lit("SEPARATE").alias("decision"),
+        F.when(F.col("left_id") % 2 == 0, F.lit("2000-01-01").cast("timestamp")).alias("reviewed_at"),
+    )
+    # Stored pairs are ordered, whichever way round they were met.
+    ordered = earlier.withColumns({"left_id": F.least("left_id", "right_id"), "right_id": F.greatest("left_id", "right_id")})
+    return P.upsert_pairs(found, ordered)
+
+
+shared(
+    "reviewed",
+    """SELECT left_id, right_id, score, CASE WHEN right_id % 4 = 0 THEN 'MERGE' ELSE decision END AS decision,
+       CASE WHEN right_id % 4 = 0 THEN 'same post' END AS reason, reviewed OR right_id % 4 = 0 AS reviewed FROM upserted""",
+    "upserted",
+)
+
+
+@query("f10_review_candidates", "SELECT left_id, right_id, CAST(score AS DOUBLE) AS score, decision, reason, reviewed FROM reviewed", ("reviewed",))
+def f10_candidates(t: Tables) -> DataFrame:
+    """Review commands on the upserted candidates; those without a proper reason change nothing."""
+    done = reviewed_pairs(t)
+    return done.select("left_id", "right_id", "score", "decision", "reason", F.col("reviewed_at").isNotNull().alias("reviewed"))
+
+
+def reviewed_pairs(t: Tables) -> DataFrame:
+    pairs = upserted_pairs(t)
+    commands = pairs.filter("right_id % 2 = 0").select(
+        "left_id", "right_id", F.lit("MERGE").alias("new_decision"),
+        F.when(F.col("right_id") % 4 == 0, "same post").otherwise("x").alias("reason"),
+        F.lit("2000-02-01").cast("timestamp").alias("at"),
+    )
+    return P.review_pairs(pairs, commands)[0]
+
+
 def neighbour_pairs(t: Tables) -> DataFrame:
     """Each part beside the next part of its brand, as explicit pairs to score."""
     following = Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")

@@ -11,7 +11,7 @@ from accordant import rules as R
 from accordant.operators import claims as C, decisions as D, entities as E, serving as S, verification as V
 from accordant.plans import workspace as W
 from accordant.plans.q_decisions import recomputed, view_claims
-from accordant.plans.q_entities import pair_entities, scored_neighbours
+from accordant.plans.q_entities import pair_entities, reviewed_pairs, scored_neighbours
 from accordant.plans.q_snapshots import yearly_diff
 from accordant.plans.registry import Tables, query, shared
 from accordant.sources.sinks import csv_rows, export_rows, markdown_sections
@@ -281,6 +281,22 @@ def i11(t: Tables) -> DataFrame:
     return S.top_pairs(scored, sides, k=50).select("left_id", "right_id", "score", "left_title", "right_title")
 
 
+@query(
+    "i11_top_candidates",
+    """SELECT left_id, right_id, CAST(r.score AS DOUBLE) AS score, 'POSTING' AS left_kind, x.p_name AS left_title, CASE WHEN x.p_size > 45 THEN 'J-' || x.p_partkey END AS left_official_job_id,
+         'POSTING' AS right_kind, y.p_name AS right_title, CASE WHEN y.p_size > 45 THEN 'J-' || y.p_partkey END AS right_official_job_id
+       FROM (SELECT * FROM reviewed WHERE decision = 'REVIEW' ORDER BY score DESC, left_id, right_id LIMIT 50) r
+       JOIN part x ON x.p_partkey = r.left_id JOIN part y ON y.p_partkey = r.right_id""",
+    ("reviewed",),
+)
+def i11_candidates(t: Tables) -> DataFrame:
+    """The fifty best candidates still open after upsert and review, with a brief of both sides."""
+    sides = pair_entities(t).withColumn("review_status", F.lit("PENDING"))
+    return S.top_pairs(reviewed_pairs(t), sides, k=50).select(
+        "left_id", "right_id", "score", *[f"{s}_{c}" for s in ("left", "right") for c in ("kind", "title", "official_job_id")]
+    )
+
+
 @query(
     "i12_source_summary",
     """SELECT s.source_id, count(b.batch_id) AS batch_count, coalesce(sum(b.row_count), 0)::BIGINT AS raw_count, max(b.imported_at) AS latest_import_at

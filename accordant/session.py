@@ -68,6 +68,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written under the shared folder and read back: lineage is cut, and its size is known to later joins."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fact_join(
     rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left"
 ) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,3 +226,67 @@ def test_few_candidates_among_many_titles(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
     met = P.title_pairs_met(groups, rules).count()
     assert met < 0.05 * len(rows) * (len(rows) - 1) / 2
+
+
+def test_all_titles_of_one_block(spark):
+    """5,000 different titles of one block and city, some of one or two characters, against all pairs."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("etaoinshrdlucm", k=rng.randint(2, 7))) for _ in range(700)]
+    titles = {"".join(c) for c in itertools.product("xyz", repeat=2)} | {"x", "y", "aaaa", "aaaaa", "aaaaab"}
+    while len(titles) < 5000:
+        title = "".join(rng.choices(words, k=rng.randint(1, 4)))
+        titles |= {title, title[1:] + title[0]} if rng.random() < 0.1 else {title}
+    titles = sorted(titles)[:5000]
+    fresh = [rng.random() < 0.9 for _ in titles]
+    groups = spark.createDataFrame(
+        [("o", "k", t, ["c"], [], "b", f) for t, f in zip(titles, fresh)],
+        "org_id string, kind string, title_key string, cities array<string>, years array<string>, batch string, has_new boolean",
+    )
+    floor = P.title_floor(PairRules(), True)
+    letters = sorted({c for t in titles for c in t})
+    counts = np.array([[t.count(c) for c in letters] for t in titles], np.int16)
+    sizes = counts.sum(axis=1)
+    want = {}
+    for a in range(len(titles)):
+        shared = np.minimum(counts[a], counts[a + 1 :]).sum(axis=1)
+        for b in np.flatnonzero(2 * shared >= floor * (sizes[a] + sizes[a + 1 :]) - 1e-9) + a + 1:
+            ratio = 2 * lcs_bits(titles[a], titles[b]) / (sizes[a] + sizes[b])
+            if ratio >= floor - 1e-9 and (fresh[a] or fresh[b]):
+                want[titles[a], titles[b]] = ratio
+    got = P.similar_titles(groups).collect()
+    assert len(got) == len(want) > 5000
+    assert all(abs(want[r["left_title"], r["right_title"]] - r["title_similarity"]) < 1e-9 for r in got)
+
+
+def lcs_bits(a, b):
+    """Longest common subsequence with one bit for each character of b."""
+    full, masks = (1 << len(b)) - 1, {}
+    for k, c in enumerate(b):
+        masks[c] = masks.get(c, 0) | 1 << k
+    v = full
+    for c in a:
+        hit = v & masks.get(c, 0)
+        v = ((v + hit) | (v - hit)) & full
+    return len(b) - v.bit_count()
+
+
+def test_candidates_in_few_exchanges(spark, monkeypatch):
+    """All steps together shuffle fewer than 40 times and read the entities once."""
+    from accordant.operators import pairs
+
+    plans, stored = [], pairs.stored
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(pairs, "stored", watched)
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    entities = part.selectExpr(
+        "p_partkey AS entity_id", "p_brand AS org_id", "'k' AS kind", "p_name AS title", "array(cast(p_size AS string)) AS cities",
+        "cast(array() AS array<string>) AS graduation_years", "p_type AS recruitment_type", "cast(null AS string) AS official_job_id",
+        "cast(null AS string) AS identity_hint", "true AS is_new_weak",
+    )
+    plans.append(pairs.candidate_pairs(entities)._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("Exchange ") for p in plans) < 40
+    assert sum(p.count("part.parquet") for p in plans) == 1
