@@ -143,7 +143,7 @@ def applicable_claims(
     )
 
 
-def _usable(claims: DataFrame) -> DataFrame:
+def usable_claims(claims: DataFrame) -> DataFrame:
     """Claims that take part in resolution, with `_full` for those that say something."""
     kept = claims.filter("active") if "active" in claims.columns else claims
     if "applicable" in claims.columns:
@@ -155,7 +155,7 @@ def latest_per_source(claims: DataFrame) -> DataFrame:
     """The newest populated claim of every source: one line per entity, field and source."""
     entry = F.struct(*RECENCY, "authority", "value_key", "raw_value")
     return (
-        _usable(claims)
+        usable_claims(claims)
         .groupBy(*SOURCE_GROUP)
         .agg(F.max(F.when(F.col("_full"), entry)).alias("latest"), F.count_if("_full").alias("history"))
     )
@@ -246,7 +246,7 @@ def _with_reason(judged: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def label_missing(claims: DataFrame) -> DataFrame:
     """Groups in which no usable claim says anything."""
-    groups = _usable(claims).groupBy(*GROUP).agg(F.count_if("_full").alias("populated"), F.count("*").alias("claims"))
+    groups = usable_claims(claims).groupBy(*GROUP).agg(F.count_if("_full").alias("populated"), F.count("*").alias("claims"))
     return groups.filter("populated = 0").select(*GROUP, "claims", F.lit(ALL_MISSING).alias("reason"))
 
 
@@ -267,7 +267,7 @@ def fresh_values(claims: DataFrame, as_of: str, max_age_days: float) -> DataFram
     claim was in conflict; its value is the selected claim, else the unanimous top authority.
     """
     manual = F.col("raw_id").isNull() & F.col("verification_id").isNull()
-    kept = _usable(claims).filter("_full").filter(
+    kept = usable_claims(claims).filter("_full").filter(
         manual | within(F.col("observed_at"), as_of, max_age_days)
     )
     entry = F.struct(F.col("authority"), *RECENCY, "value_key", "raw_value")
@@ -296,7 +296,7 @@ def pivot_values(values: DataFrame, fields: Sequence[str], value: str = "value_k
 
 def field_facts(claims: DataFrame, raw_fields: Sequence[str] = ("company", "title")) -> DataFrame:
     """All a view needs per entity and field: shown value, conflicts, differences, selection."""
-    kept = _usable(claims)
+    kept = usable_claims(claims)
     shown = F.when(F.col("field").isin(*raw_fields), F.col("raw_value")).otherwise(F.col("value_key"))
     full = F.col("_full")
     entry = F.struct("authority", *RECENCY, shown.alias("shown"), "value_key", "raw_value")

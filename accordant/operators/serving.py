@@ -152,7 +152,22 @@ def entity_view(
     claims: resolved, with `applicable`. counts: lineage_counts. decisions: history with `valid`
     (see still_current). Every side is aggregated to one line per entity first.
     """
-    values = field_facts(claims).groupBy("entity_id").agg(
+    check = effective.select(
+        "entity_id", F.col("result").alias("verification"), F.col("checked_at").alias("verified_at")
+    )
+    sides = (view_values(field_facts(claims)), counts, check, view_verdicts(decisions))
+    return assemble_view(with_org(entities, orgs), *sides, title_rules=title_rules)
+
+
+def with_org(entities: DataFrame, orgs: DataFrame) -> DataFrame:
+    """Entities with what a view shows of their organization."""
+    shown = orgs.select("org_id", "canonical_name", "candidate_domain", "official_domain", "scope_path", "domain_verified")
+    return entities.join(shown, "org_id", "left")
+
+
+def view_values(facts: DataFrame) -> DataFrame:
+    """field_facts (or facts_of) to one line per entity."""
+    return facts.groupBy("entity_id").agg(
         *[
             F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"_{f}")
             for f in ("company", "title", *VIEW_FIELDS)
@@ -161,18 +176,22 @@ def entity_view(
         F.count_if("differs").alias("historical_difference_count"),
         *_picked(),
     )
+
+
+def view_verdicts(decisions: DataFrame) -> DataFrame:
+    """History with `valid` to one line per entity: the current decision where it is valid, and that there is a past."""
     held = current_decisions(decisions).filter("valid")
     verdict = held.select("entity_id", "eligibility", "evidence_fit", "trust", "manual", F.lit(True).alias("decision_current"))
     past = decisions.select("entity_id").distinct().withColumn("_past", F.lit(True))
-    check = effective.select(
-        "entity_id", F.col("result").alias("verification"), F.col("checked_at").alias("verified_at")
-    )
-    base = entities.join(
-        orgs.select("org_id", "canonical_name", "candidate_domain", "official_domain", "scope_path", "domain_verified"),
-        "org_id",
-        "left",
-    )
-    for side in (values, counts, check, verdict, past):
+    return past.join(verdict, "entity_id", "left")
+
+
+def assemble_view(
+    base: DataFrame, values: DataFrame, counts: DataFrame, check: DataFrame, verdict: DataFrame, *,
+    title_rules: R.TitleRules = R.TitleRules(), keep: Sequence[str] = (),
+) -> DataFrame:
+    """The wide line from sides of one line per entity each. `keep` names further columns of the sides."""
+    for side in (values, counts, check, verdict):
         base = base.join(side, "entity_id", "left")
     own = F.coalesce("_title", F.when(F.col("observation_count").isNull(), F.col("title")), F.lit(""))
     shown = present_title(own, F.col("kind"), F.coalesce("_industry", F.lit("")), title_rules)
@@ -212,7 +231,7 @@ def entity_view(
         F.coalesce("manual", F.lit("UNDECIDED")).alias("manual"),
         F.coalesce("has_conflict", F.lit(False)).alias("has_conflict"),
         *[f"sel_{f}" for f in SELECTED_FIELDS],
-        "raw_company", "raw_title",
+        "raw_company", "raw_title", *keep,
     )
 
 
@@ -257,9 +276,21 @@ def queue_flags(entities: DataFrame, conflicts: DataFrame, decisions: DataFrame,
 
     conflicts: entity_id with a conflicting applicable claim. fresh: entity_id, has_fresh_open.
     """
+    marked = conflicts.select("entity_id").distinct().withColumn("conflict", F.lit(True))
+    joined = (
+        entities.join(decision_marks(decisions), "entity_id", "left")
+        .join(marked, "entity_id", "left")
+        .join(fresh.select("entity_id", "has_fresh_open"), "entity_id", "left")
+    )
+    flags = queue_columns()
+    return joined.select(*entities.columns, *[flag.alias(name) for name, flag in flags.items()])
+
+
+def decision_marks(decisions: DataFrame) -> DataFrame:
+    """What the current decisions of an entity say to the queues: one line per entity."""
     trusted = F.col("trust").isin(*VERIFIED) & (F.col("eligibility") == "PASS") & ~F.col("manual").isin(*PARKED)
     doubt = (F.col("manual") == "VERIFY_FIRST") | F.col("trust").isin(*UNSETTLED)
-    verdict = (
+    return (
         decisions.filter("is_current")
         .groupBy("entity_id")
         .agg(
@@ -270,12 +301,10 @@ def queue_flags(entities: DataFrame, conflicts: DataFrame, decisions: DataFrame,
             F.max(F.col("eligibility").isin("PASS", "UNKNOWN")).alias("eligible"),
         )
     )
-    marked = conflicts.select("entity_id").distinct().withColumn("conflict", F.lit(True))
-    joined = (
-        entities.join(verdict, "entity_id", "left")
-        .join(marked, "entity_id", "left")
-        .join(fresh.select("entity_id", "has_fresh_open"), "entity_id", "left")
-    )
+
+
+def queue_columns(conflict: str = "conflict", fresh_open: str = "has_fresh_open") -> dict[str, Column]:
+    """ready, verify_first, fits and eligible over entity columns, decision_marks, a conflict mark and freshness."""
 
     def flag(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(False))
@@ -283,16 +312,15 @@ def queue_flags(entities: DataFrame, conflicts: DataFrame, decisions: DataFrame,
     posting = F.col("kind") == POSTING
     live = F.col("review_status") != "MERGED"
     verify = (
-        (F.col("kind") == CAMPAIGN) | flag("conflict") | ~flag("has_decision") | flag("doubtful")
-        | (posting & ~flag("has_fresh_open"))
-    )
-    return joined.select(
-        *entities.columns,
-        (live & posting & flag("ready_decision") & flag("has_fresh_open")).alias("ready"),
-        (live & verify).alias("verify_first"),
-        flag("fits").alias("fits"),
-        flag("eligible").alias("eligible"),
+        (F.col("kind") == CAMPAIGN) | flag(conflict) | ~flag("has_decision") | flag("doubtful")
+        | (posting & ~flag(fresh_open))
     )
+    return {
+        "ready": live & posting & flag("ready_decision") & flag(fresh_open),
+        "verify_first": live & verify,
+        "fits": flag("fits"),
+        "eligible": flag("eligible"),
+    }
 
 
 def queue_order(accepted_cities: Sequence[str] = (), keywords: Sequence[str] = ()) -> list[Column]:
@@ -328,8 +356,13 @@ def dashboard(
     view: entity_id, has_conflict, ready_now, shortlist_ready.
     """
     joined = flagged.join(view.select("entity_id", "has_conflict", "ready_now", "shortlist_ready"), "entity_id", "left")
+    return side_by_side(count_entities(joined, shortlist), *import_totals(batches, sources))
+
+
+def count_entities(lines: DataFrame, shortlist: DataFrame) -> DataFrame:
+    """The counters over entities. lines: entity_id, kind, verify_first, has_conflict, ready_now, shortlist_ready."""
     listed = shortlist.select("entity_id").withColumn("_listed", F.lit(True))
-    totals = joined.join(listed, "entity_id", "left").agg(
+    return lines.join(listed, "entity_id", "left").agg(
         F.count("*").alias("opportunity_count"),
         F.count_if(F.col("kind") == POSTING).alias("posting_count"),
         F.count_if(F.col("kind") == CAMPAIGN).alias("campaign_count"),
@@ -339,9 +372,14 @@ def dashboard(
         F.count_if("verify_first").alias("verify_first_count"),
         F.count_if("has_conflict").alias("unresolved_conflict_count"),
     )
-    imported = batches.agg(F.max("imported_at").alias("latest_import_at"))
-    groups = sources.agg(F.countDistinct("independence_group").alias("independent_source_count"))
-    return side_by_side(totals, imported, groups)
+
+
+def import_totals(batches: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The latest import and the number of independent sources."""
+    return (
+        batches.agg(F.max("imported_at").alias("latest_import_at")),
+        sources.agg(F.countDistinct("independence_group").alias("independent_source_count")),
+    )
 
 
 def top_pairs(pairs: DataFrame, entities: DataFrame, decision: str = "REVIEW", k: int = 50) -> DataFrame:

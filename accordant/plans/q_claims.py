@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordant.operators import claims as C
+from accordant.operators import claims as C, state as ST
 from accordant.plans import workspace as W
 from accordant.plans.registry import Tables, query, shared
+from accordant.plans.stored import loaded_twice
+from accordant.plans.workspace import resolution_sql
 
 CLAIM = ["entity_id", "field", "claim_id"]
 
@@ -139,6 +141,25 @@ def e7(t: Tables) -> DataFrame:
     )
 
 
+shared("kept_claims", "SELECT * FROM claims WHERE source_key <> 'raw:7'", "claims")
+resolution_sql("kept_claims", "kept_")
+
+
+@query(
+    "e7_incremental_state",
+    """SELECT g.entity_id, g.field, CASE WHEN v.entity_id IS NULL THEN 'missing' WHEN v.top_values > 1 THEN 'conflict' ELSE 'selected' END AS state,
+         CASE WHEN v.top_values = 1 THEN v.newest_id END AS selected_id, CASE WHEN v.top_values = 1 THEN v.newest_key END AS selected_key,
+         v.top_authority, coalesce(v.sources, 0) AS sources, coalesce(g.least <> g.most, FALSE) AS differs
+       FROM (SELECT entity_id, field, min(CASE WHEN value_key <> '' THEN value_key END) AS least, max(CASE WHEN value_key <> '' THEN value_key END) AS most
+             FROM kept_claims GROUP BY 1, 2) g LEFT JOIN kept_verdict v ON v.entity_id = g.entity_id AND v.field = g.field""",
+    ("kept_claims", "kept_verdict"),
+)
+def e7_state(t: Tables) -> DataFrame:
+    """Facts of every group after two loads and a retirement, each of which touched its own groups only."""
+    facts = ST.current_facts(loaded_twice(t))
+    return facts.select(*C.GROUP, "state", "selected_id", "selected_key", "top_authority", "sources", "differs")
+
+
 @query(
     "e8_fresh_values",
     f"""SELECT entity_id, field,

@@ -14,12 +14,14 @@ from accordant.plans.q_decisions import recomputed, view_claims
 from accordant.plans.q_entities import pair_entities, reviewed_pairs, scored_neighbours
 from accordant.plans.q_snapshots import yearly_diff
 from accordant.plans.registry import Tables, query, shared
+from accordant.plans.stored import state_of, stored_view, working_view, write_state
 from accordant.sources.sinks import csv_rows, export_rows, markdown_sections
 
 AGE = dataclasses.replace(R.DecisionRules(), max_age_days=W.EVENTS_MAX_AGE)
 
 
 def view(t: Tables) -> DataFrame:
+    """The view over the source tables, without any stored state."""
     claims = C.resolve_claims(view_claims(t))
     counts = E.lineage_counts(E.lineage(W.entities(t), W.origins(t), W.raw(t), W.batches(t), W.sources(t)))
     effective = V.effective_attempt(W.attempts(t), W.entities(t), W.orgs(t))
@@ -27,6 +29,10 @@ def view(t: Tables) -> DataFrame:
     return S.entity_view(W.entities(t), W.orgs(t), claims, counts, effective, history)
 
 
+def served(t: Tables) -> DataFrame:
+    return stored_view(state_of(t))
+
+
 def slim_view(t: Tables) -> DataFrame:
     """The columns the list filters need, without the rest of the view."""
     picked = S.selected_values(C.resolve_claims(view_claims(t)))
@@ -74,10 +80,34 @@ VIEW = (
 
 @query("i6_entity_view", f"SELECT {', '.join(VIEW)} FROM entity_view", ("entity_view",))
 def i6(t: Tables) -> DataFrame:
-    """One wide line per part."""
+    """One wide line per part, from stored state."""
+    return served(t).select(*VIEW)
+
+
+@query("i6_view_from_sources", f"SELECT {', '.join(VIEW)} FROM entity_view", ("entity_view",))
+def i6_unstored(t: Tables) -> DataFrame:
+    """The same lines worked out from the source tables."""
     return view(t).select(*VIEW)
 
 
+@query(
+    "i6_state_load",
+    """SELECT 'claims' AS part, count(DISTINCT (entity_id, field, source_key)) AS lines FROM view_claims UNION ALL SELECT 'entities', count(*) FROM entities
+       UNION ALL SELECT 'lineage', count(*) FROM lineage_counts UNION ALL SELECT 'checks', count(DISTINCT entity_id) FROM scoped
+       UNION ALL SELECT 'verdicts', count(DISTINCT entity_id) FROM decisions UNION ALL SELECT 'marks', count(DISTINCT entity_id) FROM decisions WHERE is_current
+       UNION ALL SELECT 'shortlist', count(*) FROM shortlist""",
+    ("view_claims", "entities", "lineage_counts", "scoped", "decisions", "shortlist"),
+)
+def i6_load(t: Tables) -> DataFrame:
+    """The whole state written afresh, with the lines of each table: what an import does before anything is served."""
+    state = write_state(t)
+    out = None
+    for part in ("claims", "entities", "lineage", "checks", "verdicts", "marks", "shortlist"):
+        lines = state.read(part).agg(F.lit(part).alias("part"), F.count("*").alias("lines"))
+        out = lines if out is None else out.unionByName(lines)
+    return out
+
+
 @query(
     "i1_filter_entities",
     """SELECT e.entity_id FROM entities e JOIN picked p ON p.entity_id = e.entity_id
@@ -257,11 +287,10 @@ def i9(t: Tables) -> DataFrame:
 )
 def i10(t: Tables) -> DataFrame:
     """Ten counters in one line; a listed entry is ready if nothing blocks it."""
-    flagged = flags(t)
-    picked = S.selected_values(C.resolve_claims(view_claims(t))).select("entity_id", "has_conflict")
-    gate = S.readiness(view(t), W.EVENTS_AS_OF, AGE).select("entity_id", F.col("is_ready").alias("shortlist_ready"))
-    ready = flagged.select("entity_id", F.col("ready").alias("ready_now")).join(gate, "entity_id", "left")
-    return S.dashboard(flagged, ready.join(picked, "entity_id", "left"), W.shortlist(t), W.batches(t), W.sources(t))
+    state = state_of(t)
+    lines = S.readiness(working_view(state), W.EVENTS_AS_OF, AGE).withColumns({"ready_now": F.col("ready"), "shortlist_ready": F.col("is_ready")})
+    totals = S.count_entities(lines, state.read("shortlist"))
+    return S.side_by_side(totals, *S.import_totals(state.read("batches"), state.read("sources")))
 
 
 @query(
@@ -346,7 +375,7 @@ shared(
 @query("i14_readiness", "SELECT entity_id, blockers, blockers = '' AS is_ready FROM blockers", ("blockers",))
 def i14(t: Tables) -> DataFrame:
     """What keeps each part from the shortlist."""
-    ready = S.readiness(view(t), W.EVENTS_AS_OF, AGE)
+    ready = S.readiness(served(t), W.EVENTS_AS_OF, AGE)
     return ready.select("entity_id", F.concat_ws(",", "blockers").alias("blockers"), "is_ready")
 
 
@@ -357,7 +386,8 @@ def i14(t: Tables) -> DataFrame:
 )
 def i15(t: Tables) -> DataFrame:
     """Shortlist entries beside their part and its readiness."""
-    shown = S.shortlist_view(W.shortlist(t), S.readiness(view(t), W.EVENTS_AS_OF, AGE))
+    state = state_of(t)
+    shown = S.shortlist_view(state.read("shortlist"), S.readiness(stored_view(state), W.EVENTS_AS_OF, AGE))
     return shown.select("entity_id", "priority", "added_at", "application_stage", "ready", "title")
 
 
