@@ -80,8 +80,9 @@ def resolution_sql(claims: str, prefix: str = "") -> None:
     """Resolution in windows: latest per source, top authority, agreement."""
     shared(
         f"{prefix}latest",
-        f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, field, source_key
-            ORDER BY observed_at DESC, created_at DESC, claim_id DESC) AS rn FROM {claims} WHERE value_key <> '') WHERE rn = 1""",
+        f"""SELECT entity_id, field, source_key, m.o AS observed_at, m.c AS created_at, m.i AS claim_id, m.a AS authority, m.v AS value_key FROM (
+            SELECT entity_id, field, source_key, max(struct_pack(o := observed_at, c := created_at, i := claim_id, a := authority, v := value_key)) AS m
+            FROM {claims} WHERE value_key <> '' GROUP BY ALL)""",
         claims,
     )
     shared(
