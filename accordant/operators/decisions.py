@@ -9,6 +9,7 @@ from accordant import rules as R
 from accordant.functions.classify import CAMPAIGN, POSTING, present_title
 from accordant.functions.text import clean_set, extract_years, fold_category, let, rank_of, strip_text, tag_text
 from accordant.functions.times import moment, older_than, within
+from accordant.operators.claims import usable_claims
 from accordant.session import fact_join
 
 CONTEXT_FIELDS = (
@@ -413,6 +414,57 @@ def still_current(history: DataFrame, recomputed: DataFrame) -> DataFrame:
     ).select(*history.columns, "valid")
 
 
+def first_expiry(claims: DataFrame, lines: DataFrame, effective: DataFrame, as_of: str, max_age_days: float) -> DataFrame:
+    """(entity_id, valid_until): the last instant at which all that is fresh at `as_of` still is.
+
+    Up to then time alone changes no context and no decision. What expires are imported and verified claims that say
+    something, the newest row of each independence group, and the effective check. Entities with
+    nothing fresh are left out: nothing of theirs can expire.
+    """
+    def fresh(moment_of: Column) -> Column:
+        return F.when(within(moment_of, as_of, max_age_days), moment_of)
+
+    dated = F.col("raw_id").isNotNull() | F.col("verification_id").isNotNull()
+    said = usable_claims(claims).filter("_full").filter(dated)
+    same = F.col("raw_kind") == F.col("kind")
+    groups = lines.filter(same).groupBy("entity_id", "independence_group").agg(F.max("seen_at").alias("seen_at"))
+    moments = [
+        said.groupBy("entity_id").agg(F.min(fresh(F.col("observed_at"))).alias("first")),
+        groups.groupBy("entity_id").agg(F.min(fresh(F.col("seen_at"))).alias("first")),
+        effective.select("entity_id", fresh(F.col("checked_at")).alias("first")),
+    ]
+    found = moments[0].unionByName(moments[1]).unionByName(moments[2]).groupBy("entity_id").agg(F.min("first").alias("first"))
+    age = F.make_dt_interval(secs=F.lit(float(max_age_days) * 86400.0))
+    return found.filter("first is not null").select("entity_id", (F.col("first") + age).alias("valid_until"))
+
+
+def by_expiry(decisions: DataFrame, expiry: DataFrame) -> DataFrame:
+    """Decisions with `valid_until`, dealt out and sorted by it, so that a stored table is read by ranges of it."""
+    dated = fact_join(decisions, expiry, ["entity_id"])
+    return dated.repartitionByRange(F.col("valid_until").asc_nulls_last()).sortWithinPartitions(F.col("valid_until").asc_nulls_last())
+
+
+def due_decisions(dated: DataFrame, as_of: str, changed: DataFrame | None = None) -> DataFrame:
+    """(entity_id): whose current decision time has passed, a range of the stored order, and whose facts changed."""
+    passed = dated.filter(F.col("valid_until") < moment(as_of)).filter("is_current").select("entity_id")
+    if changed is not None:
+        passed = passed.unionByName(changed.select("entity_id"))
+    return passed.distinct()
+
+
+def recheck(dated: DataFrame, due: DataFrame, again: DataFrame) -> DataFrame:
+    """History with `valid` as still_current gives it, from a recomputation (`again`) of the due entities alone.
+
+    A current decision that is not due holds; one that is due holds if it came out the same.
+    """
+    asked = fact_join(dated, due.select("entity_id").distinct().withColumn("_due", F.lit(True)), ["entity_id"])
+    key = decision_key(dated, again)
+    now = again.select(*key, F.col("trust").alias("_trust"), F.col("fingerprint").alias("_fingerprint"))
+    same = (F.col("trust") == F.col("_trust")) & (F.col("fingerprint") == F.col("_fingerprint"))
+    holds = F.col("_due").isNull() | F.coalesce(same, F.lit(False))
+    return fact_join(asked, now, key).withColumn("valid", F.col("is_current") & holds).select(*dated.columns, "valid")
+
+
 def reconcile_stale(history: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Switch off current lines that no longer hold."""
     return still_current(history, recomputed).withColumn("is_current", F.col("valid")).drop("valid")

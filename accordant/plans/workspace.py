@@ -38,8 +38,8 @@ def line_authority() -> Column:
 LINE_AUTHORITY = "CASE WHEN l_linenumber = 7 THEN 30 WHEN l_linenumber >= 5 THEN 20 ELSE 10 END"
 
 
-def line_claims(t: Tables, entity: str = "l_partkey") -> DataFrame:
-    """Three fields of every order line as claims about its part (or order)."""
+def line_claims(t: Tables, entity: str = "l_partkey", fields: dict[str, Column] | None = None) -> DataFrame:
+    """Three fields (or those given) of every order line as claims about its part (or order)."""
     discounted = F.when(F.col("l_discount") == 0, "").otherwise("Y")
     keep = [
         F.col(entity).alias("entity_id"),
@@ -51,12 +51,8 @@ def line_claims(t: Tables, entity: str = "l_partkey") -> DataFrame:
         F.concat(F.lit("raw:"), F.col("l_suppkey").cast("string")).alias("source_key"),
         F.lit(True).alias("active"),
     ]
-    fields = {
-        "returnflag": (F.col("l_returnflag"), F.col("l_returnflag")),
-        "linestatus": (F.col("l_linestatus"), F.col("l_linestatus")),
-        "discounted": (discounted, discounted),
-    }
-    claims = unpivot_claims(t.lineitem, keep, fields)
+    fields = fields or {"returnflag": F.col("l_returnflag"), "linestatus": F.col("l_linestatus"), "discounted": discounted}
+    claims = unpivot_claims(t.lineitem, keep, {name: (value, value) for name, value in fields.items()})
     return claims.withColumns(
         {"claim_id": F.concat_ws(":", "raw_id", "field"), "confidence": F.lit(1.0)}
     )
