@@ -472,6 +472,23 @@ def c27(t: Tables) -> DataFrame:
     )
 
 
+LEVELS = 12
+
+
+@query(
+    "c27_deep_cell",
+    "SELECT event_id, event_type || ' / 是 / ' || user_id || ' / {\"other\":[' || user_id || ']}' AS shown FROM events",
+)
+def c27_deep(t: Tables) -> DataFrame:
+    """Cells whose texts lie under twelve objects and lists in turn."""
+    inner = F.concat(F.lit('[{"name":"'), "event_type", F.lit('"},true,[],{"text":["",{"email":'), F.col("user_id").cast("string"), F.lit('}]},{"other":['), F.col("user_id").cast("string"), F.lit("]}]"))
+    cell = inner
+    for level in range(LEVELS):
+        left, right = ('{"link":null,"text":', "}") if level % 2 else ("[null,", "]")
+        cell = F.concat(F.lit(left), cell, F.lit(right))
+    return t.events.select("event_id", flatten_cell(F.parse_json(cell)).alias("shown"))
+
+
 @query("c29_display_list", "SELECT page_id, array_to_string(segs, ' / ') AS shown FROM parts", ("parts",))
 def c29(t: Tables) -> DataFrame:
     """Path segments for display."""

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import dataclasses
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordant import rules as R
 from accordant.operators import claims as C, decisions as D, entities as E, serving as S, verification as V
+from accordant.operators.paging import By, after, write_order
 from accordant.plans import workspace as W
 from accordant.plans.q_decisions import recomputed, view_claims
 from accordant.plans.q_entities import pair_entities, reviewed_pairs, scored_neighbours
@@ -200,6 +202,51 @@ def i5(t: Tables) -> DataFrame:
     return S.paginate(live, S.sort_keys("updated"), 3, 30)[0].select("entity_id", "updated_at")
 
 
+NEWEST = (By("updated_at", descending=True), By("entity_id"))
+LIST_COLUMNS = "entity_id, kind, company, title, recruitment_type, source_count, conflict_count, verification, eligibility, trust, decision_current, has_conflict"
+
+
+@query(
+    "i5_list_page",
+    f"""SELECT row_number() OVER (ORDER BY updated_at DESC, entity_id) AS rank, {LIST_COLUMNS} FROM entity_view
+        WHERE review_status <> 'MERGED' ORDER BY updated_at DESC, entity_id LIMIT 30""",
+    ("entity_view",),
+)
+def i5_list(t: Tables) -> DataFrame:
+    """The first page of the list with all that the view shows: thirty ids in order, then only their lines."""
+    state = state_of(t)
+    live = state.read("entities").filter("review_status <> 'MERGED'")
+    # A page of ids goes through the driver; it is as long as the page.
+    first = live.orderBy(*[by.order for by in NEWEST]).limit(30).select("entity_id").collect()
+    rank = F.create_map(*[F.lit(x) for k, r in enumerate(first, 1) for x in (r[0], k)]) if first else F.create_map()
+    page = stored_view(state, ids=[r[0] for r in first])
+    return page.select(rank[F.col("entity_id")].cast("long").alias("rank"), *LIST_COLUMNS.split(", "))
+
+
+@query(
+    "i5_page_by_rank",
+    """SELECT rank, entity_id, updated_at FROM (SELECT row_number() OVER (ORDER BY updated_at DESC, entity_id) AS rank, * FROM entities WHERE review_status <> 'MERGED')
+       WHERE rank BETWEEN 1501 AND 1530""",
+    ("entities",),
+)
+def i5_ranked(t: Tables) -> DataFrame:
+    """Page 51 of thirty live entities, read from the one or two stored ranges that hold it."""
+    live = W.entities(t).filter("review_status <> 'MERGED'")
+    return write_order(live, NEWEST).page(51, 30).select("rank", "entity_id", "updated_at")
+
+
+@query(
+    "i5_seek",
+    """SELECT entity_id, updated_at FROM entities WHERE review_status <> 'MERGED' AND (updated_at < TIMESTAMP '1998-01-21' OR (updated_at = TIMESTAMP '1998-01-21' AND entity_id > 100))
+       ORDER BY updated_at DESC, entity_id LIMIT 30""",
+    ("entities",),
+)
+def i5_seek(t: Tables) -> DataFrame:
+    """The thirty live entities behind the last one shown."""
+    live = W.entities(t).filter("review_status <> 'MERGED'")
+    return after(live, NEWEST, (datetime(1998, 1, 21), 100), 30).select("entity_id", "updated_at")
+
+
 @query("i5_total", "SELECT count(*) AS total FROM entities WHERE review_status <> 'MERGED'", ("entities",))
 def i5_total(t: Tables) -> DataFrame:
     """How many live entities there are to page through."""
@@ -275,6 +322,20 @@ def i9(t: Tables) -> DataFrame:
     return page.select("entity_id")
 
 
+@query(
+    "i9_queue_by_rank",
+    """SELECT entity_id, rank FROM (SELECT *, row_number() OVER (ORDER BY NOT eligible, NOT (lower(title) LIKE '%red%' OR lower(title) LIKE '%ring%'), NOT fits,
+         kind <> 'POSTING', updated_at DESC, entity_id) AS rank FROM flags WHERE verify_first) WHERE rank BETWEEN 401 AND 440""",
+    ("flags",),
+)
+def i9_ranked(t: Tables) -> DataFrame:
+    """Page 11 of the queue from its stored order."""
+    first = {"_eligible": ~F.col("eligible"), "_wanted": ~S.has_any(F.lower("title"), ["red", "ring"]), "_fits": ~F.col("fits"), "_posting": F.col("kind") != "POSTING"}
+    queue = flags(t).filter("verify_first").withColumns(first)
+    order = write_order(queue.select("entity_id", "updated_at", *first), [*[By(c) for c in first], *NEWEST])
+    return order.page(11, 40).select("entity_id", "rank")
+
+
 @query(
     "i10_dashboard",
     """SELECT count(*) AS opportunity_count, count(*) FILTER (WHERE kind = 'POSTING') AS posting_count, count(*) FILTER (WHERE kind = 'CAMPAIGN') AS campaign_count,
@@ -360,6 +421,18 @@ def i13_changes(t: Tables) -> DataFrame:
     return S.list_changes(changes, "MODIFIED", 2, 100)
 
 
+@query(
+    "i13_changes_by_rank",
+    """SELECT rank, change, source_record_id FROM (SELECT row_number() OVER (ORDER BY change, source_record_id) AS rank, * FROM (
+         SELECT change, custkey || '-' || year AS source_record_id FROM diff)) WHERE rank BETWEEN 1001 AND 1100""",
+    ("diff",),
+)
+def i13_ranked(t: Tables) -> DataFrame:
+    """Page 11 of all changes from their stored order."""
+    changes = yearly_diff(t).select("change", F.col("record").alias("source_record_id"))
+    return write_order(changes, [By("change"), By("source_record_id")]).page(11, 100)
+
+
 shared(
     "blockers",
     """SELECT *, concat_ws(',', CASE WHEN kind <> 'POSTING' THEN 'not_a_posting' END, CASE WHEN review_status = 'MERGED' THEN 'merged' END,

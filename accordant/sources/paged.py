@@ -18,37 +18,47 @@ RECORD_ID_HEADER = "记录ID"
 MAX_PAGES = 10000
 
 
-def flatten_cell(value: Column, depth: int = 3) -> Column:
-    """Display text of one nested cell held as a VARIANT; below `depth` levels its JSON.
+def flatten_cell(value: Column) -> Column:
+    """Display text of one nested cell held as a VARIANT, at any depth.
 
-    Lists join their non-empty members, objects show the first of the usual text keys.
+    Lists join their non-empty members, objects show the first of the usual text keys, or their JSON. Since the
+    text of a list is that of its members in turn, a cell is taken apart level by level: every step puts
+    lists in the place of their members and objects in that of their member, as often as the cell is deep.
     """
+    levels = F.when(_depth(value) > 0, F.sequence(F.lit(1), _depth(value))).otherwise(F.array().cast("array<int>"))
+    leaves = F.aggregate(levels, F.array(value), lambda cells, _: F.flatten(F.transform(cells, _opened)))
+    return F.array_join(F.filter(F.transform(leaves, _leaf_text), lambda x: x != ""), " / ")
+
+
+def _depth(value: Column) -> Column:
+    """How deep lists and objects are nested in a cell."""
+    # Escapes stand in texts only; without them a text ends at the next quote.
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(F.to_json(value), F.lit("")), r"\\.", ""), '"[^"]*"', "")
+    step = F.transform(F.regexp_extract_all(bare, F.lit(r"[\[\]{}]"), F.lit(0)), lambda c: F.when(c.isin("[", "{"), 1).otherwise(-1))
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    walk = F.aggregate(
+        step, zero, lambda at, d: F.struct((at["now"] + d).alias("now"), F.greatest(at["most"], at["now"] + d).alias("most"))
+    )
+    return walk["most"]
+
+
+def _opened(cell: Column) -> Column:
+    """The members of a list, the chosen member of an object, else the cell itself."""
+    chosen = F.coalesce(*[_filled(cell, key) for key in CELL_KEYS])
+    return F.coalesce(
+        F.try_variant_get(cell, "$", "array<variant>"), let(chosen, lambda c: F.when(c.isNotNull(), F.array(c))), F.array(cell)
+    )
 
-    def shown(cell: Column) -> Column:
-        shape, plain, inner = cell["shape"], cell["plain"], cell["value"]
-        rest = F.coalesce(F.to_json(inner), F.lit(""))
-        if depth > 0:
-            members = F.try_variant_get(inner, "$", "array<variant>")
-            texts = F.transform(members, lambda item: flatten_cell(item, depth - 1))
-            joined = F.array_join(F.filter(texts, lambda x: x != ""), " / ")
-            best = F.coalesce(*[_filled(inner, key) for key in CELL_KEYS])
-            chosen = let(best, lambda b: F.when(b.isNull(), rest).otherwise(flatten_cell(b, depth - 1)))
-        else:
-            joined = chosen = rest
-        return (
-            F.when(shape.isNull() | (shape == "VOID"), "")
-            .when(shape == "BOOLEAN", F.when(plain == "true", TRUE_TEXT).otherwise(FALSE_TEXT))
-            .when(shape.startswith("ARRAY"), joined)
-            .when(shape.startswith("OBJECT"), chosen)
-            .otherwise(plain)
-        )
 
-    facts = F.struct(
-        value.alias("value"),
-        F.schema_of_variant(value).alias("shape"),
-        F.try_variant_get(value, "$", "string").alias("plain"),
+def _leaf_text(cell: Column) -> Column:
+    facts = F.struct(F.schema_of_variant(cell).alias("shape"), F.try_variant_get(cell, "$", "string").alias("plain"), F.to_json(cell).alias("json"))
+    return let(
+        facts,
+        lambda f: F.when(f["shape"].isNull() | (f["shape"] == "VOID"), "")
+        .when(f["shape"] == "BOOLEAN", F.when(f["plain"] == "true", TRUE_TEXT).otherwise(FALSE_TEXT))
+        .when(f["shape"].startswith("OBJECT"), F.coalesce(f["json"], F.lit("")))
+        .otherwise(f["plain"]),
     )
-    return let(facts, shown)
 
 
 def _filled(value: Column, key: str) -> Column:
