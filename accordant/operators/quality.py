@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant import rules as R
@@ -13,7 +13,7 @@ from accordant.functions.text import any_of, has_any
 from accordant.operators.ingest import is_non_job_row
 from accordant.operators.serving import side_by_side
 from accordant.operators.snapshots import multiset_fingerprint
-from accordant.session import fact_join, number_rows
+from accordant.session import fact_join, stored
 
 
 def ratio(part: Column, whole: Column, digits: int = 6) -> Column:
@@ -156,32 +156,86 @@ def compare_labels(expected: DataFrame, actual: DataFrame, key: str, suite: str
     )
 
 
+BUCKET = 100_000  # values that one task sorts for one rank
+BINS = 1024
+
+
+def finite(v: Column) -> Column:
+    return ~F.isnan(v) & ~v.isin(float("inf"), float("-inf"))
+
+
+def extent() -> list[Column]:
+    """Aggregates over `v`: how many values, their ends, and the ends of the finite ones."""
+    v = F.col("v")
+    return [
+        F.count("*").alias("n"), F.min("v").alias("first"), F.max("v").alias("last"),
+        F.min(F.when(finite(v), v)).alias("low"), F.max(F.when(finite(v), v)).alias("high"),
+    ]
+
+
+def rank_values(values: DataFrame, ranks: DataFrame, group: str, bucket: int = BUCKET, bins: int = BINS) -> DataFrame:
+    """(group, rank, value): the values at the wanted ranks, from 0, in each group's ascending order.
+
+    values: group, v, no nulls. ranks: group, rank and the group's extent. Nothing is sorted as a whole: histograms narrow the range that
+    holds a rank, each pass over the values that are left in it, until it holds one value only or at most
+    `bucket` of them, which are sorted. A pass sends `bins` counts a rank and task. Infinite values and
+    NaN, which sorts last, have bins of their own.
+    """
+    v = F.col("v")
+    targets = ranks.withColumn("before", F.lit(0).cast("long"))
+    while targets.filter(_open_range(bucket)).take(1):
+        width = F.col("high") / 2 - F.col("low") / 2
+        place = F.floor((v / 2 - F.col("low") / 2) / width * bins)
+        spread = F.when(width > 0, F.least(place, F.lit(bins - 1))).otherwise(F.when(v == F.col("low"), 0).otherwise(1))
+        inner = F.when(finite(v), spread).when(F.isnan(v), bins + 1).otherwise(F.when(v > 0, bins).otherwise(-1))
+        wide = targets.filter(_open_range(bucket))
+        counted = within_ranges(values, wide, group).groupBy(group, "rank", inner.alias("bin")).agg(
+            *extent(), F.max("before").alias("start"),
+        )
+        # At most a line for each bin of a rank.
+        earlier = Window.partitionBy(group, "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counted.withColumn("before", F.col("start") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        held = placed.filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
+        targets = stored(targets.filter(~_open_range(bucket)).unionByName(held.select(*targets.columns)), "ranks")
+    alone = targets.filter("first = last").select(group, "rank", F.col("first").alias("value"))
+    few = within_ranges(values, targets.filter("first <> last"), group).groupBy(group, "rank", "before").agg(
+        F.array_sort(F.collect_list("v")).alias("all")
+    )
+    return alone.unionByName(few.select(group, "rank", F.element_at("all", (F.col("rank") - F.col("before") + 1).cast("int")).alias("value")))
+
+
+def _open_range(bucket: int) -> Column:
+    return (F.col("n") > bucket) & (F.col("first") != F.col("last"))
+
+
+def within_ranges(values: DataFrame, targets: DataFrame, group: str) -> DataFrame:
+    """The values in the range of each target of their group. A group has as many targets as wanted ranks."""
+    columns = ("rank", "before", "first", "last", "low", "high")
+    listed = targets.groupBy(group).agg(F.collect_list(F.struct(*columns)).alias("t"))
+    met = F.filter("t", lambda t: (F.col("v") >= t["first"]) & (F.col("v") <= t["last"]))
+    joined = fact_join(values, listed, [group], "inner").select(group, "v", F.explode(met).alias("t"))
+    return joined.select(group, "v", *[F.col(f"t.{c}").alias(c) for c in columns])
+
+
 def latency_stats(
     df: DataFrame, column: str, group: str, points: Sequence[tuple[str, float]] = (("median", 0.5), ("p95", 0.95)),
-    digits: int = 4,
+    digits: int = 4, bucket: int = BUCKET,
 ) -> DataFrame:
-    """Min, max and exact interpolated percentiles per group.
-
-    Values are numbered in order across tasks and only the two neighbours of each percentile are
-    looked up, so a group of any size costs no more memory than a small one.
-    """
-    values = df.select(F.col(group), F.col(column).cast("double").alias("_v")).filter("_v is not null")
-    ranked = number_rows(values, [F.col("_v").asc()], name="_rank", group=group)
-    sizes = ranked.groupBy(group).agg(F.count("*").alias("samples"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    placed = fact_join(ranked, sizes, [group], "inner").withColumn("_at", F.col("_rank") - 1)
+    """Min, max and exact interpolated percentiles per group, without sorting the values."""
+    key = F.col(group)
+    values = df.select(key, F.col(column).cast("double").alias("v")).filter("v is not null and " + f"`{group}` is not null")
+    sizes = stored(values.groupBy(group).agg(*extent()), "extents")
+    spots = {name: F.lit(p) * (F.col("n") - 1) for name, p in points}
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(s), F.ceil(s)) for s in spots.values()])))
+    found = rank_values(values, sizes.select("*", F.explode(wanted).alias("rank")), group, bucket)
+    joined = fact_join(found, sizes.select(group, "n", F.col("first").alias("lo"), F.col("last").alias("hi")), [group], "inner")
     stats = []
-    for name, p in points:
-        spot = F.lit(p) * (F.col("samples") - 1)
-        low, high = F.floor(spot), F.ceil(spot)
-        lower = F.max(F.when(F.col("_at") == low, F.col("_v")))
-        upper = F.max(F.when(F.col("_at") == high, F.col("_v")))
-        share = F.max(spot - low)
-        stats.append(F.round(lower + (upper - lower) * share, digits).alias(name))
-    return placed.groupBy(group).agg(
-        F.max("samples").alias("samples"),
-        F.round(F.max("_lo"), digits).alias("min"),
-        *stats,
-        F.round(F.max("_hi"), digits).alias("max"),
+    for name, spot in spots.items():
+        lower = F.max(F.when(F.col("rank") == F.floor(spot), F.col("value")))
+        upper = F.max(F.when(F.col("rank") == F.ceil(spot), F.col("value")))
+        stats.append(F.round(lower + (upper - lower) * F.max(spot - F.floor(spot)), digits).alias(name))
+    return joined.groupBy(group).agg(
+        F.max("n").alias("samples"), F.round(F.max("lo"), digits).alias("min"), *stats, F.round(F.max("hi"), digits).alias("max")
     )
 
 
