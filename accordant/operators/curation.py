@@ -14,7 +14,7 @@ from accordant.functions.classify import CAMPAIGN, POSTING
 from accordant.functions.url import mark_registrable, official_scope, scope_host
 from accordant.operators.claims import applicable_claims, resolve_claims, retire_claims
 from accordant.operators.decisions import invalidate
-from accordant.operators.graph import connect
+from accordant.operators.graph import contract
 from accordant.operators.verification import validate_identity_url
 from accordant.session import checkpoint, fact_join
 
@@ -225,12 +225,14 @@ def merge_plan(entities: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataF
     merges: left_id, right_id. Chains are closed; a closed component with two kinds, organizations
     or posting ids is rejected whole. plan: entity_id, root, job_id; the smallest id is kept.
     """
-    edge = F.concat_ws("|", F.col("left_id").cast("string"), F.col("right_id").cast("string"))
-    keyed = merges.filter("left_id <> right_id").withColumn("key", edge)
-    sides = keyed.select(F.col("left_id").alias("node"), "key").unionByName(
-        keyed.select(F.col("right_id").alias("node"), "key")
-    )
-    roots = connect(sides.join(entities.select(F.col("entity_id").alias("node")), "node", "left_semi"))
+    known = entities.select("entity_id").distinct()
+    apart = merges.filter("left_id <> right_id").select("left_id", "right_id")
+    left = apart.join(known.withColumnRenamed("entity_id", "left_id"), "left_id", "left_semi")
+    right = apart.join(known.withColumnRenamed("entity_id", "right_id"), "right_id", "left_semi")
+    joined = contract(left.join(known.withColumnRenamed("entity_id", "right_id"), "right_id", "left_semi"))
+    # An entity whose partners are all unknown stays as it is.
+    named = left.select(F.col("left_id").alias("node")).unionByName(right.select(F.col("right_id").alias("node"))).distinct()
+    roots = fact_join(named, joined, ["node"]).withColumn("root", F.coalesce("root", "node"))
     members = roots.join(entities, roots["node"] == entities["entity_id"]).select(
         "entity_id", "root", "kind", "org_id", F.nullif("official_job_id", F.lit("")).alias("job")
     )

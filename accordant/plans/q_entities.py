@@ -623,6 +623,17 @@ def d12_components(t: Tables) -> DataFrame:
     return graph.connect(t.part.select(F.col("p_partkey").alias("node"), key.alias("key")))
 
 
+@query(
+    "d12_contracted_components",
+    "SELECT p_partkey AS node, min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS root FROM part QUALIFY count(*) OVER (PARTITION BY p_brand, p_name) > 1",
+)
+def d12_contracted(t: Tables) -> DataFrame:
+    """Components of chains through the parts of one brand and name, by contraction of edges."""
+    following = Window.partitionBy("p_brand", "p_name").orderBy(F.xxhash64("p_partkey"))
+    chain = t.part.select(F.col("p_partkey").alias("left_id"), F.lead("p_partkey").over(following).alias("right_id"))
+    return graph.contract(chain.filter("right_id is not null"))
+
+
 @query(
     "d13_link_children",
     """SELECT campaign_id, posting_id, CASE WHEN ck IS NULL THEN 'not_found' WHEN pk <> 'CAMPAIGN' THEN 'parent_not_campaign'

@@ -75,6 +75,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table of ours once what was made of it is written."""
+    if "/accordant-scratch/" not in path:
+        raise ValueError(f"not a scratch path: {path}")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fact_join(
     rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left"
 ) -> DataFrame:
