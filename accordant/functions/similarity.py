@@ -34,69 +34,63 @@ def _chars(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
-def _lcs_short(a: Column, b: Column) -> Column:
-    """Bit-parallel longest common subsequence; b holds at most one word of characters."""
+def _words(chars: Column) -> Column:
+    """Numbers of the machine words that hold one bit for each character."""
+    return F.sequence(F.lit(0), F.floor((F.size(chars) - 1) / _WORD).cast("int"))
 
-    def masks(chars: Column) -> Column:
-        distinct = F.array_distinct(chars)
+
+def _masks(chars: Column) -> Column:
+    """For each character the words with its places set."""
+    distinct = F.array_distinct(chars)
+
+    def word(d: Column, k: Column) -> Column:
         bits = F.transform(
-            distinct,
-            lambda d: F.aggregate(
-                F.transform(
-                    chars,
-                    lambda c, i: F.when(c == d, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(
-                        F.lit(0).cast("long")
-                    ),
-                ),
-                F.lit(0).cast("long"),
-                lambda acc, x: acc.bitwiseOR(x),
-            ),
+            F.slice(chars, k * _WORD + 1, _WORD),
+            lambda c, i: F.when(c == d, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")),
         )
-        return F.map_from_arrays(distinct, bits)
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
 
-    def run(mask: Column) -> Column:
-        def step(v: Column, c: Column) -> Column:
-            hit = v.bitwiseAND(F.coalesce(F.try_element_at(mask, c), F.lit(0).cast("long")))
-            return (v + hit).bitwiseOR(v - hit).bitwiseAND(F.lit(_FULL))
+    return F.map_from_arrays(distinct, F.transform(distinct, lambda d: F.transform(_words(chars), lambda k: word(d, k))))
 
-        return F.aggregate(_chars(a), F.lit(_FULL), step)
 
-    state = let(masks(_chars(b)), run)
-    width = F.length(b)
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), width) - 1
-    return width - F.bit_count(state.bitwiseAND(low)).cast("int")
+def _next_words(v: Column, mask: Column) -> Column:
+    """One character of the other text: add the hits word by word, with the carry going up."""
 
+    def step(acc: Column, k: Column) -> Column:
+        own = F.get(v, k)
+        return let(
+            F.struct(own.alias("v"), own.bitwiseAND(F.get(mask, k)).alias("hit")),
+            lambda w: let(
+                w["v"] + w["hit"] + acc["carry"],
+                lambda total: F.struct(
+                    F.shiftright(total, _WORD).alias("carry"),
+                    F.array_append(acc["words"], total.bitwiseOR(w["v"] - w["hit"]).bitwiseAND(F.lit(_FULL))).alias("words"),
+                ),
+            ),
+        )
 
-def _lcs_long(a: Column, b: Column) -> Column:
-    """Row-by-row dynamic program for texts longer than one word."""
-
-    def rows(other: Column) -> Column:
-        start = F.transform(F.sequence(F.lit(0), F.size(other)), lambda i: F.lit(0))
+    start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("words"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(v) - 1), start, step, lambda acc: acc["words"])
 
-        def row(previous: Column, ch: Column) -> Column:
-            def cell(done: Column, j: Column) -> Column:
-                value = F.when(F.get(other, j - 1) == ch, F.get(previous, j - 1) + 1).otherwise(
-                    F.greatest(F.get(previous, j), F.get(done, j - 1))
-                )
-                return F.array_append(done, value)
 
-            return F.aggregate(F.sequence(F.lit(1), F.size(other)), F.array(F.lit(0)), cell)
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts, bit-parallel over the characters of the shorter one."""
+    shorter = F.when(F.length(a) < F.length(b), a).otherwise(b)
+    longer = F.when(F.length(a) < F.length(b), b).otherwise(a)
 
-        return F.element_at(F.aggregate(_chars(a), start, row), -1)
+    def run(facts: Column) -> Column:
+        chars, masks = facts["chars"], facts["masks"]
+        full = F.transform(_words(chars), lambda _: F.lit(_FULL))
 
-    return let(_chars(b), rows)
+        def step(v: Column, c: Column) -> Column:
+            return let(F.try_element_at(masks, c), lambda m: F.when(m.isNull(), v).otherwise(_next_words(v, m)))
 
+        # A place of the shorter text that lost its bit is part of the subsequence.
+        lost = F.transform(F.aggregate(_chars(longer), full, step), lambda w: _WORD - F.bit_count(w).cast("int"))
+        return F.aggregate(lost, F.lit(0), lambda x, y: x + y)
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two texts."""
-    shorter = F.when(F.length(a) < F.length(b), a).otherwise(b)
-    longer = F.when(F.length(a) < F.length(b), b).otherwise(a)
-    return (
-        F.when((a == "") | (b == ""), F.lit(0))
-        .when(a == b, F.length(a))
-        .when(F.length(shorter) <= _WORD, _lcs_short(longer, shorter))
-        .otherwise(_lcs_long(longer, shorter))
-    )
+    facts = let(_chars(shorter), lambda c: F.struct(c.alias("chars"), _masks(c).alias("masks")))
+    return F.when((a == "") | (b == ""), F.lit(0)).when(a == b, F.length(a)).otherwise(let(facts, run))
 
 
 def indel_ratio(a: Column, b: Column) -> Column:

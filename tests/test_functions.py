@@ -261,3 +261,23 @@ def test_times(one):
     assert one(times.deadline_within(C("a"), "2026-08-01 10:00:00", 7), a="2026-08-08") is True
     assert one(times.deadline_within(C("a"), "2026-08-01 10:00:00", 7), a="2026-08-09") is False
     assert one(times.deadline_within(C("a"), "2026-08-01 10:00:00", 7), a="招满为止") is False
+
+
+def test_common_subsequences_of_any_length(spark):
+    """Around the borders of machine words and up to 500 characters, against the plain program."""
+    import random
+
+    rng = random.Random(5)
+    lengths = [1, 2, 61, 62, 63, 123, 124, 125, 186, 250, 500]
+    rows = []
+    for n in lengths:
+        for m in rng.sample(lengths, 5):
+            few, many = "ab", "abcdefghijklmnopqrstuvwxyz数据😀"
+            letters = rng.choice([few, many])
+            x = "".join(rng.choices(letters, k=n))
+            y = "".join(rng.choices(letters, k=m)) if rng.random() < 0.6 else "".join(c for c in x if rng.random() < 0.9)[:m] + "z"
+            rows.append((len(rows), x, y))
+    rows.append((len(rows), "a" * 500, "a" * 499 + "b"))
+    frame = spark.createDataFrame(rows, "k int, x string, y string")
+    got = {r["k"]: r["n"] for r in frame.select("k", similarity.lcs_length(C("x"), C("y")).alias("n")).collect()}
+    assert got == {k: lcs(x, y) for k, x, y in rows}
