@@ -155,6 +155,37 @@ def a5(t: Tables) -> DataFrame:
     return paged.check_paged_load(pages, paged.page_records(pages), previous_count=1, max_pages=5000)
 
 
+@query(
+    "a6_store_generations",
+    """SELECT 's' || l_suppkey % 5 AS source_id, 's' || l_suppkey % 5 || '-' || year(l_shipdate) AS batch_id, count(*) AS rows, max(l_shipdate) AS imported_at,
+         CASE WHEN l_suppkey % 5 < 2 THEN 1 ELSE 2 END AS generation
+       FROM lineitem GROUP BY ALL""",
+)
+def a6_generations(t: Tables) -> DataFrame:
+    """Order lines stored in two loads, the second of which brings the files of the first again, and read back."""
+    root = scratch_path(t.spark, "store")
+    source = F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string"))
+    rows = t.lineitem.select(
+        F.concat_ws("-", source, F.year("l_shipdate")).alias("batch_id"), source.alias("source_id"), "l_orderkey", "l_linenumber", "l_shipdate"
+    )
+    offered = rows.groupBy("batch_id", "source_id").agg(F.max("l_shipdate").alias("imported_at")).withColumns(
+        {"file_hash": F.sha2("batch_id", 256), "mapping": F.create_map(F.lit("id"), F.lit("l_orderkey"))}
+    )
+    early = F.col("source_id") < "s2"
+    store.write_batch(rows.filter(early), offered.filter(early), root)
+    store.write_batch(rows, offered, root)
+    loads = store.committed_loads(t.spark, root)
+    found = [
+        store.read_committed(t.spark, root, table, [load]).withColumn("generation", F.lit(k))
+        for table in (store.RAW, store.BATCHES) for k, load in enumerate(loads, 1)
+    ]
+    raw, batches = (found[k].unionByName(found[k + 1]) for k in (0, 2))
+    sizes = raw.groupBy("source_id", "batch_id", "generation").agg(F.count("*").alias("rows"))
+    return sizes.join(batches.select("batch_id", "generation", "imported_at"), ["batch_id", "generation"]).select(
+        "source_id", "batch_id", "rows", "imported_at", "generation"
+    )
+
+
 @query(
     "a7_sample_snapshot",
     """SELECT raw_id FROM (SELECT raw_id, row_number() OVER (PARTITION BY batch_id ORDER BY raw_id) AS rn FROM raw) WHERE rn <= 5""",

@@ -1,23 +1,77 @@
-"""Append-only batch store on a shared file system."""
+"""Append-only batch store on a shared file system, committed in numbered generations.
+
+A load writes its rows and batch lines into folders of its own and then creates the next manifest, which names them.
+A manifest is created only if its number is free, so of two loads at once one finds out that it came second
+and judges its files again beside what the first admitted. Readers follow the manifests and therefore see whole loads
+only; folders that no manifest names are leftovers of a lost driver.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from accordant.session import checkpoint
 
+MANIFESTS, RAW, BATCHES = "manifests", "raw", "batches"
+
+
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def committed_loads(spark: SparkSession, root: str) -> list[str]:
+    """Names of the committed loads in order; one short file for each load is read."""
+    files, folder = _folder(spark, f"{root}/{MANIFESTS}")
+    if not files.exists(folder):
+        return []
+    numbered = sorted(f.getPath().getName() for f in files.listStatus(folder) if f.getPath().getName().isdigit())
+    jvm, loads = spark.sparkContext._jvm, []
+    for name in numbered:
+        stream = files.open(jvm.org.apache.hadoop.fs.Path(folder, name))
+        try:
+            loads.append(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip())
+        finally:
+            stream.close()
+    return loads
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    """The table, or None if it was never written."""
+
+def commit_load(spark: SparkSession, root: str, number: int, load: str) -> bool:
+    """Create manifest `number` for a load; False if that number is taken.
+
+    The file is written aside and renamed without overwriting, which is one step on file systems with atomic renames.
+    """
+    jvm = spark.sparkContext._jvm
+    files, folder = _folder(spark, f"{root}/{MANIFESTS}")
+    files.mkdirs(folder)
+    aside, name = (jvm.org.apache.hadoop.fs.Path(folder, n) for n in (f"_{load}", f"{number:010d}"))
+    stream = files.create(aside, True)
+    stream.write(load.encode())
+    stream.close()
+    never = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     try:
-        reader = spark.read.schema(schema) if schema else spark.read
-        return reader.parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), conf).rename(files.makeQualified(aside), files.makeQualified(name), never)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" not in error.java_exception.getClass().getName():
+            raise
+        files.delete(aside, False)
+        return False
+    return True
+
+
+def read_committed(spark: SparkSession, root: str, table: str, loads: list[str] | None = None) -> DataFrame | None:
+    """A table of the store as the manifests have it, or None if nothing was committed."""
+    loads = committed_loads(spark, root) if loads is None else loads
+    if not loads:
+        return None
+    rows = spark.read.option("basePath", f"{root}/{table}").parquet(*[f"{root}/{table}/load={load}" for load in loads])
+    return rows.drop("load")
 
 
 def admit_batches(batches: DataFrame, existing: DataFrame | None) -> DataFrame:
@@ -52,27 +106,29 @@ def admit_batches(batches: DataFrame, existing: DataFrame | None) -> DataFrame:
 def write_batch(rows: DataFrame, batches: DataFrame, root: str) -> DataFrame:
     """Append new batches and their rows; known files are left alone.
 
-    Rows are written first, each batch into its own partition, and the batch line last. A retry
-    after a lost driver therefore rewrites only partitions no batch line refers to yet.
+    What a lost driver leaves behind is named by no manifest, so a retry starts anew. A load that
+    another one overtook judges its batches again.
     """
     spark = rows.sparkSession
-    admitted = admit_batches(batches, read_table(spark, f"{root}/batches"))
-    changed = admitted.filter("status = 'mapping_changed'").select("source_id", "file_hash").take(3)
-    if changed:
-        raise ValueError(f"mapping_changed: {changed}")
-    # The verdict must not be re-read from the table this function is about to extend.
-    verdict = checkpoint(admitted.select("batch_id", "source_id", "file_hash", "status"))
-    fresh = verdict.filter("status = 'imported'").select("batch_id")
-    new_batches = batches.join(fresh, "batch_id", "left_semi")
-    (
-        rows.join(fresh, "batch_id", "left_semi")
-        .write.partitionBy("source_id", "batch_id")
-        .option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .parquet(f"{root}/raw")
-    )
-    new_batches.write.mode("append").parquet(f"{root}/batches")
-    return verdict
+    while True:
+        loads = committed_loads(spark, root)
+        verdict = checkpoint(admit_batches(batches, read_committed(spark, root, BATCHES, loads)))
+        changed = verdict.filter("status = 'mapping_changed'").select("source_id", "file_hash").take(3)
+        if changed:
+            raise ValueError(f"mapping_changed: {changed}")
+        shown = verdict.select("batch_id", "source_id", "file_hash", "status")
+        fresh = verdict.filter("status = 'imported'").select("batch_id")
+        if not fresh.take(1):
+            return shown
+        load = uuid.uuid4().hex
+        kept = rows.join(fresh, "batch_id", "left_semi")
+        kept.write.partitionBy("source_id", "batch_id").parquet(f"{root}/{RAW}/load={load}")
+        batches.join(fresh, "batch_id", "left_semi").write.parquet(f"{root}/{BATCHES}/load={load}")
+        if commit_load(spark, root, len(loads) + 1, load):
+            return shown
+        for table in (RAW, BATCHES):
+            files, path = _folder(spark, f"{root}/{table}/load={load}")
+            files.delete(path, True)
 
 
 def sample_snapshot(rows: DataFrame, batches: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
