@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from accordant import rules as R
 from accordant.operators import claims as C, decisions as D, entities as E, serving as S, verification as V
 from accordant.operators.paging import By, after, write_order
+from accordant.operators.search_index import build_index
 from accordant.plans import workspace as W
 from accordant.plans.q_decisions import recomputed, view_claims
 from accordant.plans.q_entities import pair_entities, reviewed_pairs, scored_neighbours
@@ -563,6 +564,25 @@ def i17(t: Tables) -> DataFrame:
     return searched(t)[0].select("entity_id")
 
 
+INDEXED = ("red", "Ring", "#1", "brand#12", "e g", "zzz", "o")
+
+
+@query(
+    "i17_search_index",
+    " UNION ALL ".join(
+        f"SELECT '{w}' AS keyword, p_partkey AS entity_id FROM part WHERE contains(lower(p_name), '{w.lower()}') OR contains(lower(p_brand), '{w.lower()}')" for w in INDEXED
+    ),
+)
+def i17_index(t: Tables) -> DataFrame:
+    """Every hit of several keywords through the stored index, short ones by a scan."""
+    index = build_index(W.entities(t), "entity_id", ("title", "org_id"))
+    out = None
+    for word in INDEXED:
+        hits = index.search(word).select(F.lit(word).alias("keyword"), "entity_id")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 def exported(t: Tables) -> DataFrame:
     """Customers as a ready shortlist of orders' segments."""
     rows = W.shortlist(t).withColumns(
