@@ -196,6 +196,31 @@ def h5(t: Tables) -> DataFrame:
     return kept.select("entity_id", "eligibility", "evidence_fit", "trust")
 
 
+@query(
+    "h5_decide_codes",
+    """SELECT e.entity_id, e.eligibility, e.unknowns AS eligibility_unknowns, f.evidence_fit, f.reasons AS fit_reasons, t.trust,
+         CASE WHEN o_orderstatus = 'P' AND o_totalprice > 400000 THEN 'official_blocked' WHEN t.trust = 'STALE' THEN 'evidence_stale'
+           WHEN t.trust = 'VERIFIED_WITH_CONFLICT' THEN 'official_posting_with_conflicts' WHEN t.trust = 'VERIFIED' THEN 'official_specific_posting_verified'
+           WHEN t.trust = 'CONFLICTED' THEN 'unresolved_source_conflicts' WHEN t.trust = 'CONSISTENT' THEN 'multiple_sources_consistent' ELSE '' END AS trust_reasons,
+         CASE WHEN o_orderstatus = 'P' AND o_totalprice > 400000 THEN 'official_status_unresolved' WHEN t.trust = 'CONSISTENT' THEN 'official_posting_not_verified'
+           WHEN t.trust = 'UNKNOWN' THEN 'insufficient_source_evidence' ELSE '' END AS trust_unknowns
+       FROM eligibility e JOIN fit f ON f.entity_id = e.entity_id JOIN trusted t ON t.entity_id = e.entity_id JOIN orders ON o_orderkey = e.entity_id""",
+    ("eligibility", "fit", "trusted"),
+)
+def h5_codes(t: Tables) -> DataFrame:
+    """All three axes of every order with the codes of their reasons and unknowns."""
+    made = D.decide(order_contexts(t), profiles(t), AS_OF, RULES)
+
+    def codes(part: str, axis: str):
+        return F.concat_ws(",", F.transform(F.filter(part, lambda x: x["axis"] == axis), lambda x: x["code"]))
+
+    return made.select(
+        "entity_id", "eligibility", codes("unknowns", "eligibility").alias("eligibility_unknowns"),
+        "evidence_fit", codes("reasons", "evidence_fit").alias("fit_reasons"),
+        "trust", codes("reasons", "trust").alias("trust_reasons"), codes("unknowns", "trust").alias("trust_unknowns"),
+    )
+
+
 def part_contexts(t: Tables) -> DataFrame:
     """Decision contexts of the parts from claims, checks and lineage."""
     claims = C.resolve_claims(view_claims(t))

@@ -55,6 +55,31 @@ def j2(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "j2_more_distributions",
+    """SELECT 'source_kind' AS name, kind AS value, count(*) AS rows FROM sources GROUP BY 2 UNION ALL
+       SELECT 'claim_field', field, count(*) FROM claims GROUP BY 2 UNION ALL SELECT 'claim_reason', reason, count(*) FROM labelled GROUP BY 2 UNION ALL
+       SELECT 'application_stage', stage, count(*) FROM shortlist GROUP BY 2 UNION ALL SELECT 'current_eligibility', eligibility, count(*) FROM decisions WHERE is_current GROUP BY 2 UNION ALL
+       SELECT 'current_evidence_fit', evidence_fit, count(*) FROM decisions WHERE is_current GROUP BY 2 UNION ALL
+       SELECT 'current_manual', manual, count(*) FROM decisions WHERE is_current GROUP BY 2""",
+    ("sources", "claims", "labelled", "shortlist", "decisions"),
+)
+def j2_more(t: Tables) -> DataFrame:
+    """Value counts of sources, claims, stages and the rest of a current decision."""
+    claims, past = C.resolve_claims(W.line_claims(t)), W.decisions(t)
+    return Q.distributions(
+        [
+            ("source_kind", W.sources(t), "kind", None),
+            ("claim_field", claims, "field", None),
+            ("claim_reason", claims, "reason", None),
+            ("application_stage", W.shortlist(t), "stage", None),
+            ("current_eligibility", past, "eligibility", "is_current"),
+            ("current_evidence_fit", past, "evidence_fit", "is_current"),
+            ("current_manual", past, "manual", "is_current"),
+        ]
+    )
+
+
 @query(
     "j3_lineage_coverage",
     """SELECT 'raw' AS scope, count(*) AS total, count(*) FILTER (WHERE kind = 'POSTING') AS linked, count(*) FILTER (WHERE kind <> 'POSTING') AS unlinked,
