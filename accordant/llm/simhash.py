@@ -6,19 +6,20 @@ shingles. Linked fingerprints are found without comparing all pairs:
 1. Equal fingerprints become one row with their smallest document, so copies cost nothing more.
 2. Embedding: a fingerprint maps to the number of set bits in each of its 16 segments of four bits, a
    point of a grid. Two fingerprints that differ in d bits have points at a Manhattan distance of
-   at most d. So a fingerprint can only have a link if some other fingerprint's point lies within
-   distance 2. The range join finds these: every occupied point goes to all grid cells within
-   distance 1, and two points within distance 2 meet in some cell. Points that meet nobody drop out.
-3. Exact check: the remaining fingerprints do the same with their bits, going to themselves and to
-   the 64 values one bit away. Whoever meets there differs in at most two bits, and any two that
-   differ in at most two bits meet. In each meeting place all are linked to the smallest, which
-   gives as many links as visitors, not the square, and joins the same groups.
+   at most d. The range join: every occupied point goes to all grid cells within distance 1, and two
+   points within distance 2 meet in some cell. Points that meet nobody drop out, the fingerprints of
+   the others are the candidates of their cells.
+3. Exact check: in a cell with up to DENSE fingerprints each pair is compared, and those that differ in
+   at most two bits are links. Denser cells are split: their fingerprints go to themselves and to the 64
+   values one bit away. Whoever meets there differs in at most two bits, and any two that differ in at
+   most two bits meet. In each meeting place all are linked to the smallest, which gives as many links
+   as visitors, not the square, and joins the same groups.
 4. Groups are the connected components of these links.
 
-No step lists pairs of a group, and all counts and minima combine before they are shuffled.
+No step lists the pairs of an unbounded group, and all counts and minima combine before they are shuffled.
 
 Cases: a text without words has fingerprint zero and is linked like any other; one with fewer words
-than a shingle is one shingle; null counts as empty; repeated rows are copies; a group's id is
+than a shingle is one shingle; null counts as empty; a very long text is a block of its own; repeated rows are copies; a group's id is
 its smallest document id that is not null, null if there is none; an empty table gives no rows.
 Other columns are not read by the report and pass unread through the filter.
 """
@@ -32,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordant.llm.words import LOWER, Words, blocks, small_batches
+from accordant.llm.words import LOWER, Words, blocks, fresh, small_batches
 from accordant.operators.graph import connect
 from accordant.session import fact_join, scratch_path
 
 SHINGLE = 3
 SEED = 42
 SEGMENTS = 16
+DENSE = 32  # fingerprints of a grid cell whose pairs are compared one by one
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -117,21 +119,41 @@ def one_bit_around(fp: Column) -> Column:
     return F.array(fp, *[fp.bitwiseXOR(f) for f in flips])
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(fp, hub): links that join distinct fingerprints into the groups of all links of up to two bits."""
-    spark = fps.sparkSession
+def grid_cells(fps: DataFrame) -> DataFrame:
+    """(fp, cell, n): the cells around each fingerprint that another one visits too, with their numbers of visitors; written once."""
     pointed = fps.select("fp", segment_counts(F.col("fp")).alias("point"))
     cells = pointed.groupBy("point").agg(F.count("*").alias("n")).select("point", "n", F.explode(cells_around(F.col("point"))).alias("cell"))
-    met = cells.groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1").select("cell")
-    near = fact_join(cells.select("point", "cell"), met, ["cell"], "inner").select("point").distinct()
-    close = fact_join(pointed, near, ["point"], "inner").select("fp")
-    path = scratch_path(spark, "close")
-    close.select("fp", F.explode(one_bit_around(F.col("fp"))).alias("place")).write.parquet(path)
-    visits = spark.read.parquet(path)
+    met = cells.groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
+    near = fact_join(cells.select("point", "cell"), met, ["cell"], "inner")
+    path = scratch_path(fps.sparkSession, "cells")
+    fact_join(near, pointed, ["point"], "inner").select("fp", "cell", "n").write.parquet(path)
+    return fps.sparkSession.read.parquet(path)
+
+
+def pairs_in_cells(cells: DataFrame) -> DataFrame:
+    """(fp, hub): the pairs of at most two bits in cells with up to DENSE visitors."""
+    groups = cells.filter(F.col("n") <= DENSE).groupBy("cell").agg(F.collect_list("fp").alias("fps"))
+    within = groups.select(F.explode("fps").alias("hub"), "fps")
+    linked = F.filter("fps", lambda x: (x > F.col("hub")) & (F.bit_count(x.bitwiseXOR(F.col("hub"))) <= 2))
+    return within.select(F.explode(linked).alias("fp"), "hub").distinct()
+
+
+def stars_of_bits(fps: DataFrame) -> DataFrame:
+    """(fp, hub): links that join fingerprints into the groups of all links of up to two bits."""
+    path = scratch_path(fps.sparkSession, "places")
+    fps.select("fp", F.explode(one_bit_around(F.col("fp"))).alias("place")).write.parquet(path)
+    visits = fps.sparkSession.read.parquet(path)
     hubs = visits.groupBy("place").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("place", "hub")
     return fact_join(visits, hubs, ["place"], "inner").filter("fp <> hub").select("fp", "hub").distinct()
 
 
+def links(fps: DataFrame) -> DataFrame:
+    """(fp, hub): links that join distinct fingerprints into the groups of all links of up to two bits."""
+    cells = grid_cells(fps)
+    dense = cells.filter(F.col("n") > DENSE).select("fp").distinct()
+    return pairs_in_cells(cells).unionByName(stars_of_bits(dense)).distinct()
+
+
 def group_roots(rows: DataFrame) -> DataFrame:
     """(fp, root) for each distinct fingerprint that has a link."""
     found = links(rows.select("fp").distinct())
@@ -159,7 +181,8 @@ def keep_one_of_each_group(docs: DataFrame, *, width: int = SHINGLE, seed: int =
     """`docs` with one row for each group: that with the smallest id (null last); one of equal rows."""
     rows = rooted(fingerprint_rows(docs, id_col, text_col, width, seed))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("first")
-    keep = rows.groupBy("root").agg(first).select(F.col("first.k1").alias("__k1"), F.col("first.k2").alias("__k2"))
+    a, b = fresh(docs, "k1", "k2")
+    keep = rows.groupBy("root").agg(first).select(F.col("first.k1").alias(a), F.col("first.k2").alias(b))
     doc, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"__k1": F.xxhash64(doc, text), "__k2": F.coalesce(doc.cast("long"), F.lit(-1))})
-    return keyed.join(keep, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).drop("__k1", "__k2")
+    keyed = docs.withColumns({a: F.xxhash64(doc, text), b: F.coalesce(doc.cast("long"), F.lit(-1))})
+    return keyed.join(keep, [a, b], "left_semi").dropDuplicates([a, b]).drop(a, b)

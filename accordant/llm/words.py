@@ -51,6 +51,15 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of `df` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def text_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, k1, k2): a row key made of values, so that it survives recomputation.
 
