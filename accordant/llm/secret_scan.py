@@ -14,9 +14,10 @@ corpus, apart for each encoding and class of lengths, since short tokens of many
 chance. The control works on counts per stratum and p-value bin, a table of bounded size. A token
 of fewer than MIN_BITS random bits is never reported.
 
-Everything is a built-in expression over the row; no text is shuffled.
+Everything is a built-in expression over the row; no text is shuffled. Running sums and maxima go by
+chunks of matches, so a text with very many matches takes little more than its share of time.
 
-Cases: a null text is empty; a text without matches has the hash of the empty string and an
+Cases: a null text is empty; a very long text is scanned whole like any other; a text without matches has the hash of the empty string and an
 empty list; spans are counted in code points, end exclusive; repeated documents are each scanned;
 an empty table gives no rows. Other columns pass through the redaction unread, whatever their
 names.
@@ -30,6 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accordant.llm.words import fresh
 from accordant.session import scratch_path
 
 #: The patterns of the base kinds, in the order of their kinds.
@@ -55,32 +57,109 @@ LEVEL = 0.05
 BINS_PER_DECADE, LAST_BIN = 20, 400
 LENGTHS = (24, 32, 48, 64)
 MASK = "[SECRET]"
+CHUNK = 256
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used, inside further lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def chunked(values: Column) -> Column:
+    """Consecutive pieces of CHUNK elements of an array."""
+    last = F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / CHUNK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * CHUNK + 1, F.lit(CHUNK)))
+
+
+def before(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of places, the merged values before it (0 before the first).
+
+    Appending to an array copies it, so chunks are merged first, and then the elements of each: with n
+    elements the copies are n * CHUNK and (n / CHUNK)^2 small numbers instead of n^2.
+    """
+
+    def from_base(chunk: Column, base: Column) -> Column:
+        start = F.struct(base.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(chunk, start, step, lambda acc: acc["out"])
+
+    def by_chunks(chunks: Column) -> Column:
+        whole = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), merge))
+        return F.flatten(F.zip_with(chunks, from_base(whole, F.lit(0)), from_base))
+
+    return bound(values, lambda v: bound(chunked(v), by_chunks))
+
+
+def plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
 
 
 def spans(text: Column, pattern: str, kind: int, keep: Callable[[Column], Column] | None = None, keep_text: bool = False) -> Column:
     """All matches from left to right as structs: start, kind, end (and the match).
 
-    The pieces between the matches give their places. The work is one pass over the text, and
-    small numbers added up for each match.
+    The pieces between the matches give their places, as running sums of lengths.
+    """
+
+    def placed(x: Column, at: Column) -> Column:
+        first = at + x["skip"]
+        fields = [first.alias("start"), F.lit(kind).alias("kind"), (at + x["long"]).alias("end")]
+        return F.struct(*fields, x["match"].alias("match"))
+
+    def from_matches(found: Column) -> Column:
+        pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        fields = lambda piece, match: F.struct(F.length(piece).alias("skip"), (F.length(piece) + F.length(match)).alias("long"), match.alias("match"))
+        return bound(F.zip_with(pieces, found, fields), lambda rows: F.zip_with(rows, before(F.transform(rows, lambda x: x["long"]), plus), placed))
+
+    out = bound(F.regexp_extract_all(text, F.lit(pattern), 0), from_matches)
+    out = F.filter(out, lambda x: keep(x["match"])) if keep is not None else out
+    return out if keep_text else F.transform(out, lambda x: F.struct(x["start"], x["kind"], x["end"]))
+
+
+def outside(tokens: Column, base: Column) -> Column:
+    """The tokens that share no place with a base span.
+
+    Both become events in the order of the text, spans at their starts and tokens at their ends: a token
+    overlaps if the largest end of a span that starts before the token's end lies beyond its start.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pieces = F.split(text, pattern, -1)
-    both = F.zip_with(pieces, found, lambda piece, match: F.struct(F.length(piece).alias("skip"), match.alias("match")))
-    fields = [("start", "int"), ("kind", "int"), ("end", "int"), *([("match", "string")] if keep_text else [])]
-    empty = f"array<struct<{', '.join(f'{n}: {t}' for n, t in fields)}>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(empty).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + x["skip"]
-        last = first + F.length(x["match"])
-        entry = F.struct(first.alias("start"), F.lit(kind).alias("kind"), last.alias("end"), *([x["match"].alias("match")] if keep_text else []))
-        out = F.concat(acc["out"], F.array(entry))
-        if keep is not None:
-            out = F.when(keep(x["match"]), out).otherwise(acc["out"])
-        return F.struct(last.alias("at"), out.alias("out"))
-
-    matched = F.filter(both, lambda x: x["match"].isNotNull())
-    return F.when(F.size(found) > 0, F.aggregate(matched, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(empty))
+    none = F.lit(None).cast("string")
+    event = lambda at, x, token: F.struct(at.alias("at"), F.lit(token).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), (x["match"] if token == 0 else none).alias("match"))
+    events = F.array_sort(F.concat(F.transform(tokens, lambda x: event(x["end"], x, 0)), F.transform(base, lambda x: event(x["start"], x, 1))))
+
+    def free(ordered: Column) -> Column:
+        ends = before(F.transform(ordered, lambda x: F.when(x["kind"] == 1, x["end"]).otherwise(0)), larger)
+        seen = F.zip_with(ordered, ends, lambda x, end: F.struct(x.alias("x"), (end > x["start"]).alias("covered")))
+        left = F.filter(seen, lambda y: (y["x"]["kind"] == 0) & ~y["covered"])
+        return F.transform(left, lambda y: F.struct(y["x"]["start"].alias("start"), F.lit(3).alias("kind"), y["x"]["end"].alias("end"), y["x"]["match"].alias("match")))
+
+    return bound(events, free)
+
+
+def pieces_at(text: Column, ranges: Column) -> Column:
+    """The pieces of a text at ascending ranges (start, end). Chunks of ranges are cut out first, since each cut reads its text from the beginning."""
+
+    def of_chunk(chunk: Column) -> Column:
+        origin = chunk[0]["start"]
+        whole = F.substring(text, origin + 1, F.element_at(chunk, -1)["end"] - origin)
+        return bound(whole, lambda part: F.transform(chunk, lambda r: F.substring(part, r["start"] - origin + 1, r["end"] - r["start"])))
+
+    return F.flatten(F.transform(F.filter(chunked(ranges), lambda c: F.size(c) > 0), of_chunk))
+
+
+def masked(text: Column, found: Column, mask: str) -> Column:
+    """The text with a mask in the place of each span of a sorted array, overlapping spans as one."""
+
+    def from_ends(x: Column) -> Column:
+        rows, ends = x["rows"], x["ends"]
+        gaps = F.filter(F.zip_with(rows, ends, lambda r, end: F.struct(end.alias("start"), r["start"].alias("end"))), lambda g: g["end"] >= g["start"])
+        head = bound(gaps, lambda g: F.array_join(F.transform(pieces_at(text, g), lambda p: F.concat(p, F.lit(mask))), ""))
+        return F.concat(head, F.substring(text, F.array_max(F.transform(rows, lambda r: r["end"])) + 1, F.length(text)))
+
+    with_ends = bound(found, lambda rows: F.struct(rows.alias("rows"), before(F.transform(rows, lambda r: r["end"]), larger).alias("ends")))
+    return F.when(F.size(found) > 0, bound(with_ends, from_ends)).otherwise(text)
 
 
 def normal_tail(z: Column) -> Column:
@@ -192,36 +271,29 @@ def judged(tokens: Column) -> Column:
     return out
 
 
-def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with __s_base (spans of the patterns) and __s_tokens (judged tokens outside them)."""
+def with_spans(docs: DataFrame, text_col: str, base: str, tokens: str) -> DataFrame:
+    """`docs` with two more columns: spans of the patterns, and judged tokens outside them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     value = lambda match: F.length(F.regexp_extract(match, ASSIGN, 1)) >= MIN_VALUE
-    found = docs.withColumns(
-        {
-            "__s_assign": spans(text, ASSIGN, 0, value),
-            "__s_access": spans(text, ACCESS, 1),
-            "__s_hex": spans(text, HEX, 2),
-            "__s_all": spans(text, TOKEN, 3, keep_text=True),
-        }
-    )
-    based = found.withColumn("__s_base", F.array_sort(F.concat("__s_assign", "__s_access", "__s_hex")))
-    free = F.filter("__s_all", lambda x: ~F.exists("__s_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return based.withColumn("__s_tokens", judged(free)).drop("__s_assign", "__s_access", "__s_hex", "__s_all")
+    patterns = F.concat(spans(text, ASSIGN, 0, value), spans(text, ACCESS, 1), spans(text, HEX, 2))
+    based = docs.withColumn(base, F.array_sort(patterns))
+    free = outside(spans(text, TOKEN, 3, keep_text=True), F.col(base))
+    return based.withColumn(tokens, judged(free))
 
 
 def bin_of(p: Column) -> Column:
     return F.least(F.floor(-F.log10(p) * BINS_PER_DECADE).cast("int"), F.lit(LAST_BIN))
 
 
-def failing_bins(found: DataFrame, level: float = LEVEL) -> dict[str, int]:
+def failing_bins(found: DataFrame, tokens: str, level: float = LEVEL) -> dict[str, int]:
     """For each stratum the first bin of p-values that counts as not random.
 
     Benjamini-Hochberg with p rounded up to its bin. The counts are at most a row for each stratum
     and bin, whatever the corpus.
     """
-    tokens = found.select(F.explode("__s_tokens").alias("x"))
+    judgements = found.select(F.explode(tokens).alias("x"))
     counts: dict[str, dict[int, int]] = {}
-    for r in tokens.groupBy("x.stratum", bin_of(F.col("x.p")).alias("bin")).count().collect():
+    for r in judgements.groupBy("x.stratum", bin_of(F.col("x.p")).alias("bin")).count().collect():
         counts.setdefault(r["stratum"], {})[r["bin"]] = r["count"]
     out = {}
     for stratum, bins in counts.items():
@@ -234,7 +306,7 @@ def failing_bins(found: DataFrame, level: float = LEVEL) -> dict[str, int]:
     return out
 
 
-def random_spans(failing: dict[str, int]) -> Column:
+def random_spans(tokens: str, failing: dict[str, int]) -> Column:
     """The spans of tokens that still count as random."""
 
     def random(x: Column) -> Column:
@@ -243,7 +315,7 @@ def random_spans(failing: dict[str, int]) -> Column:
             first = F.when(x["stratum"] == stratum, F.lit(b)).otherwise(first)
         return bin_of(x["p"]) < first
 
-    return F.transform(F.filter("__s_tokens", random), lambda x: F.struct(x["start"], x["kind"], x["end"]))
+    return F.transform(F.filter(tokens, random), lambda x: F.struct(x["start"], x["kind"], x["end"]))
 
 
 def as_text(found: Column) -> Column:
@@ -255,10 +327,11 @@ def secret_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
     spark = docs.sparkSession
     path = scratch_path(spark, "spans")
-    with_spans(docs.select(id_col, text_col), text_col).select(F.col(id_col).alias("doc_id"), "__s_base", "__s_tokens").write.parquet(path)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    with_spans(own, "text", "base", "tokens").drop("text").write.parquet(path)
     found = spark.read.parquet(path)
-    extra = random_spans(failing_bins(found, level))
-    base = F.col("__s_base")
+    extra = random_spans("tokens", failing_bins(found, "tokens", level))
+    base = F.col("base")
 
     def n(kind: int) -> Column:
         return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long")
@@ -280,20 +353,9 @@ def redact(docs: DataFrame, *, text_col: str = "text", level: float = LEVEL, mas
     The battery runs once over the corpus for its cut-offs and once for the texts, which is
     cheaper than to carry the texts from one to the other. A null text stays null.
     """
-    failing = failing_bins(with_spans(docs.select(text_col), text_col).select("__s_tokens"), level)
-    marked = with_spans(docs, text_col).withColumn("__s_spans", F.array_sort(F.concat("__s_base", random_spans(failing))))
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        apart = F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask)))
-        return F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when((x["start"] >= acc["at"]), apart).otherwise(acc["parts"]).alias("parts"),
-        )
-
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-
-    cleaned = F.when(F.size("__s_spans") > 0, F.aggregate("__s_spans", start, step, finish)).otherwise(text)
+    base, tokens = fresh(docs, "base", "tokens")
+    failing = failing_bins(with_spans(docs.select(text_col), text_col, base, tokens).select(tokens), tokens, level)
+    marked = with_spans(docs, text_col, base, tokens)
+    found = F.array_sort(F.concat(base, random_spans(tokens, failing)))
+    cleaned = bound(found, lambda x: masked(F.col(text_col), x, mask))
     return marked.select(*(cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -157,6 +157,33 @@ def test_redaction(spark, docs):
     assert secret_scan.redact(docs).columns == docs.columns
 
 
+def test_tokens_outside_base_spans(spark):
+    """Spans and tokens that touch, overlap and lie in one another, against all comparisons."""
+    rng = random.Random(9)
+    rows, want = [], []
+    for k in range(40):
+        n = rng.choice([0, 1, 5, 300, 700])
+        draw = lambda: (s := rng.randrange(4 * n + 2), s + rng.randint(1, 9))
+        base = sorted({(s, rng.randrange(3), e) for s, e in (draw() for _ in range(n))})
+        tokens = sorted({(s, 3, e, "x") for s, e in (draw() for _ in range(n))})
+        rows.append((k, base, tokens))
+        want.append(sorted(t for t in tokens if not any(b[0] < t[2] and t[0] < b[2] for b in base)))
+    span = "start: int, kind: int, end: int"
+    frame = spark.createDataFrame(rows, f"k int, base array<struct<{span}>>, tokens array<struct<{span}, match: string>>")
+    got = frame.select("k", secret_scan.outside(F.col("tokens"), F.col("base")).alias("free")).orderBy("k").collect()
+    assert [sorted(map(tuple, r["free"])) for r in got] == want
+
+
+def test_very_many_matches_in_one_text(spark):
+    rng = random.Random(3)
+    keys = ["".join(rng.choices("0123456789abcdef", k=rng.randint(24, 32))) for _ in range(100_000)]
+    frame = spark.createDataFrame([(1, " ".join(keys))], "doc_id long, text string")
+    report = secret_scan.secret_report(frame).first()
+    assert report["n_hex"] == len(keys)
+    assert report["base_sha256"] == plain.sha(plain.spans_text(plain.base_spans(" ".join(keys))))
+    assert secret_scan.redact(frame).first()["text"] == " ".join([secret_scan.MASK] * len(keys))
+
+
 def test_op4(spark, sf, sf_rows):
     got = {r["doc_id"]: r for r in queries.QUERIES["op4_secret_scan"](spark, sf).collect()}
     assert [got[i]["base_sha256"] for i, _ in sf_rows] == [plain.sha(plain.spans_text(plain.base_spans(t))) for _, t in sf_rows]

@@ -92,6 +92,22 @@ def test_links_of_any_fingerprints(spark):
     assert len(pairs) == len(set(group)) == len({r for _, r in pairs})
 
 
+def test_cells_and_dense_cells(spark):
+    """Pairs far apart are found in their grid cells; a crowd around one value is in cells that are split."""
+    rng = random.Random(6)
+    apart = [(p, p ^ (1 << rng.randrange(31)) ^ (1 << 40)) for p in (rng.getrandbits(63) for _ in range(50))]
+    centre = rng.getrandbits(63)
+    crowd = sorted({centre, *(centre ^ (1 << a) ^ (1 << b) for a in range(14) for b in range(14) if a != b)})
+    frame = spark.createDataFrame([(p,) for p in {*crowd, *(p for pair in apart for p in pair)}], "fp long")
+    cells = simhash.grid_cells(frame)
+    found = {frozenset(r) for r in simhash.pairs_in_cells(cells).collect()}
+    assert set(map(frozenset, apart)) <= found
+    dense = {r["fp"] for r in cells.filter(f"n > {simhash.DENSE}").select("fp").distinct().collect()}
+    assert len(dense) > len(crowd) / 2
+    roots = {r["fp"]: r["root"] for r in simhash.rooted(frame).collect()}
+    assert {roots[p] for p in crowd} == {min(crowd)} and all(roots[a] == roots[b] for a, b in apart)
+
+
 def test_one_of_each_group_stays(docs, rows, none):
     _, group, least = groups_of(rows, 3)
     kept = simhash.keep_one_of_each_group(docs)
