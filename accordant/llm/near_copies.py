@@ -3,18 +3,28 @@
 All pairs at that similarity are found, and no other is linked:
 
 1. A shingle set becomes a 64-bit key, and texts of one key one node, so copies cost nothing more.
-2. Prefixes: two sets at 4/5 share one of the n - ceil(4n/5) + 1 first shingles of each, whatever the
-   order of shingles, if it is the same for all. Here shingles that are frequent in a sample of texts
-   come last, the others by their hashes. The sample, like the bound on the list of frequent
-   shingles, only decides how many candidates there are.
-3. Stars: each node is compared with the smallest node of each of its prefix shingles, and with the
-   hubs of the SimHash links. Groups of near copies are mostly joined by these few comparisons.
-4. The rest: nodes that share a prefix shingle and are not in one group yet are compared, all of them.
-5. A candidate becomes a link if the full sets are at 4/5, counted in whole numbers. Groups are the
+2. Prefixes: of two sets at 4/5 the smaller one has one of its n - ceil(8n/9) + 1 first shingles among the
+   n - ceil(4n/5) + 1 first of the larger one, whatever the order of shingles, if it is the same for all. Here
+   shingles that are frequent in a sample of texts come last, the others by their hashes. The sample, like
+   the bound on the list of frequent shingles, only decides how many candidates there are. Shingles that
+   only one node has leave first.
+3. Sketches: a set's parities of hash bits, about a bit for each shingle. Two sketches differ in no more bits
+   than the sets in shingles, and sets at 4/5 differ in at most a ninth of the sum of their sizes. So a
+   candidate whose sketches differ in more is none; full sets are fetched for the others only.
+4. Stars: each node is compared with the smallest node of each of its prefix shingles, and with the
+   hubs of the SimHash links; the smallest whose sketch is close is verified. Groups of near copies are mostly
+   joined by these few comparisons.
+5. The rest: nodes that meet under a prefix shingle and are not in one group yet are compared, all of them.
+   Shingle and size (in steps of 5/4) are the key, so that frequent shingles split.
+6. A candidate becomes a link if the full sets are at 4/5, counted in whole numbers. Groups are the
    connected components of the links.
 
+Every table that a step writes is deleted when the next one's result is written.
+
 Shingles are compared by 64-bit hashes. Cases: a text with fewer words than a shingle is one shingle;
-null counts as empty, and texts without words are copies; ids are treated as in simhash.
+null counts as empty, and texts without words are copies; a very long text is worked on as a block of
+its own; ids are treated as in simhash; repeated rows are copies, and one of them stays; of copies and
+groups the smallest id stays; an empty table stays empty; further columns pass unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +37,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordant.llm import simhash
-from accordant.llm.words import LOWER, Words, blocks, mix, small_batches
-from accordant.operators.graph import connect
-from accordant.session import fact_join, scratch_path
+from accordant.llm.words import LOWER, Words, blocks, fresh, mix, small_batches
+from accordant.operators.graph import contract
+from accordant.session import delete_path, fact_join, scratch_path
 
 SHINGLE = 5
 SAMPLE = 16  # frequent shingles are looked for in one of so many texts
@@ -37,10 +47,23 @@ FREQUENT = 3
 LISTED = 1 << 18
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+class Scratch:
+    """Tables under the shared folder, by name, until nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.paths: dict[str, str] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = scratch_path(df.sparkSession, name)
+        df.write.parquet(self.paths[name])
+        return df.sparkSession.read.schema(df.schema).parquet(self.paths[name])
+
+    def drop(self, df: DataFrame, *names: str) -> None:
+        """Delete tables that all further steps can do without; the collection lets Spark remove shuffles that no plan refers to."""
+        spark = df.sparkSession
+        for name in names:
+            delete_path(spark, self.paths.pop(name))
+        spark.sparkContext._jvm.System.gc()
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,11 +102,22 @@ def prefixes(hashes: np.ndarray, first: np.ndarray, listed: np.ndarray) -> tuple
     return hashes[order][taken], np.concatenate([[0], np.cumsum(size)])
 
 
+def sketches(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set the parities of its hashes per bit, in a power of two of 64-bit words with a bit for each hash at least."""
+    n = np.diff(first)
+    words = 1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(words)])
+    text = np.repeat(np.arange(len(n)), n)
+    place = (mix(hashes) & (64 * words - 1).astype(np.uint64)[text]).astype(np.int64) + 64 * begin[:-1][text]
+    odd = (np.bincount(place, minlength=64 * int(begin[-1])) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64), begin
+
+
 def list_of(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def frequent(texts: DataFrame, width: int) -> np.ndarray:
+def frequent(texts: DataFrame, width: int, scratch: Scratch) -> np.ndarray:
     """At most LISTED shingles that are frequent in a sample of the texts, the rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +128,7 @@ def frequent(texts: DataFrame, width: int) -> np.ndarray:
 
     sample = texts.filter(F.pmod(F.xxhash64("text", F.lit(23)), F.lit(SAMPLE)) == 0).select("text")
     found = sample.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    counts = written(found.filter(F.col("n") >= FREQUENT), "frequent")
+    counts = scratch.write(found.filter(F.col("n") >= FREQUENT), "frequent")
     step = F.floor(F.log2("n") * 16).cast("int")
     left, least = LISTED, None
     for r in counts.groupBy(step.alias("step")).count().orderBy(F.col("step").desc()).collect():
@@ -103,13 +137,15 @@ def frequent(texts: DataFrame, width: int) -> np.ndarray:
             break
         least = r["step"]
     top = counts.filter(step >= least if least is not None else F.lit(False)).toPandas().sort_values(["n", "hash"])
+    scratch.drop(texts, "frequent")
     return top["hash"].to_numpy(np.int64).view(np.uint64)
 
 
-def set_rows(keyed: DataFrame, width: int) -> DataFrame:
-    """doc_id, k1, k2, fp, node, size, prefix of each row of (doc_id, k1, k2, text), written once."""
+def set_rows(keyed: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """doc_id, k1, k2, fp, node, size, prefix, sketch of each row of (doc_id, k1, k2, text), written once."""
     spark = keyed.sparkSession
-    shared = spark.sparkContext.broadcast(frequent(keyed, width))
+    shared = spark.sparkContext.broadcast(frequent(keyed, width, scratch))
+    names = ["doc_id", "k1", "k2", "fp", "node", "size", "prefix", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,15 +154,15 @@ def set_rows(keyed: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 fp, node = simhash.fingerprints(data, offsets, width), set_keys(hashes, first)
                 columns = [pa.array(fp.view(np.int64)), pa.array(node.view(np.int64)), pa.array(np.diff(first))]
-                columns.append(list_of(*prefixes(hashes, first, shared.value)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=["doc_id", "k1", "k2", "fp", "node", "size", "prefix"])
+                columns += [list_of(*prefixes(hashes, first, shared.value)), list_of(*sketches(hashes, first))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=names)
 
-    schema = "doc_id long, k1 long, k2 long, fp long, node long, size long, prefix array<long>"
-    return written(keyed.mapInArrow(run, schema), "shingle-sets")
+    schema = "doc_id long, k1 long, k2 long, fp long, node long, size long, prefix array<long>, sketch array<long>"
+    return scratch.write(keyed.mapInArrow(run, schema), "shingle-sets")
 
 
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
-    """node and values, its shingles, of each row of (node, text), written once."""
+    """node and values, its shingles, of each row of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +170,7 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 yield pa.RecordBatch.from_arrays([part.column(0), list_of(*shingle_sets(data, offsets, width))], names=["node", "values"])
 
-    return written(texts.mapInArrow(run, "node long, values array<long>"), "full-sets")
+    return texts.mapInArrow(run, "node long, values array<long>")
 
 
 def close_sizes(a: Column, b: Column) -> Column:
@@ -142,39 +178,37 @@ def close_sizes(a: Column, b: Column) -> Column:
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
-def joined(pairs: DataFrame, values: DataFrame) -> DataFrame:
-    """pairs (a, b) with left and right, the arrays of (node, values)."""
-    one = values.select(F.col("node").alias("a"), F.col("values").alias("left"))
-    other = values.select(F.col("node").alias("b"), F.col("values").alias("right"))
-    return fact_join(fact_join(pairs, one, ["a"], "inner"), other, ["b"], "inner").withColumn("shared", F.size(F.array_intersect("left", "right")))
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose sets are at 4/5, that is, share at least 4/9 of the sum of their sizes; written once.
-
-    What is not shared of the prefixes decides for most: beyond its prefix, the set whose prefix ends
-    first has ceil(4n/5) - 1 shingles, and all that is shared before is in both prefixes.
-    """
-    pairs = written(pairs.distinct(), "candidates")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sized = fact_join(nodes.select("node", "size", F.col("prefix").alias("values")), ends, ["node"], "inner")
-    sized = written(sized, "prefixes")
-    both = joined(pairs, sized)
-    for side, size in (("a", "a_size"), ("b", "b_size")):
-        both = fact_join(both, sized.select(F.col("node").alias(side), F.col("size").alias(size)), [side], "inner")
-    beyond = F.greatest(F.col("a_size") - F.size("left"), F.col("b_size") - F.size("right"))
-    close = written(both.filter(9 * (F.col("shared") + beyond) >= 4 * (F.col("a_size") + F.col("b_size"))).select("a", "b"), "close")
+def close_sketches(a: Column, b: Column, sizes: Column) -> Column:
+    """Whether sets with these sketches can be at 4/5. Halves of the longer sketch, one on the other, are the shorter one's bits."""
+
+    def halved(x: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+
+    left = F.when(F.size(a) > F.size(b), halved(a)).otherwise(a)
+    right = F.when(F.size(b) > F.size(a), halved(b)).otherwise(b)
+    apart = F.aggregate(F.zip_with(left, right, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, x: n + x)
+    return 9 * apart <= sizes
+
+
+def close_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches leave."""
+    one = nodes.select(F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("sketch").alias("left"))
+    other = nodes.select(F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("sketch").alias("right"))
+    both = fact_join(fact_join(pairs, one, ["a"], "inner"), other, ["b"], "inner").filter(close_sizes(F.col("a_size"), F.col("b_size")))
+    return both.filter(close_sketches(F.col("left"), F.col("right"), F.col("a_size") + F.col("b_size"))).select("a", "b")
+
+
+def verified(close: DataFrame, nodes: DataFrame, keyed: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sets are at 4/5, that is, share at least 4/9 of the sum of their sizes."""
     ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
     ends = fact_join(nodes.select("node", "row.k1", "row.k2"), ends, ["node"], "inner")
     texts = fact_join(keyed.select("k1", "k2", "text"), ends, ["k1", "k2"], "inner").select("node", "text").dropDuplicates(["node"])
-    exact = joined(close, full_sets(texts, width))
-    return written(exact.filter(9 * F.col("shared") >= 4 * (F.size("left") + F.size("right"))).select("a", "b"), "links")
-
-
-def groups(links: DataFrame) -> DataFrame:
-    """(node, root) of each linked node."""
-    ends = links.select(F.col("a").alias("node"), F.col("b").alias("key"))
-    return connect(ends.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("key"))))
+    sets = scratch.write(full_sets(texts, width), "full-sets")
+    one = sets.select(F.col("node").alias("a"), F.col("values").alias("left"))
+    other = sets.select(F.col("node").alias("b"), F.col("values").alias("right"))
+    both = fact_join(fact_join(close, one, ["a"], "inner"), other, ["b"], "inner")
+    return both.filter(9 * F.size(F.array_intersect("left", "right")) >= 4 * (F.size("left") + F.size("right"))).select("a", "b")
 
 
 def simhash_stars(nodes: DataFrame) -> DataFrame:
@@ -185,23 +219,50 @@ def simhash_stars(nodes: DataFrame) -> DataFrame:
     return equal.unionByName(fact_join(linked, hubs, ["fp"], "inner").select("a", "b")).filter("a <> b")
 
 
-def node_roots(rows: DataFrame, keyed: DataFrame, width: int) -> DataFrame:
-    """(node, root) of each node that has a link."""
-    nodes = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min(F.struct("k1", "k2")).alias("row"), F.first("prefix").alias("prefix"))
-    nodes = written(nodes, "nodes")
-    tokens = nodes.select("node", "size", F.explode("prefix").alias("token"))
-    hubs = tokens.groupBy("token").agg(F.min(F.struct("node", "size")).alias("hub"), F.max("node").alias("last")).filter("hub.node <> last").select("token", "hub")
-    met = written(fact_join(tokens, hubs, ["token"], "inner"), "met")
-    near = met.filter(F.col("node") != F.col("hub.node")).filter(close_sizes(F.col("size"), F.col("hub.size")))
-    stars = near.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).unionByName(simhash_stars(nodes))
-    first = verified(stars, nodes, keyed, width)
-    parted = written(fact_join(met.select("token", "node", "size"), groups(first), ["node"]).withColumn("root", F.coalesce("root", "node")), "parted")
+def size_class(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / F.log(F.lit(1.25))).cast("int")
+
+
+def other_pairs(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): nodes of different groups that can be at 4/5 by their places under a shingle of both prefixes."""
+    parted = fact_join(met.select("token", "node", "size", "pos"), groups, ["node"]).withColumn("root", F.coalesce("root", "node"))
     several = parted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
     left = fact_join(parted, several, ["token"], "inner")
-    right = left.select("token", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
-    pairs = left.join(right, "token").filter(F.col("root") < F.col("b_root")).filter(close_sizes(F.col("size"), F.col("b_size")))
-    rest = verified(pairs.select(F.col("node").alias("a"), "b"), nodes, keyed, width)
-    return groups(first.unionByName(rest))
+    size, pos = F.col("size"), F.col("pos")
+    indexed = left.filter(pos <= size - F.ceil(8 * size / 9)).withColumn("step", F.explode(F.sequence(size_class(size), size_class(F.floor(5 * size / 4)))))
+    probes = left.withColumn("step", size_class(size)).select("token", "step", *(F.col(c).alias(f"b_{c}") for c in ("node", "size", "pos", "root")))
+    both = indexed.join(probes, ["token", "step"]).filter(F.struct("size", "node") < F.struct("b_size", "b_node")).filter("root <> b_root")
+    most = F.least("pos", "b_pos") + 1 + F.least(F.col("size") - F.col("pos"), F.col("b_size") - F.col("b_pos")) - 1
+    possible = close_sizes(F.col("size"), F.col("b_size")) & (9 * most >= 4 * (F.col("size") + F.col("b_size")))
+    return both.filter(possible).select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
+def node_roots(rows: DataFrame, keyed: DataFrame, width: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k1, k2, node) of each row, and (node, root) of each node that has a link."""
+    firsts = [F.min(c).alias(c) for c in ("fp", "size")] + [F.first(c).alias(c) for c in ("prefix", "sketch")]
+    nodes = scratch.write(rows.groupBy("node").agg(*firsts, F.min(F.struct("k1", "k2")).alias("row")), "nodes")
+    members = scratch.write(rows.select("doc_id", "k1", "k2", "node"), "members")
+    scratch.drop(nodes, "shingle-sets")
+    tokens = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
+    ends = tokens.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
+    hubs = scratch.write(ends.filter("hub <> last").select("token", "hub"), "hubs")
+    scratch.drop(nodes)
+    met = scratch.write(tokens.join(hubs, "token"), "met")
+    slim = scratch.write(nodes.drop("prefix"), "slim-nodes")
+    scratch.drop(nodes, "hubs", "nodes")
+    stars = met.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = close_pairs(stars.unionByName(simhash_stars(slim)), slim)
+    close = scratch.write(stars.groupBy("a").agg(F.min("b").alias("b")), "close")
+    scratch.drop(met)
+    first = scratch.write(verified(close, slim, keyed, width, scratch), "first-links")
+    scratch.drop(met, "close", "full-sets")
+    candidates = scratch.write(other_pairs(met, contract(first, "a", "b")), "candidates")
+    scratch.drop(met, "met")
+    close = scratch.write(close_pairs(candidates, slim), "close")
+    scratch.drop(slim, "candidates")
+    rest = scratch.write(verified(close, slim, keyed, width, scratch), "other-links")
+    scratch.drop(slim, "close", "full-sets", "slim-nodes")
+    return members, contract(first.unionByName(rest), "a", "b")
 
 
 def keep_one_of_each_group(docs: DataFrame, *, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,8 +271,9 @@ def keep_one_of_each_group(docs: DataFrame, *, width: int = SHINGLE, id_col: str
     doc, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
     k1, k2 = F.xxhash64(doc, text), F.coalesce(doc.cast("long"), F.lit(-1))
     keyed = docs.select(doc.cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
-    rows = set_rows(keyed, width)
-    rooted = fact_join(rows.select("doc_id", "k1", "k2", "node"), node_roots(rows, keyed, width), ["node"])
+    scratch = Scratch()
+    members, roots = node_roots(set_rows(keyed, width, scratch), keyed, width, scratch)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("first")
-    keep = rooted.groupBy(F.coalesce("root", "node")).agg(first).select(F.col("first.k1").alias("__k1"), F.col("first.k2").alias("__k2"))
-    return docs.withColumns({"__k1": k1, "__k2": k2}).join(keep, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).drop("__k1", "__k2")
+    a, b = fresh(docs, "k1", "k2")
+    keep = fact_join(members, roots, ["node"]).groupBy(F.coalesce("root", "node")).agg(first).select(F.col("first.k1").alias(a), F.col("first.k2").alias(b))
+    return docs.withColumns({a: k1, b: k2}).join(keep, [a, b], "left_semi").dropDuplicates([a, b]).drop(a, b)
