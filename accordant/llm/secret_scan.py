@@ -114,7 +114,8 @@ def spans(text: Column, pattern: str, kind: int, keep: Callable[[Column], Column
         fields = lambda piece, match: F.struct(F.length(piece).alias("skip"), (F.length(piece) + F.length(match)).alias("long"), match.alias("match"))
         return bound(F.zip_with(pieces, found, fields), lambda rows: F.zip_with(rows, before(F.transform(rows, lambda x: x["long"]), plus), placed))
 
-    out = bound(F.regexp_extract_all(text, F.lit(pattern), 0), from_matches)
+    empty = F.array().cast("array<struct<start: int, kind: int, end: int, match: string>>")
+    out = bound(F.regexp_extract_all(text, F.lit(pattern), 0), lambda found: F.when(F.size(found) > 0, from_matches(found)).otherwise(empty))
     out = F.filter(out, lambda x: keep(x["match"])) if keep is not None else out
     return out if keep_text else F.transform(out, lambda x: F.struct(x["start"], x["kind"], x["end"]))
 
