@@ -40,7 +40,7 @@ def refresh_entities(state: State, keys: DataFrame) -> State:
         marked.filter("_again").drop("_again"), state["raw"], state["attempts"], state["entities"], state["orgs"]
     )
     columns = state["claims"].columns
-    claims = marked.filter("_again is null").select(*columns).unionByName(resolve_claims(again).select(*columns))
+    claims = marked.filter("_again is null").select(*columns).unionByName(resolve_claims(again, counted=state["claims"]).select(*columns))
     return {**state, "claims": claims, "decisions": invalidate(state["decisions"], ids)}
 
 

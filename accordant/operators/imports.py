@@ -120,7 +120,7 @@ def materialize(state: State, parsed: DataFrame, batch: DataFrame, source: DataF
     scoped = applicable_claims(marked.filter("_touched").drop("_touched"), raw, state["attempts"], entities, orgs)
     columns = state["claims"].columns
     claims = checkpoint(
-        marked.filter("_touched is null").select(*columns).unionByName(resolve_claims(scoped).select(*columns))
+        marked.filter("_touched is null").select(*columns).unionByName(resolve_claims(scoped, counted=claims).select(*columns))
     )
     moved = {
         **state, "raw": raw, "orgs": orgs, "entities": entities, "origins": origins, "claims": claims,

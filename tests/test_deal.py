@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from accordant.operators import claims as C
+from accordant.operators import claims as C, state as ST
 from accordant.session import split_hot
 from test_scale import skewed_claims
 
@@ -46,3 +46,10 @@ def test_refresh_keeps_the_rest(spark):
     got = C.refresh_claims(claims, keys)
     want = C.resolve_claims(claims.filter("entity_id = 3")).unionByName(claims.filter("entity_id <> 3 or entity_id is null"))
     assert rows_of(got.select(claims.columns)) == rows_of(want.select(claims.columns))
+
+
+def test_state_lines_are_dealt_as_buckets(spark):
+    claims = skewed_claims(spark)
+    lines = ST.source_state(claims, parts=7)
+    assert exchanges(lines.repartition(7, "entity_id")) == 1
+    assert rows_of(ST.source_state(claims, floor=1000)) == rows_of(lines)
