@@ -14,9 +14,13 @@ All pairs at that similarity are found, and no other is linked:
 4. Stars: each node is compared with the smallest node of each of its prefix shingles, and with the
    hubs of the SimHash links; the smallest whose sketch is close is verified. Groups of near copies are mostly
    joined by these few comparisons.
-5. The rest: nodes that meet under a prefix shingle and are not in one group yet are compared, all of them.
-   Shingle and size (in steps of 5/4) are the key, so that frequent shingles split.
-6. A candidate becomes a link if the full sets are at 4/5, counted in whole numbers. Groups are the
+5. Rounds: under shingles where over DENSE nodes of several groups meet, each node is compared with a hub of another
+   group, at first that with the fewest rarer shingles, then any; so a large group of near copies comes together
+   by as many comparisons as places, not by its pairs. Rounds end when one finds no link, or after ROUNDS.
+6. The rest: nodes that meet under a prefix shingle and are not in one group yet are compared, all of them.
+   Shingle and size (in steps of 5/4) are the key, so that frequent shingles split. Sketches folded to FOLDED words
+   go along, and the join itself leaves out what they tell apart.
+7. A candidate becomes a link if the full sets are at 4/5, counted in whole numbers. Groups are the
    connected components of the links.
 
 Every table that a step writes is deleted when the next one's result is written.
@@ -45,6 +49,10 @@ SHINGLE = 5
 SAMPLE = 16  # frequent shingles are looked for in one of so many texts
 FREQUENT = 3
 LISTED = 1 << 18
+DENSE = 32  # places of a prefix shingle from which on hubs are tried before all pairs
+ROUNDS = 3
+FOLDED = 4  # words of a folded sketch; sets of more than FULL shingles have as many at least
+FULL = 128
 
 
 class Scratch:
@@ -191,6 +199,24 @@ def close_sketches(a: Column, b: Column, sizes: Column) -> Column:
     return 9 * apart <= sizes
 
 
+def folded(sketch: Column) -> Column:
+    """A sketch of FOLDED words of its bits; sketches of fewer words come with zeros, and only `folds_close` may read them."""
+
+    def word(k: int) -> Column:
+        return F.aggregate(F.filter(sketch, lambda _, i: i % FOLDED == k), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+
+    return F.named_struct(*(x for k in range(FOLDED) for x in (F.lit(f"w{k}"), word(k))))
+
+
+def folds_close(a: Column, b: Column, a_size: Column, b_size: Column) -> Column:
+    """Whether sets with these folded sketches can be at 4/5. If one has fewer words, both are folded to a single word."""
+    words = [a[f"w{k}"].bitwiseXOR(b[f"w{k}"]) for k in range(FOLDED)]
+    one, apart = words[0], F.bit_count(words[0])
+    for w in words[1:]:
+        one, apart = one.bitwiseXOR(w), apart + F.bit_count(w)
+    return 9 * F.when(F.least(a_size, b_size) > FULL, apart).otherwise(F.bit_count(one)) <= a_size + b_size
+
+
 def close_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and sketches leave."""
     one = nodes.select(F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("sketch").alias("left"))
@@ -223,18 +249,35 @@ def size_class(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / F.log(F.lit(1.25))).cast("int")
 
 
+def several_groups(met: DataFrame, groups: DataFrame, floor: int = 1) -> DataFrame:
+    """The rows of `met` with their group as `root`, for shingles of several groups and more than `floor` rows."""
+    parted = fact_join(met.drop("hub"), groups, ["node"]).withColumn("root", F.coalesce("root", "node"))
+    ends = parted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    return fact_join(parted, ends.filter((F.col("low") != F.col("high")) & (F.col("n") > floor)).select("token"), ["token"], "inner")
+
+
+def hub_pairs(met: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
+    """(a, b): nodes under dense shingles with the shingle's hub of this turn, of another group, that can be at 4/5."""
+    dense = several_groups(met, groups, DENSE)
+    first = F.struct(F.col("pos") if turn == 0 else F.xxhash64("token", "node", F.lit(turn)), F.col("node"))
+    hubs = dense.groupBy("token").agg(F.min_by(F.struct("node", "size", "root", "fold"), first).alias("hub"))
+    both = fact_join(dense, hubs, ["token"], "inner").filter(F.col("root") != F.col("hub.root"))
+    sizes = F.col("size"), F.col("hub.size")
+    possible = close_sizes(*sizes) & folds_close(F.col("fold"), F.col("hub.fold"), *sizes)
+    return both.filter(possible).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+
+
 def other_pairs(met: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): nodes of different groups that can be at 4/5 by their places under a shingle of both prefixes."""
-    parted = fact_join(met.select("token", "node", "size", "pos"), groups, ["node"]).withColumn("root", F.coalesce("root", "node"))
-    several = parted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    left = fact_join(parted, several, ["token"], "inner")
+    """(a, b): nodes of different groups that can be at 4/5 by folded sketches and their places under a shingle of both prefixes."""
+    left = several_groups(met, groups)
     size, pos = F.col("size"), F.col("pos")
     indexed = left.filter(pos <= size - F.ceil(8 * size / 9)).withColumn("step", F.explode(F.sequence(size_class(size), size_class(F.floor(5 * size / 4)))))
-    probes = left.withColumn("step", size_class(size)).select("token", "step", *(F.col(c).alias(f"b_{c}") for c in ("node", "size", "pos", "root")))
+    probes = left.withColumn("step", size_class(size)).select("token", "step", *(F.col(c).alias(f"b_{c}") for c in ("node", "size", "pos", "root", "fold")))
     both = indexed.join(probes, ["token", "step"]).filter(F.struct("size", "node") < F.struct("b_size", "b_node")).filter("root <> b_root")
     most = F.least("pos", "b_pos") + 1 + F.least(F.col("size") - F.col("pos"), F.col("b_size") - F.col("b_pos")) - 1
     possible = close_sizes(F.col("size"), F.col("b_size")) & (9 * most >= 4 * (F.col("size") + F.col("b_size")))
-    return both.filter(possible).select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()
+    close = folds_close(F.col("fold"), F.col("b_fold"), F.col("size"), F.col("b_size"))
+    return both.filter(possible & close).select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def node_roots(rows: DataFrame, keyed: DataFrame, width: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -243,7 +286,7 @@ def node_roots(rows: DataFrame, keyed: DataFrame, width: int, scratch: Scratch)
     nodes = scratch.write(rows.groupBy("node").agg(*firsts, F.min(F.struct("k1", "k2")).alias("row")), "nodes")
     members = scratch.write(rows.select("doc_id", "k1", "k2", "node"), "members")
     scratch.drop(nodes, "shingle-sets")
-    tokens = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
+    tokens = nodes.select("node", "size", folded(F.col("sketch")).alias("fold"), F.posexplode("prefix").alias("pos", "token"))
     ends = tokens.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
     hubs = scratch.write(ends.filter("hub <> last").select("token", "hub"), "hubs")
     scratch.drop(nodes)
@@ -256,6 +299,13 @@ def node_roots(rows: DataFrame, keyed: DataFrame, width: int, scratch: Scratch)
     scratch.drop(met)
     first = scratch.write(verified(close, slim, keyed, width, scratch), "first-links")
     scratch.drop(met, "close", "full-sets")
+    for turn in range(ROUNDS):
+        close = scratch.write(close_pairs(hub_pairs(met, contract(first, "a", "b"), turn), slim), "close")
+        more = scratch.write(verified(close, slim, keyed, width, scratch), f"hub-links-{turn}")
+        scratch.drop(met, "close", "full-sets")
+        if not more.take(1):
+            break
+        first = first.unionByName(more)
     candidates = scratch.write(other_pairs(met, contract(first, "a", "b")), "candidates")
     scratch.drop(met, "met")
     close = scratch.write(close_pairs(candidates, slim), "close")

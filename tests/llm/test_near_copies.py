@@ -61,3 +61,29 @@ def test_stage_on_documents(spark):
     want, near = kept_by_all_pairs([(r["doc_id"], r["text"]) for r in documents.collect()])
     assert near
     assert sorted(r["doc_id"] for r in near_copies.keep_one_of_each_group(documents).collect()) == want
+
+
+def test_a_large_group_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies of one text whose similarities lie around 0.8: candidates grow with the copies, and the groups are those of all pairs."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for copy in range(240):
+        text = list(base)
+        for k in rng.sample(range(30), 1 + (copy % 8 > 0)):
+            text[5 * k + 2] = f"n{copy}x{k}"
+        rows.append((copy, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found, write = [], near_copies.Scratch.write
+
+    def counted(self, df, name):
+        table = write(self, df, name)
+        if name in ("candidates", "close"):
+            found.append(table.count())
+        return table
+
+    monkeypatch.setattr(near_copies.Scratch, "write", counted)
+    want, near = kept_by_all_pairs(rows)
+    assert len(near) > 10 * len(rows)
+    assert sorted(r["doc_id"] for r in near_copies.keep_one_of_each_group(frame).collect()) == want
+    assert sum(found) < 10 * len(rows)
