@@ -9,6 +9,7 @@ from accordant import rules as R
 from accordant.functions.text import fact_label
 from accordant.operators import facts as T
 from accordant.plans.registry import Tables, query, shared
+from accordant.session import stored
 
 RULES = R.FactRules(
     graduation=(r"(?U)\bun(?:e|d) ([a-z]{2})", r"(?U)\bthe ([a-z]{2})"),
@@ -71,6 +72,11 @@ def facts(t: Tables) -> DataFrame:
     return T.profile_facts(docs(t), RULES)
 
 
+def stored_facts(t: Tables) -> DataFrame:
+    """The facts, extracted once, for those who read them more than once."""
+    return stored(facts(t), "facts")
+
+
 @query("g1_line_spans", 'SELECT doc_id, start, "end", md5(evidence) AS digest FROM lines', ("lines",))
 def g1(t: Tables) -> DataFrame:
     """Every line of every text with its exact span."""
@@ -108,10 +114,10 @@ def g5(t: Tables) -> DataFrame:
     return T.extraction_warnings(docs(t), facts(t))
 
 
-def fact_commands(t: Tables) -> DataFrame:
+def fact_commands(t: Tables, found: DataFrame) -> DataFrame:
     """Facts of good texts are confirmed; values of toxic ones are corrected."""
     marks = t.labels.select(F.col("doc_id").alias("profile_id"), "quality", "toxic")
-    return facts(t).join(marks, "profile_id").select(
+    return found.join(marks, "profile_id").select(
         "fact_id",
         F.lit("2024-01-01").cast("timestamp").alias("at"),
         F.when(F.col("quality") == 1, F.lit(True)).alias("new_confirmed"),
@@ -137,7 +143,8 @@ shared(
 )
 def g6(t: Tables) -> DataFrame:
     """Facts after confirmations and corrections."""
-    curated = T.curate_facts(facts(t), fact_commands(t))
+    found = stored_facts(t)
+    curated = T.curate_facts(found, fact_commands(t, found))
     return curated.select("fact_id", "value", F.md5("evidence").alias("digest"), "start", "end", "confirmed")
 
 
@@ -190,7 +197,8 @@ shared(
 def g8(t: Tables) -> DataFrame:
     """Profiles as the decision reads them: confirmed facts and hard preferences."""
     rules = R.DecisionRules(dictionary={"of": ("of",)}, type_folding=(("校招", ("秋招",)),))
-    curated = T.curate_facts(facts(t), fact_commands(t))
+    found = stored_facts(t)
+    curated = T.curate_facts(found, fact_commands(t, found))
     loaded = T.load_profiles(curated, preferences(t), rules)
     return loaded.select(
         "profile_id", F.concat_ws(",", "accepted_cities").alias("cities"), F.concat_ws(",", "accepted_types").alias("types"),
@@ -239,7 +247,7 @@ shared(
 )
 def g10(t: Tables) -> DataFrame:
     """The three best excerpts of every text."""
-    found = facts(t)
+    found = stored_facts(t)
     refs = found.select(F.col("profile_id").alias("entity_id"), "fact_id")
     rules = R.DecisionRules(generic_values=("the", "and"))
     return T.representative_evidence(found, refs, 3, rules).select("entity_id", "fact_id", "start")
