@@ -41,7 +41,8 @@ def contract(edges: DataFrame, left: str = "left_id", right: str = "right_id") -
     Rounds of large stars and small stars: every node points what is larger than it, then what is smaller, at the
     smallest node it knows. Known minima are aggregates that combine before the shuffle, so a node with a third of all
     edges costs a line a task. A component that has become a star is written out and leaves the working set; a
-    round's table is deleted when the next one is written. A chain of n nodes takes about log2(n) rounds.
+    round's table is deleted when the next one is written. A chain of n nodes takes about log2(n) rounds. No join
+    broadcasts: a broadcast passes through the driver, and the rounds together have many.
     """
     spark = edges.sparkSession
     a, b = F.col(left), F.col(right)
@@ -70,13 +71,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node points at the smallest of the node and its neighbours."""
     both = edges.select(F.inline(F.array(F.struct(F.col("child").alias("node"), F.col("parent").alias("other")), F.struct(F.col("parent").alias("node"), F.col("child").alias("other")))))
     least = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("least"))
-    return fact_join(both.filter("other > node"), least, ["node"], "inner").select(F.col("other").alias("child"), F.col("least").alias("parent")).distinct()
+    return fact_join(both.filter("other > node"), least.hint("merge"), ["node"], "inner").select(F.col("other").alias("child"), F.col("least").alias("parent")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours point at the smallest of them."""
     least = edges.groupBy("child").agg(F.min("parent").alias("least"))
-    joined = fact_join(edges, least, ["child"], "inner")
+    joined = fact_join(edges, least.hint("merge"), ["child"], "inner")
     both = F.array(F.struct("child", F.col("least").alias("parent")), F.struct(F.col("parent").alias("child"), F.col("least").alias("parent")))
     return joined.select(F.inline(both)).filter("child <> parent").distinct()
 
@@ -85,8 +86,8 @@ def _marked(edges: DataFrame) -> DataFrame:
     """Add `finished`: the component is a star, so its centre has no parent and its children no other edge."""
     ends = F.array(F.struct(F.col("child").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("parent").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
     known = edges.select(F.inline(ends)).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    child = fact_join(edges, known.withColumnRenamed("node", "child"), ["child"], "inner")
+    child = fact_join(edges, known.withColumnRenamed("node", "child").hint("merge"), ["child"], "inner")
     open_child = child.select("child", "parent", ((F.col("up") > 1) | (F.col("down") > 0)).alias("open"))
     centres = open_child.select(F.col("parent").alias("node"), "open").unionByName(known.filter("up > 0").select("node", F.lit(True).alias("open")))
     state = centres.groupBy("node").agg(F.max("open").alias("open")).withColumnRenamed("node", "parent")
-    return fact_join(edges, state, ["parent"], "inner").select("child", "parent", (~F.col("open")).alias("finished"))
+    return fact_join(edges, state.hint("merge"), ["parent"], "inner").select("child", "parent", (~F.col("open")).alias("finished"))
