@@ -9,6 +9,7 @@ from accordant import rules as R
 from accordant.operators import snapshots as S
 from accordant.plans import workspace as W
 from accordant.plans.registry import Tables, query, shared
+from accordant.session import stored
 from accordant.sources.store import admit_batches
 
 
@@ -178,7 +179,8 @@ def d16(t: Tables) -> DataFrame:
 
     Copies of groups from n2 on keep the group and are allowed; the others claim a new one.
     """
-    known = registered_batches(t)
+    # Both sides and all three checks read the fingerprints, so they are worked out once.
+    known = stored(registered_batches(t), "registered")
     offered = known.withColumns(
         {
             "independence_group": F.when(F.col("independence_group") < "n2", "claimed").otherwise(F.col("independence_group")),
