@@ -53,3 +53,36 @@ def test_state_lines_are_dealt_as_buckets(spark):
     lines = ST.source_state(claims, parts=7)
     assert exchanges(lines.repartition(7, "entity_id")) == 1
     assert rows_of(ST.source_state(claims, floor=1000)) == rows_of(lines)
+
+
+def test_rows_cross_the_exchange_before_their_claims_are_made(spark):
+    rows = odd_claims(spark).localCheckpoint()
+
+    def make(lines):
+        keep = [c for c in lines.columns if c not in ("field", "value_key", "raw_value", "claim_id")]
+        values = {name: (F.col("value_key"), F.concat("value_key", F.lit(name))) for name in ("a", "b", "c")}
+        return C.unpivot_claims(lines, keep + [F.col("claim_id").alias("line")], values).withColumn("claim_id", F.concat_ws(":", "line", "field"))
+
+    given = C.RowClaims(rows, "entity_id", make, 3)
+    claims = given.made().localCheckpoint()
+    for step in (C.resolve_claims, C.verdicts, C.latest_per_source):
+        plan = step(given)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert plan.index("Generate explode") < plan.index("Exchange hashpartitioning")
+        # 3,000 claims are 1,000 rows, so both ways set the same entities apart.
+        assert rows_of(step(given)) == rows_of(step(claims)) == rows_of(step(given, floor=3000)) == rows_of(step(claims, floor=3000))
+
+
+def test_postings_are_filtered_behind_an_exchange_of_lines(spark, tmp_path):
+    from accordant.plans.q_serving import slim_view
+    from accordant.plans.registry import Tables
+
+    lines = spark.range(40).selectExpr(
+        "id AS l_orderkey", "cast(id % 7 + 1 AS int) AS l_linenumber", "id % 5 AS l_partkey", "id % 3 AS l_suppkey",
+        "timestamp'1998-01-01' + make_dt_interval(cast(id AS int)) AS l_shipdate", "'R' AS l_returnflag", "'O' AS l_linestatus", "0.0D AS l_discount",
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = spark.range(5).selectExpr("id AS p_partkey", "'Brand#1' AS p_brand", "'PROMO' AS p_type", "'red' AS p_name", "10 AS p_size")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    plan = slim_view(Tables(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(l_partkey" in plan and "Exchange hashpartitioning(entity_id" not in plan.split("Generate")[1]
