@@ -281,3 +281,15 @@ def test_common_subsequences_of_any_length(spark):
     frame = spark.createDataFrame(rows, "k int, x string, y string")
     got = {r["k"]: r["n"] for r in frame.select("k", similarity.lcs_length(C("x"), C("y")).alias("n")).collect()}
     assert got == {k: lcs(x, y) for k, x, y in rows}
+
+
+def test_a_host_is_worked_out_once_for_all_domains(spark):
+    """Inside a lambda no expression is shared, so what is written twice is worked out twice."""
+    rows = spark.createDataFrame([("https://www.zhipin.com/a",), ("https://x.feishu.cn",), ("https://example.com/?a=1",), (None,)], "u string")
+
+    def judged(link):
+        return url.is_aggregator(url.bare_host(link))
+
+    assert [r[0] for r in rows.select(judged(F.col("u"))).collect()] == [True, True, False, None]
+    plan = rows.select(text.let(url.normalize_url(F.col("u")), judged))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract") < 15
