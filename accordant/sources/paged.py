@@ -23,53 +23,68 @@ def flatten_cell(value: Column) -> Column:
 
     Lists join their non-empty members, objects show the first of the usual text keys, or their JSON. Since the
     text of a list is that of its members in turn, a cell is taken apart level by level: every step puts
-    lists in the place of their members and objects in that of their member, as often as the cell is deep.
+    lists in the place of their members and objects in that of their member, as often as the cell is deep. What
+    can't be taken apart becomes a text at once, which later steps only pass on; empty texts are left out.
     """
-    levels = F.when(_depth(value) > 0, F.sequence(F.lit(1), _depth(value))).otherwise(F.array().cast("array<int>"))
-    leaves = F.aggregate(levels, F.array(value), lambda cells, _: F.flatten(F.transform(cells, _opened)))
-    return F.array_join(F.filter(F.transform(leaves, _leaf_text), lambda x: x != ""), " / ")
+    step = lambda parts, _: F.flatten(F.transform(parts, lambda p: F.when(p["shown"].isNotNull(), F.array(p)).otherwise(_opened(p["cell"]))))
+    parts = F.aggregate(F.sequence(F.lit(0), _depth(value)), F.array(_part(value)), step)
+    return F.array_join(F.transform(parts, lambda p: p["shown"]), " / ")
+
+
+def _part(cell: Column | None = None, shown: Column | None = None) -> Column:
+    """A cell that is still to be taken apart, or the text of one that can't be."""
+    null = F.lit(None)
+    return F.struct((null.cast("variant") if cell is None else cell).alias("cell"), (null.cast("string") if shown is None else shown).alias("shown"))
 
 
 def _depth(value: Column) -> Column:
     """How deep lists and objects are nested in a cell."""
-    # Escapes stand in texts only; without them a text ends at the next quote.
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(F.to_json(value), F.lit("")), r"\\.", ""), '"[^"]*"', "")
-    step = F.transform(F.regexp_extract_all(bare, F.lit(r"[\[\]{}]"), F.lit(0)), lambda c: F.when(c.isin("[", "{"), 1).otherwise(-1))
+    # Escapes stand in texts only; without them a text ends at the next quote. Brackets outside of texts remain.
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(F.to_json(value), F.lit("")), r"\\.", ""), r'"[^"]*"|[^\[\]{}"]+', "")
     zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    walk = F.aggregate(
-        step, zero, lambda at, d: F.struct((at["now"] + d).alias("now"), F.greatest(at["most"], at["now"] + d).alias("most"))
-    )
-    return walk["most"]
+
+    def walk(at: Column, bracket: Column) -> Column:
+        now = at["now"] + F.when(bracket.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.aggregate(F.split(bare, ""), zero, walk)["most"]
 
 
 def _opened(cell: Column) -> Column:
-    """The members of a list, the chosen member of an object, else the cell itself."""
-    chosen = F.coalesce(*[_filled(cell, key) for key in CELL_KEYS])
-    return F.coalesce(
-        F.try_variant_get(cell, "$", "array<variant>"), let(chosen, lambda c: F.when(c.isNotNull(), F.array(c))), F.array(cell)
+    """The members of a list, the chosen member of an object, else the cell's text unless it is empty."""
+
+    def other(fields: Column) -> Column:
+        chosen = F.coalesce(*[_filled(F.try_element_at(fields, F.lit(key))) for key in CELL_KEYS])
+        text = let(_leaf_text(cell), lambda x: F.when(x != "", F.array(_part(shown=x))).otherwise(F.array().cast("array<struct<cell:variant,shown:string>>")))
+        return let(F.when(fields.isNotNull(), chosen), lambda c: F.when(c.isNotNull(), F.array(_part(c))).otherwise(text))
+
+    return let(
+        F.try_variant_get(cell, "$", "array<variant>"),
+        lambda members: F.when(members.isNotNull(), F.transform(members, lambda m: _part(m))).otherwise(
+            let(F.try_variant_get(cell, "$", "map<string,variant>"), other)
+        ),
     )
 
 
 def _leaf_text(cell: Column) -> Column:
-    facts = F.struct(F.schema_of_variant(cell).alias("shape"), F.try_variant_get(cell, "$", "string").alias("plain"), F.to_json(cell).alias("json"))
+    plain = F.try_variant_get(cell, "$", "string")
     return let(
-        facts,
-        lambda f: F.when(f["shape"].isNull() | (f["shape"] == "VOID"), "")
-        .when(f["shape"] == "BOOLEAN", F.when(f["plain"] == "true", TRUE_TEXT).otherwise(FALSE_TEXT))
-        .when(f["shape"].startswith("OBJECT"), F.coalesce(f["json"], F.lit("")))
-        .otherwise(f["plain"]),
+        F.schema_of_variant(cell),
+        lambda shape: F.when(shape.isNull() | (shape == "VOID"), "")
+        .when(shape == "BOOLEAN", F.when(plain == "true", TRUE_TEXT).otherwise(FALSE_TEXT))
+        .when(shape.startswith("OBJECT"), F.coalesce(F.to_json(cell), F.lit("")))
+        .otherwise(plain),
     )
 
 
-def _filled(value: Column, key: str) -> Column:
-    """The member under the key unless it is absent, null or an empty text."""
+def _filled(member: Column) -> Column:
+    """A member of an object unless it is absent, null or an empty text."""
 
-    def keep(member: Column) -> Column:
-        text = F.try_variant_get(member, "$", "string")
-        empty = F.coalesce(F.is_variant_null(member), F.lit(True)) | F.coalesce(text == "", F.lit(False))
-        return F.when(~empty, member)
+    def keep(m: Column) -> Column:
+        empty = F.coalesce(F.is_variant_null(m), F.lit(True)) | F.coalesce(F.try_variant_get(m, "$", "string") == "", F.lit(False))
+        return F.when(m.isNotNull() & ~empty, m)
 
-    return let(F.try_variant_get(value, f"$.{key}", "variant"), keep)
+    return let(member, keep)
 
 
 def read_pages(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
