@@ -280,6 +280,11 @@ def other_pairs(met: DataFrame, groups: DataFrame) -> DataFrame:
     return both.filter(possible & close).select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
+def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups (node, root) once they are joined by further links (a, b): their stars stand for the links that made them."""
+    return contract(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links), "a", "b")
+
+
 def node_roots(rows: DataFrame, keyed: DataFrame, width: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(doc_id, k1, k2, node) of each row, and (node, root) of each node that has a link."""
     firsts = [F.min(c).alias(c) for c in ("fp", "size")] + [F.first(c).alias(c) for c in ("prefix", "sketch")]
@@ -299,20 +304,21 @@ def node_roots(rows: DataFrame, keyed: DataFrame, width: int, scratch: Scratch)
     scratch.drop(met)
     first = scratch.write(verified(close, slim, keyed, width, scratch), "first-links")
     scratch.drop(met, "close", "full-sets")
+    groups = contract(first, "a", "b")
     for turn in range(ROUNDS):
-        close = scratch.write(close_pairs(hub_pairs(met, contract(first, "a", "b"), turn), slim), "close")
+        close = scratch.write(close_pairs(hub_pairs(met, groups, turn), slim), "close")
         more = scratch.write(verified(close, slim, keyed, width, scratch), f"hub-links-{turn}")
         scratch.drop(met, "close", "full-sets")
         if not more.take(1):
             break
-        first = first.unionByName(more)
-    candidates = scratch.write(other_pairs(met, contract(first, "a", "b")), "candidates")
+        groups = joined(groups, more)
+    candidates = scratch.write(other_pairs(met, groups), "candidates")
     scratch.drop(met, "met")
     close = scratch.write(close_pairs(candidates, slim), "close")
     scratch.drop(slim, "candidates")
     rest = scratch.write(verified(close, slim, keyed, width, scratch), "other-links")
     scratch.drop(slim, "close", "full-sets", "slim-nodes")
-    return members, contract(first.unionByName(rest), "a", "b")
+    return members, joined(groups, rest)
 
 
 def keep_one_of_each_group(docs: DataFrame, *, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
