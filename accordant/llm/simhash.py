@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from accordant.llm.words import LOWER, Words, blocks, fresh, small_batches
 from accordant.operators.graph import connect
-from accordant.session import fact_join, scratch_path
+from accordant.session import merge_join, scratch_path
 
 SHINGLE = 3
 SEED = 42
@@ -124,9 +124,9 @@ def grid_cells(fps: DataFrame) -> DataFrame:
     pointed = fps.select("fp", segment_counts(F.col("fp")).alias("point"))
     cells = pointed.groupBy("point").agg(F.count("*").alias("n")).select("point", "n", F.explode(cells_around(F.col("point"))).alias("cell"))
     met = cells.groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
-    near = fact_join(cells.select("point", "cell"), met, ["cell"], "inner")
+    near = merge_join(cells.select("point", "cell"), met, ["cell"], "inner")
     path = scratch_path(fps.sparkSession, "cells")
-    fact_join(near, pointed, ["point"], "inner").select("fp", "cell", "n").write.parquet(path)
+    merge_join(near, pointed, ["point"], "inner").select("fp", "cell", "n").write.parquet(path)
     return fps.sparkSession.read.parquet(path)
 
 
@@ -144,7 +144,7 @@ def stars_of_bits(fps: DataFrame) -> DataFrame:
     fps.select("fp", F.explode(one_bit_around(F.col("fp"))).alias("place")).write.parquet(path)
     visits = fps.sparkSession.read.parquet(path)
     hubs = visits.groupBy("place").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("place", "hub")
-    return fact_join(visits, hubs, ["place"], "inner").filter("fp <> hub").select("fp", "hub").distinct()
+    return merge_join(visits, hubs, ["place"], "inner").filter("fp <> hub").select("fp", "hub").distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -165,14 +165,14 @@ def group_roots(rows: DataFrame) -> DataFrame:
 def rooted(rows: DataFrame) -> DataFrame:
     """rows with the root of their group."""
     roots = group_roots(rows).withColumnRenamed("root", "_root")
-    return fact_join(rows, roots, ["fp"]).withColumn("root", F.coalesce("_root", "fp")).drop("_root")
+    return merge_join(rows, roots, ["fp"]).withColumn("root", F.coalesce("_root", "fp")).drop("_root")
 
 
 def near_duplicate_report(docs: DataFrame, *, width: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id of the group)."""
     rows = rooted(fingerprint_rows(docs, id_col, text_col, width, seed)).select("doc_id", "fp", "root")
     least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return fact_join(rows, least, ["root"]).select(
+    return merge_join(rows, least, ["root"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 

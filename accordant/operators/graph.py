@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from accordant.session import checkpoint, delete_path, fact_join, scratch_path
+from accordant.session import checkpoint, delete_path, merge_join, scratch_path
 
 
 def connect(memberships: DataFrame, node: str = "node", key: str = "key") -> DataFrame:
@@ -19,12 +19,12 @@ def connect(memberships: DataFrame, node: str = "node", key: str = "key") -> Dat
     pairs = checkpoint(memberships.select(F.col(node).alias("node"), F.col(key).alias("key")).distinct())
     labels = checkpoint(pairs.select("node").distinct().withColumn("root", F.col("node")))
     while True:
-        keyed = fact_join(pairs, labels, ["node"], "inner").groupBy("key").agg(F.min("root").alias("root"))
-        seen = fact_join(pairs, keyed, ["key"], "inner").groupBy("node").agg(F.min("root").alias("root"))
+        keyed = merge_join(pairs, labels, ["node"], "inner").groupBy("key").agg(F.min("root").alias("root"))
+        seen = merge_join(pairs, keyed, ["key"], "inner").groupBy("node").agg(F.min("root").alias("root"))
         jump = seen.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        moved = fact_join(seen, jump, ["root"]).select("node", F.coalesce("further", "root").alias("next"))
+        moved = merge_join(seen, jump, ["root"]).select("node", F.coalesce("further", "root").alias("next"))
         step = checkpoint(
-            labels.join(moved, "node", "left").select(
+            labels.join(moved.hint("merge"), "node", "left").select(
                 "node",
                 F.least("root", "next").alias("root"),
                 (F.col("next") < F.col("root")).alias("moved"),
@@ -71,13 +71,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node points at the smallest of the node and its neighbours."""
     both = edges.select(F.inline(F.array(F.struct(F.col("child").alias("node"), F.col("parent").alias("other")), F.struct(F.col("parent").alias("node"), F.col("child").alias("other")))))
     least = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("least"))
-    return fact_join(both.filter("other > node"), least.hint("merge"), ["node"], "inner").select(F.col("other").alias("child"), F.col("least").alias("parent")).distinct()
+    return merge_join(both.filter("other > node"), least, ["node"], "inner").select(F.col("other").alias("child"), F.col("least").alias("parent")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours point at the smallest of them."""
     least = edges.groupBy("child").agg(F.min("parent").alias("least"))
-    joined = fact_join(edges, least.hint("merge"), ["child"], "inner")
+    joined = merge_join(edges, least, ["child"], "inner")
     both = F.array(F.struct("child", F.col("least").alias("parent")), F.struct(F.col("parent").alias("child"), F.col("least").alias("parent")))
     return joined.select(F.inline(both)).filter("child <> parent").distinct()
 
@@ -86,8 +86,8 @@ def _marked(edges: DataFrame) -> DataFrame:
     """Add `finished`: the component is a star, so its centre has no parent and its children no other edge."""
     ends = F.array(F.struct(F.col("child").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("parent").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
     known = edges.select(F.inline(ends)).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    child = fact_join(edges, known.withColumnRenamed("node", "child").hint("merge"), ["child"], "inner")
+    child = merge_join(edges, known.withColumnRenamed("node", "child"), ["child"], "inner")
     open_child = child.select("child", "parent", ((F.col("up") > 1) | (F.col("down") > 0)).alias("open"))
     centres = open_child.select(F.col("parent").alias("node"), "open").unionByName(known.filter("up > 0").select("node", F.lit(True).alias("open")))
     state = centres.groupBy("node").agg(F.max("open").alias("open")).withColumnRenamed("node", "parent")
-    return fact_join(edges, state.hint("merge"), ["parent"], "inner").select("child", "parent", (~F.col("open")).alias("finished"))
+    return merge_join(edges, state, ["parent"], "inner").select("child", "parent", (~F.col("open")).alias("finished"))

@@ -3,9 +3,13 @@
 import random
 
 import numpy as np
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from accordant.llm import near_copies
+from accordant.llm import near_copies, simhash
+from accordant.operators import graph
+from accordant.session import checkpoint, scratch_path
 from tests.llm import plain
 
 
@@ -98,3 +102,16 @@ def test_groups_are_joined_by_further_links(spark):
     old, new = (spark.createDataFrame(x, "a long, b long").coalesce(1) for x in (links[:15], links[15:]))
     want = sorted(map(tuple, near_copies.contract(old.unionByName(new), "a", "b").collect()))
     assert sorted(map(tuple, near_copies.joined(near_copies.contract(old, "a", "b"), new).collect())) == want
+
+
+def test_no_join_of_fingerprints_broadcasts(spark, monkeypatch):
+    """Spark sizes exploded cells as it does the fingerprints before them, so it would send all of them through the driver."""
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: plans.append(self._df) or write(self, *a, **b))
+    monkeypatch.setattr(graph, "checkpoint", lambda df: plans.append(df) or checkpoint(df))
+    path = scratch_path(spark, "fps")
+    spark.range(2000).select(F.xxhash64(F.col("id") % 1900).alias("fp")).write.parquet(path)
+    found = simhash.rooted(spark.read.parquet(path))
+    assert found.count() == 2000
+    joined = [p for df in [*plans, found] if "Join" in (p := df._jdf.queryExecution().executedPlan().toString())]
+    assert len(joined) >= 3 and not [p for p in joined if "Broadcast" in p]
