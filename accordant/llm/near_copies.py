@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from accordant.llm import simhash
 from accordant.llm.words import LOWER, Words, blocks, fresh, mix, small_batches
 from accordant.operators.graph import contract
-from accordant.session import delete_path, fact_join, scratch_path
+from accordant.session import delete_path, fact_join, merge_join, scratch_path
 
 SHINGLE = 5
 SAMPLE = 16  # frequent shingles are looked for in one of so many texts
@@ -221,28 +221,28 @@ def close_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and sketches leave."""
     one = nodes.select(F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("sketch").alias("left"))
     other = nodes.select(F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("sketch").alias("right"))
-    both = fact_join(fact_join(pairs, one, ["a"], "inner"), other, ["b"], "inner").filter(close_sizes(F.col("a_size"), F.col("b_size")))
+    both = merge_join(merge_join(pairs, one, ["a"], "inner"), other, ["b"], "inner").filter(close_sizes(F.col("a_size"), F.col("b_size")))
     return both.filter(close_sketches(F.col("left"), F.col("right"), F.col("a_size") + F.col("b_size"))).select("a", "b")
 
 
 def verified(close: DataFrame, nodes: DataFrame, keyed: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets are at 4/5, that is, share at least 4/9 of the sum of their sizes."""
     ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-    ends = fact_join(nodes.select("node", "row.k1", "row.k2"), ends, ["node"], "inner")
+    ends = merge_join(nodes.select("node", "row.k1", "row.k2"), ends, ["node"], "inner")
     texts = fact_join(keyed.select("k1", "k2", "text"), ends, ["k1", "k2"], "inner").select("node", "text").dropDuplicates(["node"])
     sets = scratch.write(full_sets(texts, width), "full-sets")
     one = sets.select(F.col("node").alias("a"), F.col("values").alias("left"))
     other = sets.select(F.col("node").alias("b"), F.col("values").alias("right"))
-    both = fact_join(fact_join(close, one, ["a"], "inner"), other, ["b"], "inner")
+    both = merge_join(merge_join(close, one, ["a"], "inner"), other, ["b"], "inner")
     return both.filter(9 * F.size(F.array_intersect("left", "right")) >= 4 * (F.size("left") + F.size("right"))).select("a", "b")
 
 
 def simhash_stars(nodes: DataFrame) -> DataFrame:
     """(a, b): nodes of one fingerprint or of linked ones, each with the smallest of the other's."""
     hubs = nodes.groupBy("fp").agg(F.min("node").alias("b"))
-    equal = fact_join(nodes.select("node", "fp"), hubs, ["fp"], "inner").select(F.col("node").alias("a"), "b")
-    linked = fact_join(simhash.links(nodes.select("fp").distinct()), hubs.withColumnRenamed("b", "a"), ["fp"], "inner").select("a", F.col("hub").alias("fp"))
-    return equal.unionByName(fact_join(linked, hubs, ["fp"], "inner").select("a", "b")).filter("a <> b")
+    equal = merge_join(nodes.select("node", "fp"), hubs, ["fp"], "inner").select(F.col("node").alias("a"), "b")
+    linked = merge_join(simhash.links(nodes.select("fp").distinct()), hubs.withColumnRenamed("b", "a"), ["fp"], "inner").select("a", F.col("hub").alias("fp"))
+    return equal.unionByName(merge_join(linked, hubs, ["fp"], "inner").select("a", "b")).filter("a <> b")
 
 
 def size_class(size: Column) -> Column:
@@ -251,9 +251,9 @@ def size_class(size: Column) -> Column:
 
 def several_groups(met: DataFrame, groups: DataFrame, floor: int = 1) -> DataFrame:
     """The rows of `met` with their group as `root`, for shingles of several groups and more than `floor` rows."""
-    parted = fact_join(met.drop("hub"), groups, ["node"]).withColumn("root", F.coalesce("root", "node"))
+    parted = merge_join(met.drop("hub"), groups, ["node"]).withColumn("root", F.coalesce("root", "node"))
     ends = parted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    return fact_join(parted, ends.filter((F.col("low") != F.col("high")) & (F.col("n") > floor)).select("token"), ["token"], "inner")
+    return merge_join(parted, ends.filter((F.col("low") != F.col("high")) & (F.col("n") > floor)).select("token"), ["token"], "inner")
 
 
 def hub_pairs(met: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
@@ -261,7 +261,7 @@ def hub_pairs(met: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
     dense = several_groups(met, groups, DENSE)
     first = F.struct(F.col("pos") if turn == 0 else F.xxhash64("token", "node", F.lit(turn)), F.col("node"))
     hubs = dense.groupBy("token").agg(F.min_by(F.struct("node", "size", "root", "fold"), first).alias("hub"))
-    both = fact_join(dense, hubs, ["token"], "inner").filter(F.col("root") != F.col("hub.root"))
+    both = merge_join(dense, hubs, ["token"], "inner").filter(F.col("root") != F.col("hub.root"))
     sizes = F.col("size"), F.col("hub.size")
     possible = close_sizes(*sizes) & folds_close(F.col("fold"), F.col("hub.fold"), *sizes)
     return both.filter(possible).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
@@ -273,7 +273,7 @@ def other_pairs(met: DataFrame, groups: DataFrame) -> DataFrame:
     size, pos = F.col("size"), F.col("pos")
     indexed = left.filter(pos <= size - F.ceil(8 * size / 9)).withColumn("step", F.explode(F.sequence(size_class(size), size_class(F.floor(5 * size / 4)))))
     probes = left.withColumn("step", size_class(size)).select("token", "step", *(F.col(c).alias(f"b_{c}") for c in ("node", "size", "pos", "root", "fold")))
-    both = indexed.join(probes, ["token", "step"]).filter(F.struct("size", "node") < F.struct("b_size", "b_node")).filter("root <> b_root")
+    both = indexed.join(probes.hint("merge"), ["token", "step"]).filter(F.struct("size", "node") < F.struct("b_size", "b_node")).filter("root <> b_root")
     most = F.least("pos", "b_pos") + 1 + F.least(F.col("size") - F.col("pos"), F.col("b_size") - F.col("b_pos")) - 1
     possible = close_sizes(F.col("size"), F.col("b_size")) & (9 * most >= 4 * (F.col("size") + F.col("b_size")))
     close = folds_close(F.col("fold"), F.col("b_fold"), F.col("size"), F.col("b_size"))
@@ -295,7 +295,7 @@ def node_roots(rows: DataFrame, keyed: DataFrame, width: int, scratch: Scratch)
     ends = tokens.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
     hubs = scratch.write(ends.filter("hub <> last").select("token", "hub"), "hubs")
     scratch.drop(nodes)
-    met = scratch.write(tokens.join(hubs, "token"), "met")
+    met = scratch.write(tokens.join(hubs.hint("merge"), "token"), "met")
     slim = scratch.write(nodes.drop("prefix"), "slim-nodes")
     scratch.drop(nodes, "hubs", "nodes")
     stars = met.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
@@ -331,5 +331,5 @@ def keep_one_of_each_group(docs: DataFrame, *, width: int = SHINGLE, id_col: str
     members, roots = node_roots(set_rows(keyed, width, scratch), keyed, width, scratch)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("first")
     a, b = fresh(docs, "k1", "k2")
-    keep = fact_join(members, roots, ["node"]).groupBy(F.coalesce("root", "node")).agg(first).select(F.col("first.k1").alias(a), F.col("first.k2").alias(b))
+    keep = merge_join(members, roots, ["node"]).groupBy(F.coalesce("root", "node")).agg(first).select(F.col("first.k1").alias(a), F.col("first.k2").alias(b))
     return docs.withColumns({a: k1, b: k2}).join(keep, [a, b], "left_semi").dropDuplicates([a, b]).drop(a, b)
