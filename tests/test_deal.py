@@ -73,6 +73,28 @@ def test_rows_cross_the_exchange_before_their_claims_are_made(spark):
         assert rows_of(step(given, floor=3000)) == rows_of(step(claims))
 
 
+def test_claims_meet_only_the_evidence_they_name(spark):
+    claims = spark.createDataFrame(
+        [(1, "a", "r1", None), (1, "b", "r2", None), (2, "c", None, "v1"), (2, "d", None, "v2"), (3, "e", None, None), (9, "f", "r1", None), (1, "g", "r9", "v1"), (None, "h", "r1", None), (2, "i", "r1", "v1")],
+        "entity_id long, claim_id string, raw_id string, verification_id string",
+    ).selectExpr("*", "'title' AS field", "'s' AS source_key", "'x' AS value_key", "1 AS authority", "timestamp'2020-01-01' AS observed_at", "timestamp'2020-01-01' AS created_at", "true AS active")
+    raw = spark.createDataFrame([("r1", "POSTING"), ("r1", "CAMPAIGN"), ("r2", "CAMPAIGN")], "raw_id string, kind string")
+    checks = spark.createDataFrame([("v1", "POSTING", "x.com"), ("v1", "POSTING", "x.com"), ("v2", "POSTING", "y.com")], "verification_id string, scope string, domain string").withColumn("scope_path", F.lit(""))
+    entities = spark.createDataFrame([(1, "o", "POSTING"), (2, "o", "POSTING"), (3, "o", "CAMPAIGN")], "entity_id long, org_id string, kind string")
+    orgs = spark.createDataFrame([("o", True, "x.com", "")], "org_id string, domain_verified boolean, official_domain string, scope_path string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scoped = C.applicable_claims(claims, raw, checks, entities, orgs)
+        got = sorted((r["claim_id"], r["applicable"]) for r in scoped.collect())
+        plan = C.resolve_claims(scoped, counted=claims)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Evidence that is there twice gives a claim twice.
+    want = [("a", False), ("a", True), ("b", False), ("c", True), ("c", True), ("d", False), ("e", True), ("f", False), ("f", False), ("g", False), ("g", False), ("h", False), ("h", False)]
+    assert got == sorted([*want, *[("i", x) for x in (False, False, True, True)]])
+    assert plan.count("Exchange hashpartitioning(entity_id") == 2 and "_hk" not in plan  # of claims, and of anchors
+
+
 def test_postings_are_filtered_behind_an_exchange_of_lines(spark, tmp_path):
     from accordant.plans.q_serving import slim_view
     from accordant.plans.registry import Tables
