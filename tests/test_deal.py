@@ -73,6 +73,22 @@ def test_rows_cross_the_exchange_before_their_claims_are_made(spark):
         assert rows_of(step(given, floor=3000)) == rows_of(step(claims))
 
 
+def test_rechecked_decisions_deal_out_lines_before_their_claims(spark, tmp_path):
+    from accordant.plans import q_currency as Q
+    from accordant.plans.registry import Tables
+
+    lines = spark.range(40).selectExpr(
+        "id AS l_orderkey", "cast(id % 7 + 1 AS int) AS l_linenumber", "nullif(id % 5, 4) AS l_partkey", "id % 3 AS l_suppkey",
+        "timestamp'1998-01-01' + make_dt_interval(cast(id AS int)) AS l_shipdate", "if(id % 2 = 0, 'A', 'R') AS l_returnflag", "'O' AS l_linestatus",
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    t, keys = Tables(spark, str(tmp_path)), spark.createDataFrame([(1,), (2,), (2,), (None,)], "entity_id long")
+    got = C.resolve_claims(Q.said_rows(t).of(keys))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Exchange hashpartitioning(l_partkey")
+    assert rows_of(got) == rows_of(C.resolve_claims(Q.said(t).filter("entity_id in (1, 2)"))) != []
+
+
 def test_claims_meet_only_the_evidence_they_name(spark):
     claims = spark.createDataFrame(
         [(1, "a", "r1", None), (1, "b", "r2", None), (2, "c", None, "v1"), (2, "d", None, "v2"), (3, "e", None, None), (9, "f", "r1", None), (1, "g", "r9", "v1"), (None, "h", "r1", None), (2, "i", "r1", "v1")],
